@@ -153,7 +153,11 @@ def _top_vectors(q: DataFrame, v: DataFrame, keys: list[str], top_k_: int, thres
 
 def _block_count(df: DataFrame, rows: int) -> Column:
     n = df.agg(F.count(F.lit(1))).scalar()
-    return F.greatest(F.lit(1), F.ceil(n / F.lit(float(rows)))).cast("int")
+    return F.greatest(F.lit(1), F.ceil(n / F.lit(float(rows)))).cast("long")
+
+
+def _upto(n: Column) -> Column:
+    return F.sequence(F.lit(0).cast("long"), n - 1)
 
 
 def recall_vector(
@@ -174,12 +178,12 @@ def recall_vector(
         "query_id",
         F.col("embedding"),
         F.pmod(F.xxhash64("query_id"), n_q).alias("_qb"),
-        F.explode(F.sequence(F.lit(0), n_v - 1)).cast("long").alias("_vb"),
+        F.explode(_upto(n_v)).alias("_vb"),
     )
     v = vectors.select(
         "doc_id",
         F.col("embedding"),
-        F.explode(F.sequence(F.lit(0), n_q - 1)).cast("long").alias("_qb"),
+        F.explode(_upto(n_q)).alias("_qb"),
         F.pmod(F.xxhash64("doc_id"), n_v).alias("_vb"),
     )
     return _top_vectors(q, v, ["_qb", "_vb"], k, threshold)

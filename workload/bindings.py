@@ -11,6 +11,7 @@ from lodestone.functions.text import words_prefix
 from lodestone.operators import experiments, profiles, textprep
 from lodestone.operators.index import TextIndex, build_index
 from lodestone.session import checkpoint_dir
+from lodestone.sources.corpus import spread_small
 from lodestone.sources.snapshots import current_version, read_index, write_index
 
 AS_OF = 1706745600
@@ -33,7 +34,7 @@ def item_of(props: str = "props"):
 
 
 def corpus(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents")
+    docs = spread_small(table(spark, d, "documents"), "doc_id")
     counts = (
         table(spark, d, "events")
         .groupBy(item_of().alias("doc_id"))

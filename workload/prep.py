@@ -322,7 +322,7 @@ def b7(spark, d):
         SELECT doc_id, i - 1 AS pos, round(v[i] / n, 6) AS value FROM (SELECT *, unnest(range(1, 9)) AS i FROM unit)""",
 )
 def b8(spark, d):
-    return unfold(vectors.encode_corpus(b.table(spark, d, "documents"), "text", 8), "doc_id")
+    return unfold(vectors.encode_corpus(docs.spread_small(b.table(spark, d, "documents"), "doc_id"), "text", 8), "doc_id")
 
 
 @query(
