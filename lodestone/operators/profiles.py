@@ -260,9 +260,9 @@ def refresh_interests(
 
     # The keyword table is configuration: it travels as one array value and is matched in the row.
     packed = keywords.agg(F.collect_list(F.struct("keyword", "category"))).scalar()
-    asked = profiles.select("uid", F.explode("query_history").alias("query"))
+    asked = profiles.select("uid", F.explode("query_history").alias("query")).withColumn("_kw", packed)
     searched = (
-        asked.select("uid", F.explode(F.filter(packed, lambda k: F.col("query").contains(k["keyword"]))).alias("k"))
+        asked.select("uid", F.explode(F.filter("_kw", lambda k: F.col("query").contains(k["keyword"]))).alias("k"))
         .groupBy("uid", F.col("k.category").alias("category"))
         .agg(F.count(F.lit(1)).alias("n_search"))
     )

@@ -113,38 +113,50 @@ def stream_query_stats(
 
 
 class LastClick(StatefulProcessor):
-    """Emits (src, dst, ts) for consecutive clicks of a user; state is the user's last click."""
+    """Emits (src, dst, ts) for consecutive clicks of a user. State is the user's last click and the
+    event time at which it is forgotten."""
 
     def __init__(self, ttl_ms: int, doc_type: str) -> None:
         self.ttl_ms, self.doc_type = ttl_ms, doc_type
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.last = handle.getValueState("last", f"doc_id {self.doc_type}", self.ttl_ms)
+        self.handle = handle
+        self.last = handle.getValueState("last", f"doc_id {self.doc_type}, forget_at bigint")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
         batch = pd.concat(list(rows)).sort_values(["ts", "event_id", "doc_id"])
         before = batch["doc_id"].shift(1)
+        forget_at = int(batch["ts"].iloc[-1]) * 1000 + self.ttl_ms
         if self.last.exists():
-            before.iloc[0] = self.last.get()[0]
-        self.last.update((batch["doc_id"].iloc[-1],))
+            doc_id, old = self.last.get()
+            before.iloc[0] = doc_id
+            self.handle.deleteTimer(old)
+            forget_at = max(forget_at, old)
+        self.last.update((batch["doc_id"].iloc[-1], forget_at))
+        self.handle.registerTimer(forget_at)
         pairs = pd.DataFrame({"src": before, "dst": batch["doc_id"], "ts": batch["ts"]})
         pairs = pairs[pairs["src"].notna() & (pairs["src"] != pairs["dst"])]
         yield pairs.astype({"src": batch["doc_id"].dtype}).reset_index(drop=True)
 
+    def handleExpiredTimer(self, key, timer_values, expired) -> Iterator[pd.DataFrame]:
+        self.last.clear()
+        return iter([])
+
     def close(self) -> None:
         pass
 
 
-def click_pair_stream(events: DataFrame, ttl_ms: int = 30 * 86_400_000) -> DataFrame:
-    """Stream of (src, dst, ts). Clicks are ordered inside a batch; a user idle for ``ttl_ms`` is
-    forgotten. Equal to the batch operator when batches arrive in time order."""
+def click_pair_stream(events: DataFrame, ttl_ms: int = 30 * 86_400_000, watermark: str = "1 hour") -> DataFrame:
+    """Stream of (src, dst, ts). Clicks are ordered inside a batch, clicks behind the watermark are
+    dropped, and a user idle for ``ttl_ms`` of event time is forgotten. Equal to the batch operator
+    when batches arrive in time order."""
     doc_type = events.schema["doc_id"].dataType.simpleString()
-    clicks = events.select("uid", "doc_id", "ts", "event_id")
-    return clicks.groupBy("uid").transformWithStateInPandas(
+    clicks = events.select("uid", "doc_id", "ts", "event_id", event_time().alias("event_time"))
+    return clicks.withWatermark("event_time", watermark).groupBy("uid").transformWithStateInPandas(
         statefulProcessor=LastClick(ttl_ms, doc_type),
         outputStructType=f"src {doc_type}, dst {doc_type}, ts bigint",
         outputMode="Append",
-        timeMode="ProcessingTime",
+        timeMode="EventTime",
     )
 
 
@@ -157,6 +169,7 @@ def stream_cooccurrence(
     path: str,
     checkpoint: str,
     ttl_ms: int = 30 * 86_400_000,
+    watermark: str = "1 hour",
     trigger: dict | None = None,
     compact_every: int = 20,
 ) -> StreamingQuery:
@@ -166,7 +179,7 @@ def stream_cooccurrence(
     def run(df: DataFrame, batch_id: int) -> None:
         table.write(batch_id, behaviour.count_both_ways(df))
 
-    return _start(click_pair_stream(events, ttl_ms), run, checkpoint, trigger)
+    return _start(click_pair_stream(events, ttl_ms, watermark), run, checkpoint, trigger)
 
 
 def profile_table(spark, path: str, compact_every: int = 20) -> DeltaTable:
