@@ -254,7 +254,7 @@ def stream_hot(
     counted = hot_windows(events, **options)
 
     def run(df: DataFrame, batch_id: int) -> None:
-        df.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        df.write.mode("overwrite").parquet(f"{path}/windows/batch={batch_id}")
 
     writer = counted.writeStream.outputMode("append").foreachBatch(run)
     return writer.option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()

@@ -137,7 +137,7 @@ def _hot_stream(spark, d, **options):
     """Windows that closed before the end of the stream, then the still open ones from the batch form."""
     path = scratch(spark, "hot")
     finish(jobs.stream_hot(event_stream(spark, d), path, f"{path}/checkpoint", **options))
-    closed = spark.read.parquet(path)
+    closed = spark.read.parquet(f"{path}/windows")
     table = b.shaped_events(b.table(spark, d, "events"))
     batch = jobs.hot_windows(table, **{k: v for k, v in options.items() if k != "watermark"})
     still_open = batch.join(closed.select("start", "doc_id"), ["start", "doc_id"], "left_anti")
