@@ -140,7 +140,7 @@ def user_features(queries: DataFrame, profiles: DataFrame) -> DataFrame:
 
     want = F.coalesce("category", F.lit(""))
     weight = F.try_element_at(F.col("category_weights"), want)
-    match = F.when(want == "", 0.5).otherwise(F.coalesce(F.least(F.lit(1.0), weight), F.lit(0.0)))
+    match = F.when(want == "", 0.5).otherwise(F.least(F.lit(1.0), F.coalesce(weight, F.lit(0.0))))
     activity = F.when(days >= 20, 1.0).when(days >= 10, 0.7).when(days >= 3, 0.4).when(days >= 1, 0.2).otherwise(0.0)
     ctr = F.when(F.col("_pos") <= 0, 0.5).otherwise(F.greatest(F.lit(0.0), 1 - F.col("_pos") / 20))
     weights = F.coalesce("category_weights", F.create_map().cast("map<string,double>"))

@@ -138,7 +138,7 @@ def ltr_features(cands: DataFrame, queries: DataFrame, profiles: DataFrame | Non
             "f_log_like": log_signal("like_count"),
             "f_title_len": F.tanh(F.octet_length("title") / 30),
             "f_term_match": F.tanh(F.size(hits) / 3),
-            "f_category_match": F.coalesce(F.least(F.lit(1.0), liked * 2), F.lit(0.0)),
+            "f_category_match": F.least(F.lit(1.0), F.coalesce(liked, F.lit(0.0)) * 2),
             "f_source": source,
         }
     ).drop("uid", "terms", "category_weights")

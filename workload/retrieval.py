@@ -72,7 +72,7 @@ VIEWS.update(
                       c.freshness AS f_freshness, tanh(ln(1 + c.click_count::DOUBLE) / 5) AS f_log_click,
                       tanh(ln(1 + c.like_count::DOUBLE) / 5) AS f_log_like, tanh(strlen(c.title) / 30.0::DOUBLE) AS f_title_len,
                       tanh(len(list_filter(q.terms, lambda t: t <> '' AND (contains(c.title, t) OR contains(c.category, t)))) / 3.0::DOUBLE) AS f_term_match,
-                      COALESCE(least(1.0::DOUBLE, w.weight * 2), 0) AS f_category_match,
+                      least(1.0::DOUBLE, COALESCE(w.weight, 0) * 2) AS f_category_match,
                       CASE c.recall_source WHEN 'vector' THEN 1 / 3.0::DOUBLE WHEN 'hot_content' THEN 2 / 3.0::DOUBLE WHEN 'user_history' THEN 1 ELSE 0 END AS f_source
                FROM coarse c JOIN q ON q.query_id = c.query_id
                LEFT JOIN weights w ON w.uid = q.uid AND w.category = c.category AND c.category <> ''""",
