@@ -11,7 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.functions.text import nonempty
+from lodestone.functions.text import byte_view, nonempty
 from lodestone.operators.behaviour import byte_prefix, top_cooccur
 from lodestone.operators.recall import hot_score
 from lodestone.operators.suggest import keep_distinct_words
@@ -250,7 +250,7 @@ def hints(
     dedup_distance: int = 3,
     blocked: DataFrame | None = None,
     min_jaccard: float = 0.1,
-    first_limit: int = 100,
+    first_limit: int = 50,
 ) -> DataFrame:
     """Ranked hints per source: (source_id, position, word, source, score).
 
@@ -268,7 +268,7 @@ def hints(
     limit, pending, done = first_limit, src, None
     while True:
         rows, last = _ranked(pending, tables, limit)
-        item = F.struct((-F.col("score")).alias("neg"), "word", "source")
+        item = F.struct((-F.col("score")).alias("neg"), "word", "source", byte_view("word").alias("bytes"))
         lists = rows.groupBy("source_id").agg(F.array_sort(F.collect_list(item)).alias("items"))
         empty = F.array().cast(lists.schema["items"].dataType)
         if dedup_distance > 0:

@@ -131,11 +131,11 @@ def query_terms(queries: DataFrame) -> DataFrame:
 def match_postings(queries: DataFrame, index: TextIndex) -> DataFrame:
     """Query terms joined with their postings and IDF.
 
-    Only terms that occur in some query are looked up, and the postings of very frequent terms are
-    spread over many tasks.
+    Only terms that occur in some query are looked up, and the postings of the most frequent of
+    them are spread over many tasks.
     """
     wanted = query_terms(queries).join(index.terms, "term")
-    hot = hot_keys(index.terms, ["term"], "df")
+    hot = hot_keys(wanted.select("term", "df").distinct(), ["term"], "df")
     return salted_join(index.postings, wanted, "term", hot, spread_on=["doc_id"])
 
 

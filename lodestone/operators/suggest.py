@@ -116,12 +116,11 @@ def suggest_rank(scored: DataFrame) -> DataFrame:
 
 
 def keep_distinct_words(items: Column, empty: Column, distance: int, limit: int | Column) -> Column:
-    """Fold a ranked array of structs with a ``word``: keep a word unless it is closer than
-    ``distance`` byte edits to one kept before; stop growing at ``limit``."""
+    """Fold a ranked array of structs with a ``bytes`` view of their word: keep a word unless it is
+    closer than ``distance`` byte edits to one kept before; stop growing at ``limit``."""
 
     def step(kept: Column, item: Column) -> Column:
-        word = byte_view(item["word"])
-        near = F.exists(kept, lambda k: F.levenshtein(byte_view(k["word"]), word, distance - 1) >= 0)
+        near = F.exists(kept, lambda k: F.levenshtein(k["bytes"], item["bytes"], distance - 1) >= 0)
         return F.when((F.size(kept) >= limit) | near, kept).otherwise(F.concat(kept, F.array(item)))
 
     return F.aggregate(items, empty, step)
@@ -143,7 +142,9 @@ def suggest(
     turns the edit-distance step off. Blocked words leave after the page is cut.
     """
     ranked = suggest_rank(suggest_score(suggest_recall(prefixes, dictionary, as_of, limit), max_len=max_len))
-    item = F.struct((-F.col("score")).alias("neg"), "word", "source", "last_time", "freq")
+    item = F.struct(
+        (-F.col("score")).alias("neg"), "word", "source", "last_time", "freq", byte_view("word").alias("bytes")
+    )
     lists = ranked.groupBy("prefix").agg(F.array_sort(F.collect_list(item)).alias("items"))
     kind = lists.schema["items"].dataType
     if dedup_distance > 0:

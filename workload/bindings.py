@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,6 +26,21 @@ def table(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
+def app_folder(spark: SparkSession, d: str, name: str) -> str:
+    key = hashlib.md5(f"{spark.sparkContext.applicationId}:{d}".encode()).hexdigest()[:12]
+    return f"{checkpoint_dir(spark)}/{name}-{key}"
+
+
+def stored(spark: SparkSession, d: str, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+    """A derived table written once per application into the shared folder and read from there."""
+    path = app_folder(spark, d, name)
+    done = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    fs = done.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(done):
+        build().write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
+
+
 def publish_time(key: str):
     return (F.lit(ANCHOR) - (F.col(key) % 365) * DAY).cast("long")
 
@@ -34,6 +50,11 @@ def item_of(props: str = "props"):
 
 
 def corpus(spark: SparkSession, d: str) -> DataFrame:
+    """Documents with labels and click counts; the document store of all other queries."""
+    return stored(spark, d, "corpus", lambda: build_corpus(spark, d))
+
+
+def build_corpus(spark: SparkSession, d: str) -> DataFrame:
     docs = spread_small(table(spark, d, "documents"), "doc_id")
     counts = (
         table(spark, d, "events")
@@ -166,9 +187,10 @@ INTERACTION_ORDER = ("o_orderkey", "l_linenumber", "doc_id")
 
 def user_profiles(spark: SparkSession, d: str) -> DataFrame:
     """Profiles computed from the whole event stream."""
-    ev = events(spark, d)
     none = profiles.empty_profiles(spark, "bigint", "bigint")
-    return profiles.update_profiles(none, ev, corpus(spark, d), AS_OF)
+    return stored(
+        spark, d, "profiles", lambda: profiles.update_profiles(none, events(spark, d), corpus(spark, d), AS_OF)
+    )
 
 
 def experiment_table(spark: SparkSession, d: str) -> DataFrame:
@@ -183,8 +205,7 @@ def experiment_table(spark: SparkSession, d: str) -> DataFrame:
 
 def snapshot(spark: SparkSession, d: str) -> TextIndex:
     """The text index of the corpus, built once per application into the shared checkpoint folder."""
-    name = hashlib.md5(f"{spark.sparkContext.applicationId}:{d}".encode()).hexdigest()[:12]
-    path = f"{checkpoint_dir(spark)}/index-{name}"
+    path = app_folder(spark, d, "index")
     if current_version(spark, path) is None:
         write_index(build_index(corpus(spark, d)), path, AS_OF)
     return read_index(spark, path)

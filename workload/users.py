@@ -199,11 +199,15 @@ def all_events(spark, d):
     return b.events(spark, d).unionByName(asked, allowMissingColumns=True)
 
 
-def full_profiles(spark, d):
+def build_profiles(spark, d):
     none = profiles.empty_profiles(spark, "bigint", "bigint")
     return profiles.update_profiles(none, all_events(spark, d), b.corpus(spark, d), AS_OF)
 
 
+def full_profiles(spark, d):
+    return b.stored(spark, d, "profiles-with-searches", lambda: build_profiles(spark, d))
+
+
 def flat_profiles(df):
     join = lambda c: F.array_join(F.col(c).cast("array<string>"), " ").alias(c)
     return df.select(
@@ -234,7 +238,7 @@ _PROF = "uid, total_clicks, total_likes, active_days, query_history, click_doc_i
 
 @query("k2_profiles", sql(f"SELECT {_PROF} FROM prof_rows", "prof_rows"))
 def k2(spark, d):
-    return flat_profiles(full_profiles(spark, d))
+    return flat_profiles(build_profiles(spark, d))
 
 
 @query("k2_profile_weights", sql("SELECT uid, category, round(weight, 6) AS weight FROM weights", "weights"))

@@ -146,7 +146,7 @@ def lexicon(spark, d):
 
 
 def dictionary(spark, d):
-    return suggest.prefix_dictionary(lexicon(spark, d))
+    return b.stored(spark, d, "prefixes", lambda: suggest.prefix_dictionary(lexicon(spark, d)))
 
 
 def asked(spark, d):
@@ -167,7 +167,7 @@ def sources(spark, d):
 
 
 def cooccur(spark, d):
-    return behaviour.cooccurrence(b.interactions(spark, d), b.INTERACTION_ORDER)
+    return b.stored(spark, d, "cooccur", lambda: behaviour.cooccurrence(b.interactions(spark, d), b.INTERACTION_ORDER))
 
 
 @query("g1_lexicon", sql("SELECT word, source, freq, last_time, source_weight FROM lexicon", "lexicon"))
@@ -177,7 +177,7 @@ def g1(spark, d):
 
 @query("g2_prefix_dictionary", sql("SELECT prefix, word, source, freq, last_time, rank FROM prefixes", "prefixes"))
 def g2(spark, d):
-    return dictionary(spark, d).select("prefix", "word", "source", "freq", "last_time", "rank")
+    return suggest.prefix_dictionary(lexicon(spark, d)).select("prefix", "word", "source", "freq", "last_time", "rank")
 
 
 _R6 = "round(prefix_match_ratio, 6) AS prefix_match_ratio, round(freq_norm, 6) AS freq_norm, round(freshness, 6) AS freshness"
