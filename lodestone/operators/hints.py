@@ -258,10 +258,10 @@ def hints(
     dedup uses them up before the page is full and more exist, those sources alone are redone with
     eight times as many, so the result never depends on the starting limit.
     """
-    src = _described(sources, corpus)
+    src = cut_lineage(_described(sources, corpus))
     tables = HintTables(
-        tag_set_words(src, corpus, min_jaccard),
-        category_words(corpus),
+        cut_lineage(tag_set_words(src, corpus, min_jaccard)),
+        cut_lineage(category_words(corpus)),
         None if cooccur is None else hint_cooccur(sources, cooccur, corpus),
         None if query_stats is None or "query" not in sources.columns else hint_queries(sources, query_stats),
     )

@@ -147,6 +147,10 @@ def vector_queries(spark: SparkSession, d: str) -> DataFrame:
 
 def catalog(spark: SparkSession, d: str) -> DataFrame:
     """Products as documents: tags are brand and size, category the type."""
+    return stored(spark, d, "catalog", lambda: build_catalog(spark, d))
+
+
+def build_catalog(spark: SparkSession, d: str) -> DataFrame:
     parts = table(spark, d, "part")
     counts = (
         table(spark, d, "lineitem")
