@@ -28,8 +28,9 @@ def configure(spark: SparkSession) -> SparkSession:
 def checkpoint_dir(spark: SparkSession) -> str:
     """The cluster's shared checkpoint folder; a temporary one only where none is configured."""
     path = spark.conf.get("spark.checkpoint.dir", None)
-    if path is None and spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        return spark.sparkContext._jsc.sc().getCheckpointDir().get()
+    current = spark.sparkContext._jsc.sc().getCheckpointDir()
+    if current.isDefined():
+        return path or current.get()
     if path is None:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
