@@ -343,7 +343,7 @@ def e10(spark, d):
     log = event_log(spark, d)
     data = ranking.training_set(log)
     if not ranking.should_train(log, b.ANCHOR, b.AS_OF):
-        return data.select(F.lit(0).alias("trees"), F.count(F.lit(1)).over(None).alias("n")).limit(0)
+        return spark.createDataFrame([], "trees int, n bigint, mean_squared_error double")
     model = ranking.train_ranker(data, scratch(spark, "ranker"), max_iter=5)
     scored_ = model.transform(data.na.fill(0.0, ranking.MODEL_FEATURES))
     return scored_.agg(
