@@ -170,10 +170,11 @@ def labelled(docs: DataFrame, labels: DataFrame, max_labelled: int) -> DataFrame
 
 
 def thresholds(rows: DataFrame, cuts: int) -> dict[str, list[float]]:
-    """Candidate limits: the quantiles of each feature."""
-    probs = [i / cuts for i in range(1, cuts)]
+    """Candidate limits: midway between neighbouring quantiles of each feature."""
+    probs = [i / cuts for i in range(cuts + 1)]
     got = rows.agg(*[F.percentile_approx(F.col(k), probs, 10_000).alias(k) for k in features()]).first()
-    return {k: sorted({x for x in got[k] or [] if x is not None}) for k in features()}
+    seen = {k: sorted({x for x in got[k] or [] if x is not None}) for k in features()}
+    return {k: [(a + b) / 2 for a, b in zip(v, v[1:])] for k, v in seen.items()}
 
 
 def counts_by_limit(rows: DataFrame, limits: dict[str, list[float]]) -> dict[str, list[tuple[int, int]]]:

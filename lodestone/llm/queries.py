@@ -4,10 +4,10 @@ from __future__ import annotations
 
 import os
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import bpe, quality_rules
+from lodestone.llm import bpe, decontaminate, jaccard_join, line_dedup, quality_rules, secrets
 from lodestone.llm.common import table
 
 #: Folder of the public tokenizer files; a parameter of the deployment.
@@ -25,6 +25,32 @@ def op1_bpe(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def joined_spans(spans: str, kinds: tuple[str, ...]) -> Column:
+    """kind:start:end of the spans of these kinds, comma-joined."""
+    wanted = F.filter(spans, lambda s: s["kind"].isin(*kinds))
+    return F.concat_ws(
+        ",",
+        F.transform(
+            wanted, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))
+        ),
+    )
+
+
+def op3_secrets(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents")
+    found = secrets.scan(docs, secrets.fit(docs))
+
+    def number(kind: str) -> Column:
+        return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long")
+
+    return found.select(
+        "doc_id",
+        *[number(k).alias(f"n_{k}") for k in ("assign", "access", "hex")],
+        F.sha2(joined_spans("spans", ("assign", "access", "hex")), 256).alias("base_sha256"),
+        joined_spans("spans", secrets.KINDS).alias("spans"),
+    )
+
+
 def op5_quality_rules(spark: SparkSession, d: str) -> DataFrame:
     docs, labels = table(spark, d, "documents"), table(spark, d, "labels")
     return quality_rules.judge(docs.select("doc_id", "text"), quality_rules.learn(docs, labels)).select(
@@ -39,6 +65,25 @@ def op5_quality_rules(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-QUERIES = {"op1_bpe": op1_bpe, "op5_quality_rules": op5_quality_rules}
+def op6_decontaminate(spark: SparkSession, d: str) -> DataFrame:
+    return decontaminate.leaks(table(spark, d, "documents"), table(spark, d, "benchmark"))
+
+
+def op7_line_dedup(spark: SparkSession, d: str) -> DataFrame:
+    return line_dedup.dedup_lines(table(spark, d, "documents")).select("doc_id", "text")
+
+
+def op9_jaccard_join(spark: SparkSession, d: str) -> DataFrame:
+    return jaccard_join.near_duplicates(table(spark, d, "documents"))
+
+
+QUERIES = {
+    "op1_bpe": op1_bpe,
+    "op3_secrets": op3_secrets,
+    "op5_quality_rules": op5_quality_rules,
+    "op6_decontaminate": op6_decontaminate,
+    "op7_line_dedup": op7_line_dedup,
+    "op9_jaccard_join": op9_jaccard_join,
+}
 
 ORACLES: dict[str, str] = {}
