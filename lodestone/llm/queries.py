@@ -7,11 +7,23 @@ import os
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import bpe, decontaminate, jaccard_join, line_dedup, quality_rules, secrets
+from lodestone.llm import (
+    bpe,
+    decontaminate,
+    html_extract,
+    jaccard_join,
+    line_dedup,
+    pii,
+    quality_rules,
+    secrets,
+    suffix_tree,
+)
 from lodestone.llm.common import table
 
 #: Folder of the public tokenizer files; a parameter of the deployment.
 TOKENIZERS = os.environ.get("TOKENIZER_DIR", "/opt/tokenizers")
+#: The secret of the pseudonyms; a deployment sets its own.
+PII_KEY = os.environ.get("PII_KEY", "pseudonym key")
 WORD_BPE = f"{TOKENIZERS}/word_bpe_49k.json"
 
 
@@ -25,6 +37,12 @@ def op1_bpe(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def op2_html_extract(spark: SparkSession, d: str) -> DataFrame:
+    return html_extract.extract(table(spark, d, "pages")).select(
+        "page_id", "url", "text", F.length("text").cast("long").alias("n_chars")
+    )
+
+
 def joined_spans(spans: str, kinds: tuple[str, ...]) -> Column:
     """kind:start:end of the spans of these kinds, comma-joined."""
     wanted = F.filter(spans, lambda s: s["kind"].isin(*kinds))
@@ -51,6 +69,10 @@ def op3_secrets(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def op4_suffix_tree(spark: SparkSession, d: str) -> DataFrame:
+    return suffix_tree.score(table(spark, d, "documents"))
+
+
 def op5_quality_rules(spark: SparkSession, d: str) -> DataFrame:
     docs, labels = table(spark, d, "documents"), table(spark, d, "labels")
     return quality_rules.judge(docs.select("doc_id", "text"), quality_rules.learn(docs, labels)).select(
@@ -77,13 +99,21 @@ def op9_jaccard_join(spark: SparkSession, d: str) -> DataFrame:
     return jaccard_join.near_duplicates(table(spark, d, "documents"))
 
 
+def op10_pii(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    return pii.pseudonymize(docs, PII_KEY)
+
+
 QUERIES = {
     "op1_bpe": op1_bpe,
+    "op2_html_extract": op2_html_extract,
     "op3_secrets": op3_secrets,
+    "op4_suffix_tree": op4_suffix_tree,
     "op5_quality_rules": op5_quality_rules,
     "op6_decontaminate": op6_decontaminate,
     "op7_line_dedup": op7_line_dedup,
     "op9_jaccard_join": op9_jaccard_join,
+    "op10_pii": op10_pii,
 }
 
 ORACLES: dict[str, str] = {}
