@@ -1,12 +1,13 @@
 """LM scoring with a probabilistic suffix tree over the bytes of words.
 
 Texts are words and one end. A word is spelled as its bytes and a closing blank, read after the blank
-before it; the end is a symbol of its own in a word's first place, so probabilities of all token
-sequences sum to one. The tree's states are contexts of up to ``DEPTH`` symbols. A context is a
+before it; the end is a symbol of its own in a word's first place. The tree's states are contexts of up to ``DEPTH`` symbols. A context is a
 candidate if its continuations are at least ``SHARE`` of all symbols, and stays if its next-symbol
 distribution diverges from its longest suffix's by a likelihood gain of ``GAIN`` nats. Distributions are smoothed by
 absolute discounting into the longest retained suffix, down to a uniform one over all symbols. A
-position is scored by its longest suffix state.
+position is scored by its longest suffix state. A token's probability is its discounted share of the
+training tokens, and what the discounts free goes to the tree's spelling of it, so that probabilities
+sum to one and unseen words are scored by their letters.
 
 All corpus statistics cover every training document: tasks count words, Spark sums the counts, and
 contexts are counted from the word table. The tree has at most DEPTH + 1 over SHARE rows, so it can be sent to
@@ -218,6 +219,16 @@ class Tree:
         return float(-np.log10(SYMBOLS) + (self.rests[0][0] if len(self.rests[0]) else 0.0))
 
 
+def token_logs(n: np.ndarray, total: int, distinct: int, spelled_logs: np.ndarray) -> np.ndarray:
+    """log10 of each token's probability from its count and the tree's log10 probability of its spelling."""
+    if not total:
+        return spelled_logs
+    freed = np.log10(DISCOUNT * distinct / total) + spelled_logs
+    seen = np.maximum(n - DISCOUNT, 0) / total
+    with np.errstate(divide="ignore"):
+        return np.logaddexp(np.log(seen), freed * np.log(10)) / np.log(10)
+
+
 def score(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """(id_col, held_out, n_tokens, n_known, train_tokens, base_score, score) of every row."""
     words = stored(count_words(docs, id_col, text), "words")
@@ -238,7 +249,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFr
                     batch.column(0),
                     batch.column(1),
                     pa.array(np.log10(n + 0.5) - low),
-                    pa.array(tree.score(spelled_words)),
+                    pa.array(token_logs(n, total, distinct, tree.score(spelled_words))),
                 ],
                 ["key", "word", "n", "base", "lp"],
             )
@@ -248,7 +259,8 @@ def score(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFr
     often = weighed.filter(F.col("n") >= max(FREQUENT * total, 1)).select("word", "base", "lp").toArrow()
     index = {w: i for i, w in enumerate(often.column("word").to_pylist())}
     base, lp = (often.column(c).to_numpy(zero_copy_only=False) for c in ("base", "lp"))
-    end_base, end_lp = float(np.log10(ends + 0.5) - low), tree.score_end()
+    end_base = float(np.log10(ends + 0.5) - low)
+    end_lp = float(token_logs(np.array([ends]), total, distinct, np.array([tree.score_end()]))[0])
     parts = looked_up(docs, id_col, text, index, base, lp, (end_base, end_lp, int(ends > 0)))
     rare = weighed.filter(F.col("n") < max(FREQUENT * total, 1)).select(
         "key", (F.col("n") > 0).cast("long").alias("wk"), F.col("base").alias("wb"), F.col("lp").alias("wl")
