@@ -112,11 +112,11 @@ def card(x: Column, key: str) -> Column:
         return let(
             body,
             lambda b: F.concat(
-                b, F.filter(F.sequence(F.lit(0), F.lit(9)), lambda c: F.luhn_check(F.concat(b, c.cast("string"))))[0].cast("string")
+                b, F.filter(F.sequence(F.lit(0), F.lit(9)), lambda c: F.call_function("luhn_check", F.concat(b, c.cast("string"))))[0].cast("string")
             ),
         )
 
-    return let(digits_of(x), lambda d: F.when(F.luhn_check(d), put_digits(x, renewed(d))).otherwise(x))
+    return let(digits_of(x), lambda d: F.when(F.call_function("luhn_check", d), put_digits(x, renewed(d))).otherwise(x))
 
 
 def mod97(rearranged: Column) -> Column:
@@ -230,7 +230,7 @@ def date(x: Column, key: str) -> Column:
             yy, mm, dd = F.date_format(day, "yyyy"), F.date_format(day, "MM"), F.date_format(day, "dd")
             lead = F.when(r["md"], mm).otherwise(dd)
             other = F.when(r["md"], dd).otherwise(mm)
-            return F.when(r["yf"], F.concat_ws(sep, yy, mm, dd)).otherwise(F.concat(lead, sep, other, sep, yy))
+            return F.when(r["yf"], F.concat(yy, sep, mm, sep, dd)).otherwise(F.concat(lead, sep, other, sep, yy))
 
         inside = r["date"].isNotNull() & F.year(r["date"]).between(1900, 2099)
         new_day = F.date_add(F.lit(FIRST_DAY).cast("date"), walk.cast("int"))

@@ -16,6 +16,7 @@ from lodestone.llm import (
     pii,
     quality_rules,
     secrets,
+    substring_dedup,
     suffix_tree,
 )
 from lodestone.llm.common import table
@@ -95,6 +96,10 @@ def op7_line_dedup(spark: SparkSession, d: str) -> DataFrame:
     return line_dedup.dedup_lines(table(spark, d, "documents")).select("doc_id", "text")
 
 
+def op8_substring_dedup(spark: SparkSession, d: str) -> DataFrame:
+    return substring_dedup.repeated_passages(table(spark, d, "documents"))
+
+
 def op9_jaccard_join(spark: SparkSession, d: str) -> DataFrame:
     return jaccard_join.near_duplicates(table(spark, d, "documents"))
 
@@ -112,6 +117,7 @@ QUERIES = {
     "op5_quality_rules": op5_quality_rules,
     "op6_decontaminate": op6_decontaminate,
     "op7_line_dedup": op7_line_dedup,
+    "op8_substring_dedup": op8_substring_dedup,
     "op9_jaccard_join": op9_jaccard_join,
     "op10_pii": op10_pii,
 }
