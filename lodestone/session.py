@@ -20,6 +20,8 @@ def configure(spark: SparkSession) -> SparkSession:
     conf.set("spark.sql.adaptive.skewJoin.enabled", "true")
     conf.set("spark.sql.adaptive.forceOptimizeSkewedJoin", "true")
     conf.set("spark.sql.execution.arrow.pyspark.enabled", "true")
+    # Long texts: a batch of the default 10,000 rows would hold tens of megabytes in every worker.
+    conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
     if spark.sparkContext.master.startswith("local"):
         conf.set("spark.sql.shuffle.partitions", str(spark.sparkContext.defaultParallelism))
     return spark
