@@ -32,6 +32,8 @@ from lodestone.llm.shingles import mix, shingle_set, signed
 
 #: Documents whose shingles tell which tokens come last.
 ORDER_SAMPLE = 16_000
+#: Documents whose signatures share a partition, a few hundred each, so that sorting them needs no disk.
+ROWS_PER_PART = 2_000
 #: Documents of the sample with a shingle that make it frequent.
 FREQUENT = 3
 _ALONE = np.uint64(0xA5A5A5A55A5A5A5A)
@@ -210,8 +212,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text")
     owners = sets.filter("node is not null and id is not null").groupBy("node").agg(F.min("id").alias("id"))
     frequent = frequent_shingles(docs, id_col, text, rows)
     group = Window.partitionBy("sig").orderBy("node")
+    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), rows // ROWS_PER_PART)
     members = stored(
         signed_rows(docs.filter(F.col(id_col).isNotNull()), text, frequent)
+        .repartition(parts, "sig")
         .withColumn("lead", F.lead("node").over(group))
         .withColumn("prev", F.lag("node").over(group))
         .withColumn("head", F.first("node").over(group.rowsBetween(Window.unboundedPreceding, 0)))

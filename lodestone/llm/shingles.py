@@ -6,7 +6,7 @@ import numpy as np
 import xxhash
 
 SIZE = 5
-CACHE_WORDS = 700_000
+CACHE_WORDS = 200_000
 _MULTIPLY = np.uint64(0x9E3779B97F4A7C15)
 _MIX_A = np.uint64(0xBF58476D1CE4E5B9)
 _MIX_B = np.uint64(0x94D049BB133111EB)
