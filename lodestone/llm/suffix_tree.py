@@ -1,17 +1,16 @@
-"""LM scoring with a probabilistic suffix tree over the bytes of words.
+"""LM scoring with a probabilistic suffix tree over words.
 
-Texts are words and one end. A word is spelled as its bytes and a closing blank, read after the blank
-before it; the end is a symbol of its own in a word's first place. The tree's states are contexts of up to ``DEPTH`` symbols. A context is a
-candidate if its continuations are at least ``SHARE`` of all symbols, and stays if its next-symbol
-distribution diverges from its longest suffix's by a likelihood gain of ``GAIN`` nats. Distributions are smoothed by
-absolute discounting into the longest retained suffix, down to a uniform one over all symbols. A
-position is scored by its longest suffix state. A token's probability is its discounted share of the
-training tokens, and what the discounts free goes to the tree's spelling of it, so that probabilities
-sum to one and unseen words are scored by their letters.
+A text is its words and one end. States of the tree are contexts of up to two preceding words (a start
+symbol stands before the text). A context is a candidate if ``CONTEXT_SHARE`` of all tokens follow it, and
+becomes a state if its next-word distribution diverges from that of its longest suffix state: the
+likelihood gain must exceed half the logarithm of its count for every word it would describe. Distributions
+are smoothed by absolute discounting into the longest suffix state, down to the share of each word among all training tokens;
+what the discounts free there is the probability of the one class of unknown words. A word is scored by
+the longest suffix state of its context.
 
-All corpus statistics cover every training document: tasks count words, Spark sums the counts, and
-contexts are counted from the word table. The tree has at most DEPTH + 1 over SHARE rows, so it can be sent to
-tasks; so can the words that make up FREQUENT of all tokens or more. All other words meet their counts in a join.
+All corpus statistics cover every training document: tasks count, Spark sums the counts. Words of
+``WORD_SHARE`` of all tokens or more, and contexts with next words as frequent as that, go to tasks: at most 1 / WORD_SHARE
+rows of each length. Any other word is its class in the tree and meets its own count in a join.
 
 Defined results: null text counts as empty and is one end; documents with a null id are trained on;
 repeated rows count and are scored row by row; no documents give no rows. Words are joined by 64-bit hashes.
@@ -26,23 +25,20 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.llm.common import stored
 
-DEPTH = 5
-SHARE = 2e-6
-GAIN = 6.0
+CONTEXT_SHARE = 1e-3
+WORD_SHARE = 2e-6
 DISCOUNT = 0.6
-FREQUENT = 1e-6
-SYMBOLS = 257
-END = 10  # line feed, which no word holds
-BLANK = 32
 FOLDS, HELD_OUT = 5, 1
-#: Distinct words a task holds before it hands their counts on.
-HELD_WORDS = 400_000
+#: Distinct words, and strings of words, that a task holds before it hands their counts on.
+HELD_WORDS, HELD_GRAMS = 300_000, 3_000_000
+#: Symbols: any other word, the start, the end, then frequent words. Three of them fit into 63 bits.
+OTHER, START, END, FIRST = 0, 1, 2, 3
+BITS = 21
 
 
 def held_out(id_col: str):
@@ -54,11 +50,6 @@ def is_held_out(doc_id: int | None) -> bool:
     return doc_id is not None and zlib.crc32(str(doc_id).encode()) % FOLDS == HELD_OUT
 
 
-def word_key(word: bytes) -> int:
-    h = xxhash.xxh3_64_intdigest(word)
-    return h - (1 << 64) if h >> 63 else h
-
-
 def count_words(docs: DataFrame, id_col: str, text: str) -> DataFrame:
     """(word, n) of all documents; n counts training documents only and may be 0."""
 
@@ -88,231 +79,234 @@ def count_words(docs: DataFrame, id_col: str, text: str) -> DataFrame:
     return slim.mapInArrow(run, "word binary, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def spelled(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(symbols, place in word, word index) of blank + word + blank for every word, laid end to end."""
-    data = np.frombuffer(b" " + b"  ".join(words) + b" ", np.uint8) if words else np.zeros(0, np.uint8)
-    sizes = np.fromiter(map(len, words), np.int64, len(words)) + 2
-    owner = np.repeat(np.arange(len(words)), sizes)
-    place = np.arange(len(data)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-    return data, place, owner
+@dataclass
+class Words:
+    """Frequent words by symbol, with the counts of all symbols."""
+
+    index: dict[bytes, int]
+    counts: np.ndarray
+    total: int
+    distinct: int
+
+    def symbols(self, text: bytes | None) -> tuple[list[bytes], np.ndarray]:
+        """Words of a text, and their symbols with the end."""
+        words = (text or b"").lower().split()
+        out = np.empty(len(words) + 1, np.int64)
+        get = self.index.get
+        out[:-1] = np.fromiter((get(w, OTHER) for w in words), np.int64, len(words))
+        out[-1] = END
+        return words, out
+
+
+def contexts(symbols: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(word, one before, two before) of all positions of some texts, laid end to end."""
+    w, one, two = [], [], []
+    for s in symbols:
+        before = np.concatenate([[START, START], s])
+        w.append(s)
+        one.append(before[1:-1])
+        two.append(before[:-2])
+    return np.concatenate(w), np.concatenate(one), np.concatenate(two)
+
+
+def count_grams(docs: DataFrame, id_col: str, text: str, words: Words) -> DataFrame:
+    """(k, v, n) of strings of k symbols whose context is frequent word by word."""
+    able = words.counts >= CONTEXT_SHARE * words.total
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+        size = 0
+        for batch in batches:
+            seen = [words.symbols(v.as_py())[1] for v in batch.column(0)]
+            if not seen:
+                continue
+            w, one, two = contexts(seen)
+            single = able[one]
+            double = single & able[two]
+            # Two-symbol strings leave the top bits empty, so both kinds share a table.
+            held += [(one << BITS | w)[single], (((two + 1) << BITS | one) << BITS | w)[double]]
+            size += len(held[-1]) + len(held[-2])
+            if size > HELD_GRAMS:
+                yield from rows(held)
+                held, size = [], 0
+        yield from rows(held)
+
+    def rows(held: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        if held:
+            v, n = np.unique(np.concatenate(held), return_counts=True)
+            for at in range(0, len(v), 100_000):
+                yield pa.RecordBatch.from_arrays([pa.array(v[at : at + 100_000]), pa.array(n[at : at + 100_000])], ["v", "n"])
+
+    slim = docs.filter(~held_out(id_col)).select(F.col(text).cast("binary").alias("t"))
+    return slim.mapInArrow(run, "v bigint, n bigint").groupBy("v").agg(F.sum("n").alias("n"))
+
+
+def frequent_grams(counted: DataFrame, total: int):
+    """(v, n, context total) of strings with WORD_SHARE of all tokens whose context has CONTEXT_SHARE."""
+    full = stored(counted, "grams").withColumn("c", F.shiftright("v", BITS))
+    totals = full.groupBy("c").agg(F.sum("n").alias("total")).filter(F.col("total") >= CONTEXT_SHARE * total)
+    often = full.filter((F.col("n") >= WORD_SHARE * total) & (F.col("n") > 1) & (F.expr(f"v & {(1 << BITS) - 1}") != OTHER))
+    return often.join(totals, "c").select("v", "n", "total").toArrow()
 
-def grams(data: np.ndarray, place: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """For each length from 1: positions with that many symbols up to them, and the symbols as one number."""
-    value = np.zeros(len(data), np.int64)
-    for k in range(1, DEPTH + 2):
-        # The number of the k - 1 symbols before, and this one.
-        before = np.r_[np.zeros(1, np.int64), value[:-1]] if k > 1 else np.zeros(len(data), np.int64)
-        value = before * 256 + data
-        at = np.flatnonzero((place >= max(1, k - 1)))
-        yield k, at, value[at]
 
+@dataclass
+class Level:
+    """States of one context length and the strings they describe, sorted, in log10."""
 
-def count_grams(words: DataFrame) -> DataFrame:
-    """(k, v, n): how often every string of up to DEPTH + 1 symbols ends at a scored symbol."""
+    states: np.ndarray
+    rests: np.ndarray
+    strings: np.ndarray
+    logs: np.ndarray
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            data, place, owner = spelled(batch.column(0).to_pylist())
-            weight = batch.column(1).to_numpy(zero_copy_only=False)
-            for k, at, value in grams(data, place):
-                v, inverse = np.unique(value, return_inverse=True)
-                n = np.bincount(inverse, weight[owner[at]], len(v)).astype(np.int64)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(v), k, np.int32)), pa.array(v), pa.array(n)], ["k", "v", "n"]
-                )
-
-    found = words.filter("n > 0").mapInArrow(run, "k int, v bigint, n bigint")
-    return found.groupBy("k", "v").agg(F.sum("n").alias("n"))
-
-
-def states(counted: DataFrame, ends: int) -> DataFrame:
-    """(k, v, n, total, kept): frequent strings, their contexts' totals, and whether the contexts are states."""
-    last = F.expr(f"struct(1 as k, {END}L as v, {ends}L as n)")
-    after = F.expr(f"struct(2 as k, {BLANK * 256 + END}L as v, {ends}L as n)")
-    extra = counted.sparkSession.range(1).select(F.explode(F.array(last, after)).alias("x")).select("x.*")
-    full = stored(counted.unionByName(extra), "grams")
-    total = full.filter("k = 1").agg(F.sum("n")).first()[0] or 0
-    least = SHARE * total
-    context = F.shiftright("v", 8).alias("c")
-    totals = full.groupBy("k", context).agg(F.sum("n").alias("total"))
-    often = full.filter(F.col("n") >= least).withColumn("c", F.shiftright("v", 8)).join(totals, ["k", "c"])
-    shorter = often.select((F.col("k") + 1).alias("k"), F.col("v").alias("tail"), F.col("n").alias("pn"), F.col("total").alias("pt"))
-    tail = F.expr("v & (shiftleft(1L, 8 * (k - 1)) - 1)")
-    gains = (
-        often.withColumn("tail", tail)
-        .join(shorter, ["k", "tail"])
-        .groupBy("k", "c")
-        .agg(F.sum(F.col("n") * F.log((F.col("n") / F.col("total")) / (F.col("pn") / F.col("pt")))).alias("gain"))
-    )
-    kept = gains.filter(F.col("gain") >= GAIN).select("k", "c", F.lit(True).alias("kept"))
-    return often.join(kept, ["k", "c"], "left").select(
-        "k", "v", "n", "total", (F.coalesce("kept", F.lit(False)) | (F.col("k") == 1)).alias("kept")
-    )
+    def find(self, context: np.ndarray, string: np.ndarray):
+        """(is a state, log of its rest, is described, log of its probability) of every position."""
+        state, rest = lookup(self.states, self.rests, context)
+        hit, log = lookup(self.strings, self.logs, string)
+        return state, rest, hit & state, log
 
 
-@dataclass
-class Tree:
-    """Sorted strings of each length with the log10 probability of their last symbol, and the states' rests."""
+def lookup(keys: np.ndarray, values: np.ndarray, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    if not len(keys):
+        return np.zeros(len(asked), bool), np.zeros(len(asked))
+    at = np.minimum(np.searchsorted(keys, asked), len(keys) - 1)
+    return keys[at] == asked, values[at]
 
-    strings: list[np.ndarray]
-    logs: list[np.ndarray]
-    contexts: list[np.ndarray]
-    rests: list[np.ndarray]
+
+class Tree:
+    def __init__(self, words: Words, v: np.ndarray, n: np.ndarray, total: np.ndarray):
+        self.root = np.maximum(words.counts - DISCOUNT, 0) / max(words.total, 1)
+        self.levels: list[Level] = []
+        mask = (1 << BITS) - 1
+        long = v >> (2 * BITS) > 0
+        below = lambda s: self.root[s & mask]
+        for part in (~long, long):
+            s, count, of = v[part], n[part], total[part]
+            order = np.argsort(s)
+            s, count, of = s[order], count[order], of[order]
+            tails = below(s)
+            context, first, inverse = np.unique(s >> BITS, return_index=True, return_inverse=True)
+            gain = np.bincount(inverse, count * np.log((count / np.maximum(of, 1)) / np.maximum(tails, 1e-300)), len(context))
+            described = np.bincount(inverse, minlength=len(context))
+            diverges = gain >= 0.5 * np.log(np.maximum(of[first] if len(s) else of, 2)) * described
+            own = (count - DISCOUNT) / np.maximum(of, 1)
+            rest = np.maximum(1 - np.bincount(inverse, own, len(context)), 1e-9)
+            p = own + rest[inverse] * tails if len(s) else own
+            keep = diverges[inverse] if len(s) else np.zeros(0, bool)
+            level = Level(context[diverges], np.log10(rest[diverges]), s[keep], np.log10(p[keep]))
+            self.levels.append(level)
+            below = lambda x, level=level, lower=below: self.suffix(level, lower, x)
 
     @staticmethod
-    def build(k: np.ndarray, v: np.ndarray, n: np.ndarray, total: np.ndarray, kept: np.ndarray) -> Tree:
-        strings, logs, contexts, rests = [], [], [], []
-        below = np.zeros(0)
-        for length in range(1, DEPTH + 2):
-            at = np.flatnonzero(k == length)
-            at = at[np.argsort(v[at])]
-            s, c = v[at], v[at] >> 8
-            own = np.maximum(n[at] - DISCOUNT, 0) / np.maximum(total[at], 1)
-            states, first, inverse = np.unique(c, return_index=True, return_inverse=True)
-            rest = 1 - np.bincount(inverse, own, len(states))
-            is_state = kept[at][first] if len(at) else np.zeros(0, bool)
-            if length == 1:
-                tail = np.full(len(s), 1 / SYMBOLS)
-            else:
-                tail = below[np.searchsorted(strings[-1], s & ((1 << 8 * (length - 1)) - 1))]
-            p = np.where(is_state[inverse], own + rest[inverse] * tail, tail) if len(at) else own
-            strings.append(s)
-            logs.append(np.log10(p))
-            contexts.append(states[is_state])
-            rests.append(np.log10(np.maximum(rest[is_state], 1e-12)))
-            below = p
-        return Tree(strings, logs, contexts, rests)
-
-    def score(self, words: list[bytes]) -> np.ndarray:
-        """log10 probability of each word with its closing blank, after a blank."""
-        if not words:
-            return np.zeros(0)
-        data, place, owner = spelled(words)
-        out = np.zeros(len(data))
-        open_ = place >= 1
-        steps = list(grams(data, place))
-        for k, at, value in reversed(steps):
-            live = open_[at]
-            at, value = at[live], value[live]
-            s, i = self.strings[k - 1], k - 1
-            where = np.minimum(np.searchsorted(s, value), max(len(s) - 1, 0))
-            hit = s[where] == value if len(s) else np.zeros(len(value), bool)
-            out[at[hit]] += self.logs[i][where[hit]]
-            open_[at[hit]] = False
-            at, context = at[~hit], value[~hit] >> 8
-            c = self.contexts[i]
-            if len(c) and len(at):
-                where = np.minimum(np.searchsorted(c, context), len(c) - 1)
-                state = c[where] == context
-                out[at[state]] += self.rests[i][where[state]]
-        out[open_] -= np.log10(SYMBOLS)
-        return np.bincount(owner, out, len(words))
-
-    def score_end(self) -> float:
-        """log10 probability of the end after a blank."""
-        for k, value in ((2, BLANK * 256 + END), (1, END)):
-            s = self.strings[k - 1]
-            i = int(np.searchsorted(s, value))
-            if i < len(s) and s[i] == value:
-                return float(self.logs[k - 1][i])
-        return float(-np.log10(SYMBOLS) + (self.rests[0][0] if len(self.rests[0]) else 0.0))
-
-
-def token_logs(n: np.ndarray, total: int, distinct: int, spelled_logs: np.ndarray) -> np.ndarray:
-    """log10 of each token's probability from its count and the tree's log10 probability of its spelling."""
-    if not total:
-        return spelled_logs
-    freed = np.log10(DISCOUNT * distinct / total) + spelled_logs
-    seen = np.maximum(n - DISCOUNT, 0) / total
-    with np.errstate(divide="ignore"):
-        return np.logaddexp(np.log(seen), freed * np.log(10)) / np.log(10)
+    def suffix(level: Level, lower, string: np.ndarray) -> np.ndarray:
+        """Probability of the last symbol after the context without its first word."""
+        short = string & ((1 << 2 * BITS) - 1)
+        state, rest, hit, log = level.find(short >> BITS, short)
+        return np.where(hit, 10**log, np.where(state, 10**rest, 1.0) * lower(string))
+
+    def score(self, w: np.ndarray, one: np.ndarray, two: np.ndarray) -> np.ndarray:
+        """log10 probability of every position; of OTHER words only the part that precedes their own share."""
+        out, live = np.zeros(len(w)), np.ones(len(w), bool)
+        short = one << BITS | w
+        strings = (((two + 1) << BITS | one) << BITS | w, short)
+        for level, string in zip(reversed(self.levels), strings):
+            state, rest, hit, log = level.find(string >> BITS, string)
+            out += np.where(live & hit, log, np.where(live & state, rest, 0.0))
+            live &= ~hit
+        with np.errstate(divide="ignore"):
+            plain = np.log10(self.root)
+        use = live & (w != OTHER)
+        out[use] += plain[w[use]]
+        return out
 
 
 def score(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """(id_col, held_out, n_tokens, n_known, train_tokens, base_score, score) of every row."""
-    words = stored(count_words(docs, id_col, text), "words")
+    table = stored(count_words(docs, id_col, text), "words")
     ends = docs.filter(~held_out(id_col)).count()
-    sums = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum((F.col("n") > 0).cast("long")), F.lit(0))).first()
+    sums = table.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum((F.col("n") > 0).cast("long")), F.lit(0))).first()
     total, distinct = sums[0] + ends, sums[1] + int(ends > 0)
+    often = F.col("n") >= max(WORD_SHARE * total, 2)
+    listed = table.filter(often).orderBy(F.desc("n"), "word").toArrow()
+    counts = np.concatenate([[0, ends, ends], listed.column("n").to_numpy()]).astype(np.int64)
+    counts[OTHER] = max(total - int(counts[END:].sum()), 0)
+    words = Words({w: FIRST + i for i, w in enumerate(listed.column("word").to_pylist())}, counts, total, distinct)
+    got = frequent_grams(count_grams(docs, id_col, text, words), total)
+    tree = Tree(words, *(got.column(c).to_numpy(zero_copy_only=False) for c in ("v", "n", "total")))
     low = np.log10(total + 0.5 * (distinct + 1))
-    rows = states(count_grams(words), ends).toArrow()
-    tree = Tree.build(*(rows.column(c).to_numpy(zero_copy_only=False) for c in ("k", "v", "n", "total", "kept")))
-
-    def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            spelled_words = batch.column(0).to_pylist()
-            n = batch.column(1).to_numpy(zero_copy_only=False)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([word_key(w) for w in spelled_words], pa.int64()),
-                    batch.column(0),
-                    batch.column(1),
-                    pa.array(np.log10(n + 0.5) - low),
-                    pa.array(token_logs(n, total, distinct, tree.score(spelled_words))),
-                ],
-                ["key", "word", "n", "base", "lp"],
-            )
-
-    weighed = stored(words.mapInArrow(weigh, "key bigint, word binary, n bigint, base double, lp double"), "weighed-words")
-    # At most 1 / FREQUENT words can have that share of all tokens.
-    often = weighed.filter(F.col("n") >= max(FREQUENT * total, 1)).select("word", "base", "lp").toArrow()
-    index = {w: i for i, w in enumerate(often.column("word").to_pylist())}
-    base, lp = (often.column(c).to_numpy(zero_copy_only=False) for c in ("base", "lp"))
-    end_base = float(np.log10(ends + 0.5) - low)
-    end_lp = float(token_logs(np.array([ends]), total, distinct, np.array([tree.score_end()]))[0])
-    parts = looked_up(docs, id_col, text, index, base, lp, (end_base, end_lp, int(ends > 0)))
-    rare = weighed.filter(F.col("n") < max(FREQUENT * total, 1)).select(
-        "key", (F.col("n") > 0).cast("long").alias("wk"), F.col("base").alias("wb"), F.col("lp").alias("wl")
+    # One class of unknown words; without training tokens every word is unknown.
+    unknown = float(np.log10(max(DISCOUNT * distinct, 0.5) / max(total, 1)))
+    parts = looked_up(docs, id_col, text, words, tree, np.log10(np.where(np.arange(len(counts)) == OTHER, 0, counts) + 0.5) - low)
+    n = F.col("n")
+    rare = table.filter(~often).select(
+        name_of("word").alias("key"),
+        (n > 0).cast("long").alias("wk"),
+        (F.log10(n + 0.5) - F.lit(float(low))).alias("wb"),
+        F.when(n > 0, F.log10((n - DISCOUNT) / max(total, 1))).otherwise(unknown).alias("wl"),
     )
     whole = parts.filter("key is null").select("row", "doc", "tokens", "known", "base", "lp")
+    times = F.col("tokens")
     single = (
         parts.filter("key is not null")
         .join(rare, "key")
-        .select("row", F.lit(None).cast("bigint").alias("doc"), F.lit(0).cast("bigint").alias("tokens"), (F.col("tokens") * F.col("wk")).alias("known"), (F.col("tokens") * F.col("wb")).alias("base"), (F.col("tokens") * F.col("wl")).alias("lp"))
+        .select(
+            "row",
+            F.lit(None).cast("bigint").alias("doc"),
+            F.lit(0).cast("bigint").alias("tokens"),
+            (times * F.col("wk")).alias("known"),
+            (times * F.col("wb")).alias("base"),
+            (times * F.col("wl")).alias("lp"),
+        )
+    )
+    sums = whole.unionByName(single).groupBy("row").agg(
+        F.max("doc").alias(id_col),
+        F.sum("tokens").alias("n_tokens"),
+        F.sum("known").alias("n_known"),
+        F.sum("base").alias("base_score"),
+        F.sum("lp").alias("score"),
     )
-    return (
-        whole.unionByName(single)
-        .groupBy("row")
-        .agg(*[F.max("doc").alias(id_col), F.sum("tokens").alias("n_tokens"), F.sum("known").alias("n_known"), F.sum("base").alias("base_score"), F.sum("lp").alias("score")])
-        .select(id_col, held_out(id_col).alias("held_out"), "n_tokens", "n_known", F.lit(total).cast("bigint").alias("train_tokens"), "base_score", "score")
+    return sums.select(
+        id_col, held_out(id_col).alias("held_out"), "n_tokens", "n_known", F.lit(total).cast("bigint").alias("train_tokens"), "base_score", "score"
     )
 
 
-def looked_up(docs, id_col, text, index, base, lp, end) -> DataFrame:
-    """One row per document with the sums over its end and frequent words, and one per other word in it."""
+def name_of(word: str):
+    return F.xxhash64(word)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["row", "doc", "key", "tokens", "known", "base", "lp"]
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
 
-        def batch_of(cols):
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names)
+def looked_up(docs: DataFrame, id_col: str, text: str, words: Words, tree: Tree, base: np.ndarray) -> DataFrame:
+    """One row per document with what the tree and frequent words give, and one per other word in it."""
+    names = ["row", "doc", "word", "tokens", "known", "base", "lp"]
+    kinds = [pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, docs_ = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            cols: list[list] = [[] for _ in names]
-            for i, value in enumerate(batch.column(2)):
-                words = (value.as_py() or b"").lower().split()
-                at = np.fromiter((index.get(w, -1) for w in words), np.int64, len(words))
-                seen = at[at >= 0]
-                row = (ids[i], docs_[i], None, len(words) + 1, len(seen) + end[2], float(base[seen].sum()) + end[0], float(lp[seen].sum()) + end[1])
-                for c, x in zip(cols, row):
-                    c.append(x)
-                other = Counter(w for w, a in zip(words, at.tolist()) if a < 0)
-                if other:
-                    k = len(other)
-                    cols[0] += [ids[i]] * k
-                    cols[1] += [None] * k
-                    cols[2] += map(word_key, other)
-                    cols[3] += other.values()
-                    cols[4] += [None] * k
-                    cols[5] += [None] * k
-                    cols[6] += [None] * k
-                if len(cols[0]) > 100_000:
-                    yield batch_of(cols)
-                    cols = [[] for _ in names]
-            yield batch_of(cols)
-
-    slim = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("doc"), F.col(text).cast("binary").alias("t"))
-    return slim.mapInArrow(run, "row bigint, doc bigint, key bigint, tokens bigint, known bigint, base double, lp double")
+            if not ids:
+                continue
+            read = [words.symbols(v.as_py()) for v in batch.column(2)]
+            symbols = [s for _, s in read]
+            w, one, two = contexts(symbols)
+            owner = np.repeat(np.arange(len(ids)), [len(s) for s in symbols])
+            known = (w != OTHER) & (words.counts[w] > 0)
+            cols: list[list] = [
+                ids,
+                docs_,
+                [None] * len(ids),
+                [len(s) for s in symbols],
+                np.bincount(owner, known, len(ids)).astype(np.int64).tolist(),
+                np.bincount(owner, np.where(w == OTHER, 0.0, base[w]), len(ids)).tolist(),
+                np.bincount(owner, tree.score(w, one, two), len(ids)).tolist(),
+            ]
+            for i, (spelled, s) in enumerate(read):
+                other = Counter([spelled[j] for j in np.flatnonzero(s == OTHER).tolist()])
+                k = len(other)
+                for c, x in zip(cols, ([ids[i]] * k, [None] * k, other, other.values(), [None] * k, [None] * k, [None] * k)):
+                    c += x
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names)
+
+    slim = docs.select(
+        F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("doc"), F.col(text).cast("binary").alias("t")
+    )
+    found = slim.mapInArrow(run, "row bigint, doc bigint, word binary, tokens bigint, known bigint, base double, lp double")
+    key = F.when(F.col("word").isNotNull(), name_of("word")).alias("key")
+    return found.select("row", "doc", key, "tokens", "known", "base", "lp")

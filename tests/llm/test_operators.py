@@ -238,44 +238,28 @@ def test_network_separates_keys_from_words():
 # -- 4: scoring -----------------------------------------------------------------------------------
 
 
-def test_tree_probabilities_sum_to_one(spark):
-    docs = spark.createDataFrame([(i, "aba ab abb ba") for i in range(20)], "doc_id bigint, text string")
-    words = suffix_tree.count_words(docs, "doc_id", "text")
-    got = suffix_tree.states(suffix_tree.count_grams(words), 10).toArrow()
-    tree = suffix_tree.Tree.build(*(got.column(c).to_numpy(zero_copy_only=False) for c in ("k", "v", "n", "total", "kept")))
-    for context in (b"", b"a", b"ab"):
-        one = sum(10 ** (tree.score([context + bytes([s])])[0] - tree_closing(tree, context + bytes([s]))) for s in range(256) if s not in (9, 10, 11, 12, 13, 32))
-        assert one <= tree_rest(tree, context) + 1e-9
-
-
-def tree_closing(tree, word):
-    """log10 probability of the closing blank alone."""
-    data, place, _ = suffix_tree.spelled([word])
-    return position_logs(tree, data, place)[-1]
-
-
-def tree_rest(tree, context):
-    data, place, _ = suffix_tree.spelled([context + b"x"])
-    return 10 ** sum(position_logs(tree, data, place)[1 : 1 + len(context)])
-
-
-def position_logs(tree, data, place):
-    out = np.zeros(len(data))
-    for at in range(1, len(data)):
-        value, rest = None, 0.0
-        for k in range(min(place[at] + 1, suffix_tree.DEPTH + 1), 0, -1):
-            v = int.from_bytes(bytes(data[at - k + 1 : at + 1]), "big")
-            s = tree.strings[k - 1]
-            i = int(np.searchsorted(s, v))
-            if i < len(s) and s[i] == v:
-                value = tree.logs[k - 1][i]
-                break
-            c = tree.contexts[k - 1]
-            j = int(np.searchsorted(c, v >> 8))
-            if j < len(c) and c[j] == v >> 8:
-                rest += tree.rests[k - 1][j]
-        out[at] = rest + (value if value is not None else -np.log10(suffix_tree.SYMBOLS))
-    return out
+def test_tree_probabilities_sum_to_one():
+    """Over all known words, the end and the unknown class, after every context."""
+    rng = np.random.default_rng(3)
+    text, total = [], 6000
+    for _ in range(total):
+        text.append(int(rng.choice(8)) if not text or rng.random() < 0.3 else (text[-1] * 3 + 1) % 8)
+    symbols = np.array(text) + suffix_tree.FIRST
+    counts = np.bincount(symbols, minlength=suffix_tree.FIRST + 8)
+    words = suffix_tree.Words({}, counts, total, 8)
+    w, one, two = suffix_tree.contexts([symbols])
+    grams = [one << suffix_tree.BITS | w, (((two + 1) << suffix_tree.BITS | one) << suffix_tree.BITS | w)]
+    v, n = (np.concatenate(x) for x in zip(*[np.unique(g, return_counts=True) for g in grams]))
+    c, inverse = np.unique(v >> suffix_tree.BITS, return_inverse=True)
+    tree = suffix_tree.Tree(words, v, n, np.bincount(inverse, n)[inverse])
+    assert len(tree.levels[0].states) >= 8 > len(tree.levels[1].states)  # one word tells nearly all that two do
+    every = np.arange(suffix_tree.FIRST, suffix_tree.FIRST + 8)
+    unknown = suffix_tree.DISCOUNT * 8 / total
+    for a in every:
+        for b in every:
+            p = 10 ** tree.score(every, np.full(8, a), np.full(8, b))
+            other = 10 ** tree.score(np.array([0]), np.array([a]), np.array([b]))[0] * unknown
+            assert abs(p.sum() + other - 1) < 1e-9
 
 
 @needs_tables
