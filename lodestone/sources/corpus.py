@@ -33,16 +33,6 @@ def read_corpus(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def spread_small(df: DataFrame, key: str) -> DataFrame:
-    """Hash a table over all cores when its files give fewer scan tasks than there are cores.
-
-    Only small inputs (a few files or row groups) are ever shuffled here; a large table already has
-    more splits than cores and is returned as it is.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
-
-
 def write_corpus(corpus: DataFrame, path: str) -> None:
     corpus.write.mode("overwrite").parquet(path)
 

@@ -263,16 +263,31 @@ def stream_hot(
 # ---------------------------------------------------------------- corpus changes
 
 
+def newest_versions(rows: DataFrame) -> DataFrame:
+    """The row of the highest (version, batch) per document."""
+    rest = [c for c in rows.columns if c not in ("doc_id", "batch")]
+    newest = rows.groupBy("doc_id").agg(F.max_by(F.struct(*rest), F.struct("version", "at_batch")).alias("_r"))
+    return newest.select("doc_id", "_r.*")
+
+
+def terms_of_newest(rows: DataFrame) -> DataFrame:
+    """Postings that came with the highest (version, batch) per document."""
+    top = rows.groupBy("doc_id").agg(F.max(F.struct("version", "at_batch")).alias("_top"))
+    last = top.select("doc_id", "_top.version", "_top.at_batch")
+    return rows.drop("batch").join(last, ["doc_id", "version", "at_batch"], "left_semi")
+
+
 class CorpusFeed:
     """Corpus and postings kept current from a change stream (op, version, document columns).
 
-    A batch stores its changed documents (deletes flagged) and their postings. Readers take, per
-    document, the latest batch that touched it; untouched documents come from the base tables.
+    A batch stores its changed documents (deletes flagged) and their postings, both with the version
+    and the batch they came in. Per document the highest version counts, of equal versions the latest
+    batch, whatever order they arrive in; untouched documents come from the base tables.
     """
 
-    def __init__(self, spark, path: str, corpus: DataFrame, postings: DataFrame) -> None:
-        self.docs = DeltaTable(spark, f"{path}/docs", newest_rows(["doc_id"]), 1 << 60)
-        self.terms = DeltaTable(spark, f"{path}/postings", lambda rows: rows, 1 << 60)
+    def __init__(self, spark, path: str, corpus: DataFrame, postings: DataFrame, compact_every: int = 20) -> None:
+        self.docs = DeltaTable(spark, f"{path}/docs", newest_versions, compact_every)
+        self.terms = DeltaTable(spark, f"{path}/postings", terms_of_newest, compact_every)
         self.base_corpus, self.base_postings = corpus, postings
 
     def apply(self, df: DataFrame, batch_id: int) -> None:
@@ -280,12 +295,14 @@ class CorpusFeed:
         valid = df.filter(nonempty(F.col("doc_id").cast("string"))).withColumn(
             "quality_score", F.coalesce("quality_score", F.lit(0.5))
         )
-        row = F.struct((F.col("op") == "delete").alias("deleted"), *columns)
+        row = F.struct((F.col("op") == "delete").alias("deleted"), "version", *columns)
         newest = valid.groupBy("doc_id").agg(F.max_by(row, "version").alias("_r")).select("doc_id", "_r.*")
+        newest = newest.withColumn("at_batch", F.lit(batch_id).cast("long"))
         newest.persist()
         try:
             self.docs.write(batch_id, newest)
-            self.terms.write(batch_id, build_postings(newest.filter(~F.col("deleted"))))
+            terms = build_postings(newest.filter(~F.col("deleted")))
+            self.terms.write(batch_id, terms.join(newest.select("doc_id", "version", "at_batch"), "doc_id"))
         finally:
             newest.unpersist()
 
@@ -297,13 +314,13 @@ class CorpusFeed:
         return kept.unionByName(changed.filter(~F.col("deleted")).select(kept.columns))
 
     def postings(self) -> DataFrame:
-        changed = self.docs.rows()
+        changed = self.docs.read()
         if changed is None:
             return self.base_postings
-        latest = changed.groupBy("doc_id").agg(F.max("batch").alias("batch"))
+        latest = changed.select("doc_id", "at_batch")
         kept = self.base_postings.join(latest, "doc_id", "left_anti")
         fresh = self.terms.rows()
-        return kept.unionByName(fresh.join(latest, ["doc_id", "batch"], "left_semi").select(kept.columns))
+        return kept.unionByName(fresh.join(latest, ["doc_id", "at_batch"], "left_semi").select(kept.columns))
 
 
 def stream_corpus(

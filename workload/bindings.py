@@ -5,14 +5,13 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.functions.text import words_prefix
 from lodestone.operators import experiments, profiles, textprep
 from lodestone.operators.index import TextIndex, build_index
 from lodestone.session import checkpoint_dir
-from lodestone.sources.corpus import spread_small
 from lodestone.sources.snapshots import current_version, read_index, write_index
 
 AS_OF = 1706745600
@@ -55,7 +54,7 @@ def corpus(spark: SparkSession, d: str) -> DataFrame:
 
 
 def build_corpus(spark: SparkSession, d: str) -> DataFrame:
-    docs = spread_small(table(spark, d, "documents"), "doc_id")
+    docs = table(spark, d, "documents")
     counts = (
         table(spark, d, "events")
         .groupBy(item_of().alias("doc_id"))
@@ -89,7 +88,7 @@ def raw_queries(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "benchmark").select(
         F.col("item_id").alias("query_id"),
         (F.col("item_id") % 100).alias("uid"),
-        words_prefix("text", 6).alias("raw"),
+        F.col("text").alias("raw"),
     )
 
 
@@ -100,20 +99,36 @@ def queries(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def asked_words(text: str = "text") -> Column:
+    """Every word of an utterance, one row each."""
+    return F.explode(all_words(text))
+
+
+def all_words(text: str = "text") -> Column:
+    return F.regexp_extract_all(F.col(text), F.lit(r"(\S+)"), F.lit(1))
+
+
 def query_log(spark: SparkSession, d: str) -> DataFrame:
+    """Every word of every user turn is a query; ``pos`` is its place in the turn."""
     user = table(spark, d, "conversations").filter(F.col("role") == "user")
     return user.select(
         F.col("conv_id").alias("uid"),
         F.col("turn").alias("ts"),
-        words_prefix("text", 1).alias("query"),
+        F.posexplode(all_words()).alias("pos", "query"),
         F.concat(F.lit("turn"), F.col("turn").cast("string")).alias("source"),
     )
 
 
 def events(spark: SparkSession, d: str) -> DataFrame:
-    """The event stream as user events; the query is the first word of the clicked document."""
-    first = table(spark, d, "documents").select("doc_id", words_prefix("text", 1).alias("query"))
-    return shaped_events(table(spark, d, "events")).drop("query").join(first, "doc_id", "left")
+    """The event stream as user events; the queries are the benchmark passages in turn."""
+    return with_passage(spark, d, shaped_events(table(spark, d, "events")).drop("query"), "doc_id")
+
+
+def with_passage(spark: SparkSession, d: str, df: DataFrame, key: str) -> DataFrame:
+    """``df`` with the whole benchmark passage number ``key`` modulo their count as ``query``."""
+    passages = table(spark, d, "benchmark").select("item_id", F.col("text").alias("query"))
+    n = passages.agg(F.count(F.lit(1))).scalar()
+    return df.withColumn("_item", F.pmod(F.col(key), n)).join(passages, F.col("_item") == F.col("item_id"), "left").drop("_item", "item_id")
 
 
 def shaped_events(ev: DataFrame) -> DataFrame:

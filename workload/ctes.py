@@ -19,6 +19,14 @@ def words(x: str, n: int) -> str:
     return rf"regexp_extract({x}, '^\s*(\S+(?:\s+\S+){{0,{n - 1}}})', 1)"
 
 
+def asked(x: str) -> str:
+    return rf"unnest(regexp_extract_all({x}, '\S+'))"
+
+
+def places(x: str) -> str:
+    return rf"unnest(range(len(regexp_extract_all({x}, '\S+'))))"
+
+
 def hot(clicks: str, likes: str) -> str:
     return f"(0.6::DOUBLE * ln(1 + ({clicks})::DOUBLE) + 0.4::DOUBLE * ln(1 + ({likes})::DOUBLE))"
 
@@ -50,11 +58,11 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
         (),
         f"""SELECT *, {tok('raw')} AS terms,
                    CASE WHEN query_id % 2 = 0 THEN 'en' ELSE 'fr' END AS category
-            FROM (SELECT item_id AS query_id, item_id % 100 AS uid, {words('text', 6)} AS raw FROM benchmark)""",
+            FROM (SELECT item_id AS query_id, item_id % 100 AS uid, text AS raw FROM benchmark)""",
     ),
     "qlog": (
         (),
-        f"""SELECT conv_id AS uid, turn AS ts, {words('text', 1)} AS query, 'turn' || turn AS source
+        f"""SELECT conv_id AS uid, turn AS ts, {asked('text')} AS query, {places('text')} AS pos, 'turn' || turn AS source
             FROM conversations WHERE role = 'user'""",
     ),
     "ev": (
@@ -62,11 +70,12 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
         f"""SELECT e.event_id, e.user_id AS uid, CAST(json_extract_string(e.props, '$.k') AS BIGINT) AS doc_id,
                    CASE e.event_type WHEN 'click' THEN 'click' WHEN 'purchase' THEN 'like' WHEN 'view' THEN 'view'
                         WHEN 'signup' THEN 'share' WHEN 'error' THEN 'dismiss' END AS event_type,
-                   CAST(floor(epoch(e.ts)) AS BIGINT) AS ts, {words('d.text', 1)} AS query,
+                   CAST(floor(epoch(e.ts)) AS BIGINT) AS ts, m.text AS query,
                    (e.event_id % 20)::INT AS result_pos,
                    CASE WHEN e.event_type = 'view' THEN floor(e.value * 1000)::INT END AS duration_ms,
                    round(e.value / 1000, 6) AS bm25_score
-            FROM events e LEFT JOIN documents d ON d.doc_id = CAST(json_extract_string(e.props, '$.k') AS BIGINT)""",
+            FROM events e LEFT JOIN benchmark m
+              ON m.item_id = CAST(json_extract_string(e.props, '$.k') AS BIGINT) % (SELECT COUNT(*) FROM benchmark)""",
     ),
     "vec": (
         (),

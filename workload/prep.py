@@ -13,7 +13,7 @@ from lodestone.session import checkpoint_dir
 from lodestone.sources import corpus as docs
 from lodestone.sources import snapshots
 from workload import bindings as b
-from workload.ctes import sql, tok, words
+from workload.ctes import sql, tok
 
 QUERIES, ORACLES = {}, {}
 
@@ -203,12 +203,15 @@ def b4(spark, d):
 
 
 def dictionaries(spark, d):
-    """Term pairs from neighbouring words of all documents: words 1→2 are synonyms, 2→3 related,
-    3→4 abbreviations, 4→5 category terms, each list in alphabetical order."""
-    t = b.table(spark, d, "documents").select(text.tokens(words_head()).alias("t")).filter(F.size("t") >= 5)
+    """Term pairs from neighbouring words of all documents, in turn synonyms, related, abbreviations and
+    category terms, each list in alphabetical order."""
+    t = b.table(spark, d, "documents").select(text.tokens("text").alias("t")).filter(F.size("t") >= 2)
+    places = F.sequence(F.lit(0), F.size("t") - 2)
     pairs = t.select(
         F.explode(
-            F.array(*[F.struct(F.lit(s).alias("stage"), F.col("t")[s - 1].alias("term"), F.col("t")[s].alias("expansion")) for s in (1, 2, 3, 4)])
+            F.transform(
+                places, lambda i: F.struct((i % 4 + 1).alias("stage"), F.get("t", i).alias("term"), F.get("t", i + 1).alias("expansion"))
+            )
         ).alias("p")
     ).select("p.*").filter(F.col("term") != F.col("expansion")).distinct()
     order = Window.partitionBy("stage", "term").orderBy("expansion")
@@ -217,18 +220,12 @@ def dictionaries(spark, d):
     return rows.filter("stage <> 3").unionByName(abbr)
 
 
-def words_head():
-    return text.words_prefix("text", 8)
-
-
 _EXPAND_HEAD = f"""
-heads AS (SELECT {tok(words('text', 8))} AS t FROM documents),
+heads AS (SELECT {tok('text')} AS t FROM documents),
+places AS (SELECT t, unnest(range(0, len(t) - 1)) AS i FROM heads WHERE len(t) >= 2),
 raw_pairs AS (
   SELECT DISTINCT * FROM (
-    SELECT 1 AS stage, t[1] AS term, t[2] AS expansion FROM heads WHERE len(t) >= 5
-    UNION ALL SELECT 2, t[2], t[3] FROM heads WHERE len(t) >= 5
-    UNION ALL SELECT 3, t[3], t[4] FROM heads WHERE len(t) >= 5
-    UNION ALL SELECT 4, t[4], t[5] FROM heads WHERE len(t) >= 5) WHERE term <> expansion),
+    SELECT (i % 4 + 1)::INT AS stage, t[i + 1] AS term, t[i + 2] AS expansion FROM places) WHERE term <> expansion),
 dict AS (
   SELECT stage, term, expansion, MIN(ord) AS ord FROM (
     SELECT stage, term, expansion, row_number() OVER (PARTITION BY stage, term ORDER BY expansion) AS ord FROM raw_pairs
@@ -275,7 +272,7 @@ def b5(spark, d):
     "b6_infer_category",
     sql(
         f"""WITH kw AS (SELECT term, arg_min(lang, doc_id) AS category FROM (
-              SELECT doc_id, lang, {tok(words('text', 1))}[1] AS term FROM documents) WHERE term IS NOT NULL GROUP BY term),
+              SELECT doc_id, lang, unnest({tok('text')}) AS term FROM documents) WHERE term IS NOT NULL GROUP BY term),
             hits AS (SELECT query_id, pos, kw.category FROM (
               SELECT query_id, unnest(terms) AS term, unnest(range(len(terms))) AS pos FROM q) t JOIN kw ON kw.term = t.term)
             SELECT q.query_id, COALESCE(h.category, 'general') AS category
@@ -288,9 +285,9 @@ def b6(spark, d):
 
 
 def keyword_map(spark, d):
-    """First token of every document → language of the first document that starts with it."""
-    first = b.table(spark, d, "documents").select("doc_id", "lang", F.get(text.tokens(text.words_prefix("text", 1)), 0).alias("term"))
-    return first.filter(F.col("term").isNotNull()).groupBy("term").agg(F.min_by("lang", "doc_id").alias("category"))
+    """Every token of every document → language of the first document that has it."""
+    seen = b.table(spark, d, "documents").select("doc_id", "lang", F.explode(text.tokens("text")).alias("term"))
+    return seen.groupBy("term").agg(F.min_by("lang", "doc_id").alias("category"))
 
 
 def embed_sql(x: str, dim: int) -> str:
@@ -322,7 +319,7 @@ def b7(spark, d):
         SELECT doc_id, i - 1 AS pos, round(v[i] / n, 6) AS value FROM (SELECT *, unnest(range(1, 9)) AS i FROM unit)""",
 )
 def b8(spark, d):
-    return unfold(vectors.encode_corpus(docs.spread_small(b.table(spark, d, "documents"), "doc_id"), "text", 8), "doc_id")
+    return unfold(vectors.encode_corpus(b.table(spark, d, "documents"), "text", 8), "doc_id")
 
 
 @query(

@@ -12,11 +12,7 @@ MODULES = ["prep", "retrieval", "words", "users", "streams", "flows"]
 def _all(attribute: str) -> dict:
     out = {}
     for name in MODULES:
-        try:
-            module = importlib.import_module(f"workload.{name}")
-        except ModuleNotFoundError:
-            continue
-        out.update(getattr(module, attribute))
+        out.update(getattr(importlib.import_module(f"workload.{name}"), attribute))
     return out
 
 

@@ -27,14 +27,29 @@ def query(name: str, oracle: str | None = None):
     return add
 
 
-def replay(spark, d, name: str) -> DataFrame:
-    """A driver table as a stream of its files."""
-    schema = b.table(spark, d, name).schema
-    return spark.readStream.schema(schema).parquet(f"{d}/{name}*.parquet")
+SLICES = 3
 
 
-def event_stream(spark, d) -> DataFrame:
-    return b.shaped_events(replay(spark, d, "events"))
+def replay(spark, d, name: str, at: str, closing: bool = False) -> DataFrame:
+    """A driver table as a stream of files in the order of ``at``, one micro-batch each.
+
+    ``closing`` adds a last file with one empty row ten days later, which lets event time pass everything else.
+    """
+    rows, path = b.table(spark, d, name), scratch(spark, f"replay-{name}")
+    order = F.col(at).cast("timestamp").cast("double") if rows.schema[at].dataType.typeName().startswith("timestamp") else F.col(at).cast("double")
+    cuts = rows.select(F.percentile_approx(order, [i / SLICES for i in range(1, SLICES)], 1000)).first()[0] or []
+    slice_of = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c < order)) if cuts else F.lit(0)
+    files = [rows.filter(slice_of == i) for i in range(SLICES)]
+    if closing:
+        last = rows.agg((F.max(at) + F.expr("INTERVAL 10 DAYS")).cast(rows.schema[at].dataType).alias(at))
+        files.append(last.select(*[F.col(c.name) if c.name == at else F.lit(None).cast(c.dataType).alias(c.name) for c in rows.schema]))
+    for part in files:
+        part.coalesce(1).write.mode("append").parquet(path)
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
+def event_stream(spark, d, closing: bool = False) -> DataFrame:
+    return b.shaped_events(replay(spark, d, "events", "ts", closing))
 
 
 def finish(*running) -> None:
@@ -69,7 +84,7 @@ def n1(spark, d):
     "SELECT CASE WHEN event_id % 2 = 0 THEN 'empty body' ELSE 'invalid JSON' END AS reject, COUNT(*) AS n FROM events GROUP BY 1",
 )
 def n1_rejected(spark, d):
-    ev = replay(spark, d, "events")
+    ev = replay(spark, d, "events", "ts")
     broken = F.when(F.col("event_id") % 2 == 0, F.lit("")).otherwise(F.lit("{not json"))
     path = scratch(spark, "ingest")
     corpus = b.corpus(spark, d).withColumn("doc_id", F.col("doc_id").cast("string"))
@@ -79,9 +94,9 @@ def n1_rejected(spark, d):
 
 @query("n2_stream_query_stats", sql("SELECT query, freq, last_time, source, first_time FROM qstats", "qstats"))
 def n2(spark, d):
-    said = replay(spark, d, "conversations").filter(F.col("role") == "user")
+    said = replay(spark, d, "conversations", "conv_id").filter(F.col("role") == "user")
     log = said.select(
-        F.regexp_extract("text", r"^\s*(\S+)", 1).alias("query"), F.col("turn").alias("ts"), F.concat(F.lit("turn"), F.col("turn").cast("string")).alias("source")
+        b.asked_words().alias("query"), F.col("turn").alias("ts"), F.concat(F.lit("turn"), F.col("turn").cast("string")).alias("source")
     )
     path = scratch(spark, "query-stats")
     finish(jobs.stream_query_stats(log, path, f"{path}/checkpoint"))
@@ -134,14 +149,10 @@ HOUR = 3600
 
 
 def _hot_stream(spark, d, **options):
-    """Windows that closed before the end of the stream, then the still open ones from the batch form."""
+    """All windows as the stream emits them; the closing row lets it emit the last ones."""
     path = scratch(spark, "hot")
-    finish(jobs.stream_hot(event_stream(spark, d), path, f"{path}/checkpoint", **options))
-    closed = spark.read.parquet(f"{path}/windows")
-    table = b.shaped_events(b.table(spark, d, "events"))
-    batch = jobs.hot_windows(table, **{k: v for k, v in options.items() if k != "watermark"})
-    still_open = batch.join(closed.select("start", "doc_id"), ["start", "doc_id"], "left_anti")
-    return closed.select(batch.columns).unionByName(still_open)
+    finish(jobs.stream_hot(event_stream(spark, d, closing=True), path, f"{path}/checkpoint", **options))
+    return spark.read.parquet(f"{path}/windows").drop("batch")
 
 
 @query("n5_stream_hot_sliding", sql(_windowed("sliding", 24 * HOUR, 6 * HOUR), "ev"))
@@ -174,15 +185,22 @@ def n5_session(spark, d):
     sql("SELECT term, doc_id, tf, field_weight, doc_len FROM postings WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1)", "postings"),
 )
 def n6(spark, d):
-    """Labelled documents start with other text; the label stream restores them and deletes toxic ones."""
+    """Labelled documents start with other text; the change stream restores them and deletes toxic ones,
+    and later batches bring older versions of the same documents, which must not win."""
     corpus = b.corpus(spark, d)
     labels = b.table(spark, d, "labels").select("doc_id")
     stale = corpus.join(labels, "doc_id", "left_semi").withColumn("content", F.concat(F.lit("stale words "), "author"))
     base = corpus.join(labels, "doc_id", "left_anti").unionByName(stale)
     path = scratch(spark, "feed")
     feed = jobs.CorpusFeed(spark, path, base, build_postings(base))
-    ops = replay(spark, d, "labels").select(
-        "doc_id", F.when(F.col("toxic") == 1, "delete").otherwise("upsert").alias("op"), F.lit(1).alias("version")
+    ops = b.table(spark, d, "labels").select(
+        "doc_id", F.when(F.col("toxic") == 1, "delete").otherwise("upsert").alias("op"), F.lit(2).alias("version")
     )
-    finish(jobs.stream_corpus(ops.join(corpus, "doc_id"), feed, f"{path}/checkpoint"))
+    right = ops.join(corpus, "doc_id")
+    older = right.withColumns({"op": F.lit("upsert"), "version": F.lit(1), "content": F.lit("an older version")})
+    half = F.pmod(F.xxhash64("doc_id"), F.lit(2))
+    for part in (right.filter(half == 0), older.filter(half == 0), older.filter(half == 1), right.filter(half == 1)):
+        part.coalesce(1).write.mode("append").parquet(f"{path}/changes")
+    changes = spark.readStream.schema(right.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/changes")
+    finish(jobs.stream_corpus(changes, feed, f"{path}/checkpoint"))
     return feed.postings()

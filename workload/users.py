@@ -5,10 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from lodestone.functions.text import words_prefix
 from lodestone.operators import behaviour, experiments, features, profiles, recall, textprep, vectors
 from workload import bindings as b
-from workload.ctes import AS_OF, VIEWS, low, sql, tok, words
+from workload.ctes import AS_OF, VIEWS, asked, low, sql, tok
 
 QUERIES, ORACLES = {}, {}
 
@@ -131,12 +130,12 @@ VIEWS.update(
         "all_ev": (
             ("ev", "qlog"),
             """SELECT event_id, uid, doc_id, event_type, ts, query, duration_ms FROM ev
-               UNION ALL SELECT 1000000000 + uid * 1000 + ts, uid, NULL, 'search', ts, query, NULL FROM qlog""",
+               UNION ALL SELECT 1000000000 + (uid * 1000 + ts) * 100000 + pos, uid, NULL, 'search', ts, query, NULL FROM qlog""",
         ),
         "asked_hist": (
             ("qlog",),
             """SELECT uid, list(query ORDER BY ts, event_id) AS qs FROM (
-                 SELECT *, 1000000000 + uid * 1000 + ts AS event_id FROM qlog WHERE query <> '' QUALIFY row_number() OVER (PARTITION BY uid ORDER BY ts DESC) <= 50)
+                 SELECT *, 1000000000 + (uid * 1000 + ts) * 100000 + pos AS event_id FROM qlog WHERE query <> '' QUALIFY row_number() OVER (PARTITION BY uid ORDER BY ts DESC, pos DESC) <= 50)
                GROUP BY uid""",
         ),
         "prof_rows": (
@@ -152,8 +151,8 @@ VIEWS.update(
         ),
         "kw": (
             (),
-            f"""SELECT min(w) AS keyword, lang AS category FROM (SELECT lang, {words('text', 1)} AS w FROM documents) WHERE w <> '' GROUP BY lang
-                UNION ALL SELECT max(w), lang FROM (SELECT lang, {words('text', 1)} AS w FROM documents) WHERE w <> '' GROUP BY lang""",
+            f"""SELECT min(w) AS keyword, lang AS category FROM (SELECT lang, {asked('text')} AS w FROM documents) GROUP BY lang
+                UNION ALL SELECT max(w), lang FROM (SELECT lang, {asked('text')} AS w FROM documents) GROUP BY lang""",
         ),
         "links": (
             (),
@@ -194,7 +193,7 @@ def all_events(spark, d):
     """User events plus one search event per logged query."""
     log = b.query_log(spark, d)
     asked = log.select(
-        (1000000000 + F.col("uid") * 1000 + F.col("ts")).alias("event_id"), "uid", "ts", "query", F.lit("search").alias("event_type")
+        (1000000000 + (F.col("uid") * 1000 + F.col("ts")) * 100000 + F.col("pos")).alias("event_id"), "uid", "ts", "query", F.lit("search").alias("event_type")
     )
     return b.events(spark, d).unionByName(asked, allowMissingColumns=True)
 
@@ -257,8 +256,8 @@ def k2_steps(spark, d):
 
 
 def keyword_table(spark, d):
-    first = b.table(spark, d, "documents").select("lang", words_prefix("text", 1).alias("w")).filter("w <> ''")
-    ends = first.groupBy("lang").agg(F.min("w").alias("lo"), F.max("w").alias("hi"))
+    seen = b.table(spark, d, "documents").select("lang", b.asked_words().alias("w"))
+    ends = seen.groupBy("lang").agg(F.min("w").alias("lo"), F.max("w").alias("hi"))
     return ends.select(F.explode(F.array("lo", "hi")).alias("keyword"), F.col("lang").alias("category"))
 
 

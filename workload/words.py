@@ -4,10 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lodestone.functions.text import words_prefix
 from lodestone.operators import behaviour, hints, suggest, trending
 from workload import bindings as b
-from workload.ctes import AS_OF, VIEWS, hot, low, sql, words
+from workload.ctes import AS_OF, VIEWS, hot, low, sql
 
 QUERIES, ORACLES = {}, {}
 
@@ -74,8 +73,8 @@ VIEWS.update(
         ),
         "sources": (
             (),
-            f"""SELECT p_partkey AS source_id, p_partkey AS doc_id, COALESCE({words('d.text', 1)}, '') AS query
-                FROM part LEFT JOIN documents d ON d.doc_id = p_partkey""",
+            f"""SELECT p_partkey AS source_id, p_partkey AS doc_id, COALESCE(m.text, '') AS query
+                FROM part LEFT JOIN benchmark m ON m.item_id = p_partkey % (SELECT COUNT(*) FROM benchmark)""",
         ),
         "ctags": (("catalog",), "SELECT doc_id, n, unnest(ts) AS tag FROM (SELECT doc_id, list_distinct(tags) AS ts, len(list_distinct(tags)) AS n FROM catalog)"),
         "htags": (
@@ -161,9 +160,9 @@ def asked(spark, d):
 
 
 def sources(spark, d):
-    first = b.table(spark, d, "documents").select(F.col("doc_id"), words_prefix("text", 1).alias("query"))
+    """Every product, with a whole benchmark passage as its query."""
     part = b.table(spark, d, "part").select(F.col("p_partkey").alias("source_id"), F.col("p_partkey").alias("doc_id"))
-    return part.join(first, "doc_id", "left").withColumn("query", F.coalesce("query", F.lit("")))
+    return b.with_passage(spark, d, part, "doc_id").withColumn("query", F.coalesce("query", F.lit("")))
 
 
 def cooccur(spark, d):
