@@ -9,8 +9,10 @@ within a band share a level; a set whose possible partners lie in the band below
 Where so few partitions are occupied that all could differ, every shingle signs alone, so no pair is lost.
 
 The order puts tokens last that consist only of frequent shingles. It is read from a bounded sample and
-decides cost, not results. Sets are compared exactly afterwards. Groups of one signature are compared in
-a star and a chain; only members that are in different components after that meet in pairs.
+decides cost, not results. In a group of one signature every member is compared with the first; members
+that are in different components after that are compared inside tasks, in blocks of bounded size. Counts
+of shingles in 256 buckets bound the difference of two sets from below, so most comparisons end there;
+those that pass are compared exactly on their texts.
 
 Defined results: null text counts as empty; a document without words has no shingles, links with nothing
 and is its own component. Equal sets are one class whatever the ids. Repeated rows and repeated ids keep
@@ -36,6 +38,11 @@ ORDER_SAMPLE = 16_000
 ROWS_PER_PART = 2_000
 #: Documents of the sample with a shingle that make it frequent.
 FREQUENT = 3
+BUCKETS = 256
+#: Members of a signature group that meet in one block.
+BLOCK = 2_048
+#: Ids are sent to all tasks, to filter texts before they move, up to this many (8 bytes each).
+SENT_IDS = 1_000_000
 _ALONE = np.uint64(0xA5A5A5A55A5A5A5A)
 _EMPTY = np.zeros(0, np.uint64)
 
@@ -87,23 +94,44 @@ def signatures(s: np.ndarray, frequent: np.ndarray) -> np.ndarray:
     return np.unique(np.concatenate(out))
 
 
+def sketch(s: np.ndarray) -> bytes:
+    """How many shingles fall into each bucket, up to 255."""
+    counts = np.bincount((s >> np.uint64(56)).astype(np.int64), minlength=BUCKETS)
+    return np.minimum(counts, 255).astype(np.uint8).tobytes()
+
+
+def could_be_alike(n: np.ndarray, x: np.ndarray, m: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Whether sets of sizes n and m with these sketches can have a Jaccard of 3/4.
+
+    That allows a seventh of both sizes together as difference, and buckets never differ by more than the sets do.
+    """
+    apart = np.abs(x.astype(np.int16) - y.astype(np.int16)).sum(axis=-1, dtype=np.int64)
+    return 7 * apart <= n.astype(np.int64) + m
+
+
 def shingled(docs: DataFrame, id_col: str, text: str) -> DataFrame:
-    """(id, n_shingles, node) of every row; node is the class of equal sets, null for empty ones."""
+    """(id, n_shingles, node, sketch) of every row; node is the class of equal sets, null for empty ones."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes, nodes = [], []
+            sizes, nodes, sketches = [], [], []
             for value in batch.column(1):
                 s = shingle_set(value.as_py())
                 sizes.append(len(s))
                 nodes.append(int(class_of(s).view(np.int64)) if len(s) else None)
+                sketches.append(sketch(s) if len(s) else None)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64())],
-                ["id", "n_shingles", "node"],
+                [
+                    batch.column(0),
+                    pa.array(sizes, pa.int64()),
+                    pa.array(nodes, pa.int64()),
+                    pa.array(sketches, pa.binary()),
+                ],
+                ["id", "n_shingles", "node", "sketch"],
             )
 
     slim = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text).cast("binary").alias("t"))
-    return slim.mapInArrow(run, "id bigint, n_shingles bigint, node bigint")
+    return slim.mapInArrow(run, "id bigint, n_shingles bigint, node bigint, sketch binary")
 
 
 def frequent_shingles(docs: DataFrame, id_col: str, text: str, rows: int) -> np.ndarray:
@@ -171,15 +199,38 @@ def signed_rows(docs: DataFrame, text: str, frequent: np.ndarray) -> DataFrame:
     return docs.select(F.col(text).cast("binary").alias("t")).mapInArrow(run, "sig bigint, node bigint, n int")
 
 
+def matrix(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, BUCKETS)
+
+
+def plausible(pairs: DataFrame, owners: DataFrame) -> DataFrame:
+    """Those pairs (a, b) of nodes whose sketches allow enough similarity."""
+    left = owners.select(F.col("node").alias("a"), F.col("n").alias("n"), F.col("sketch").alias("x"))
+    right = owners.select(F.col("node").alias("b"), F.col("n").alias("m"), F.col("sketch").alias("y"))
+    sized = pairs.join(left, "a").join(right, "b").filter("4 * least(n, m) >= 3 * greatest(n, m)")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n, m = (batch.column(i).to_numpy(zero_copy_only=False) for i in (2, 4))
+            good = could_be_alike(n, matrix(batch.column(3)), m, matrix(batch.column(5)))
+            yield batch.select(["a", "b"]).filter(pa.array(good))
+
+    return sized.select("a", "b", "n", "x", "m", "y").mapInArrow(run, "a bigint, b bigint")
+
+
 def similar(pairs: DataFrame, docs: DataFrame, owners: DataFrame, id_col: str, text: str) -> DataFrame:
     """Those pairs (a, b) of nodes whose sets are alike: 100 * common >= 75 * union, compared exactly."""
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text).cast("binary").alias("t"))
     owner = owners.select("node", "id")
-    named = (
+    named = stored(
         pairs.join(owner.withColumnsRenamed({"node": "a", "id": "ida"}), "a")
         .join(owner.withColumnsRenamed({"node": "b", "id": "idb"}), "b")
-        .select("a", "b", "ida", "idb")
+        .select("a", "b", "ida", "idb"),
+        "named-pairs",
     )
+    wanted = named.select(F.explode(F.array("ida", "idb")).alias("id")).distinct()
+    if wanted.count() <= SENT_IDS:
+        texts = texts.join(F.broadcast(wanted), "id", "left_semi")
     left = named.join(texts.withColumnsRenamed({"id": "idb", "t": "tb"}), "idb")
     both = left.join(texts.withColumnsRenamed({"id": "ida", "t": "ta"}), "ida").select("a", "b", "ta", "tb")
 
@@ -209,7 +260,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text")
     """(id_col, n_shingles, component_id) of every row."""
     sets = stored(shingled(docs, id_col, text), "sets")
     rows = sets.count()
-    owners = sets.filter("node is not null and id is not null").groupBy("node").agg(F.min("id").alias("id"))
+    owners = stored(
+        sets.filter("node is not null and id is not null")
+        .groupBy("node")
+        .agg(F.min("id").alias("id"), F.max("n_shingles").alias("n"), F.max("sketch").alias("sketch")),
+        "set-owners",
+    )
     frequent = frequent_shingles(docs, id_col, text, rows)
     group = Window.partitionBy("sig").orderBy("node")
     parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), rows // ROWS_PER_PART)
@@ -224,12 +280,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text")
         .filter("prev is null or prev <> node"),
         "signature-groups",
     )
-    star = members.filter("head <> node").select(F.col("head").alias("a"), F.col("node").alias("b"))
-    chain = members.filter("prev <> head").select(F.col("prev").alias("a"), F.col("node").alias("b"))
-    tried = stored(star.unionByName(chain).distinct(), "tried-pairs")
+    star = members.filter("head <> node").select(F.col("head").alias("a"), F.col("node").alias("b")).distinct()
+    tried = stored(plausible(star, owners), "tried-pairs")
     links = stored(similar(tried, docs, owners, id_col, text), "links")
     found = stored(components(links), "components")
-    more = stored(open_pairs(members, found).join(tried, ["a", "b"], "left_anti"), "open-pairs")
+    more = stored(open_pairs(members, found, owners).join(tried, ["a", "b"], "left_anti"), "open-pairs")
     if not more.isEmpty():
         links = links.unionByName(stored(similar(more, docs, owners, id_col, text), "links"))
         found = stored(components(links), "components")
@@ -243,17 +298,67 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text")
     )
 
 
-def open_pairs(members: DataFrame, found: DataFrame) -> DataFrame:
-    """Pairs behind one signature that could be alike by size and are in different components so far."""
-    labelled = members.join(found, "node", "left").select(
-        "sig", "node", "n", F.coalesce("component", "node").alias("c")
+def open_pairs(members: DataFrame, found: DataFrame, owners: DataFrame) -> DataFrame:
+    """Plausible pairs behind one signature that are in different components so far.
+
+    Members of a group are dealt into blocks, and every two blocks of a group meet in one task; tasks hold
+    two blocks at a time and emit only pairs whose sketches allow enough similarity.
+    """
+    labelled = members.join(found, "node", "left").select("sig", "node", F.coalesce("component", "node").alias("c"))
+    split = (
+        labelled.groupBy("sig")
+        .agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count(F.lit(1)).alias("size"))
+        .filter("lo <> hi")
+        .select("sig", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
     )
-    split = labelled.groupBy("sig").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo <> hi").select("sig")
-    left = labelled.join(split, "sig", "left_semi")
-    return (
-        left.alias("x")
-        .join(left.alias("y"), "sig")
-        .filter("x.node < y.node and x.c <> y.c and 4 * least(x.n, y.n) >= 3 * greatest(x.n, y.n)")
-        .select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
-        .distinct()
+    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    dealt = (
+        labelled.join(split, "sig")
+        .withColumn("own", own)
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        .select("sig", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "c")
+        .join(owners.select("node", "n", "sketch"), "node")
+        .select("sig", "i", "j", "own", "node", "c", "n", "sketch")
     )
+    parts = max(int(members.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
+    together = dealt.repartition(parts, "sig", "i", "j").sortWithinPartitions("sig", "i", "j", "n", "node")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        key = None
+        for batch in batches:
+            cols = [batch.column(i).to_pylist() for i in range(8)]
+            out: list[tuple[int, int]] = []
+            for row in zip(*cols):
+                if row[:3] != key:
+                    out += met(held)
+                    held, key = [], row[:3]
+                held.append(row)
+            yield pairs_of(out)
+        yield pairs_of(met(held))
+
+    def pairs_of(out: list[tuple[int, int]]) -> pa.RecordBatch:
+        a, b = zip(*out) if out else ((), ())
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    def met(rows: list[tuple]) -> list[tuple[int, int]]:
+        """Rows come in order of size; only partners up to 4/3 of the size can be alike."""
+        if len(rows) < 2:
+            return []
+        own, node, c, n = (np.array([r[k] for r in rows], np.int64) for k in (3, 4, 5, 6))
+        x = np.frombuffer(b"".join(r[7] for r in rows), np.uint8).reshape(-1, BUCKETS)
+        across = rows[0][1] != rows[0][2]
+        last = np.searchsorted(3 * n, 4 * n, side="right")
+        out = set()
+        for k in range(len(rows) - 1):
+            s = slice(k + 1, last[k])
+            good = (c[s] != c[k]) & (node[s] != node[k])
+            if across:
+                good &= own[s] != own[k]
+            at = np.flatnonzero(good) + k + 1
+            if len(at):
+                at = at[could_be_alike(n[at], x[at], n[k], x[k])]
+                out.update((min(node[k], node[o]), max(node[k], node[o])) for o in at.tolist())
+        return [(int(a), int(b)) for a, b in out]
+
+    return together.mapInArrow(run, "a bigint, b bigint").distinct()
