@@ -46,12 +46,15 @@ def name(line: str) -> Column:
 
 def letter_counts(line: str) -> Column:
     """Counts of eight letters, one byte each; counts stop at 127 and so never differ more than in truth."""
-    size = F.length(F.lower(line))
-    out = F.lit(0).cast("long")
-    for i, c in enumerate(LETTERS):
-        n = F.least(size - F.length(F.replace(F.lower(line), F.lit(c))), F.lit(127)).cast("long")
-        out = out.bitwiseOR(F.shiftleft(n, 8 * i))
-    return out
+
+    def packed(low):
+        size, out = F.length(low), F.lit(0).cast("long")
+        for i, c in enumerate(LETTERS):
+            n = F.least(size - F.length(F.replace(low, F.lit(c))), F.lit(127)).cast("long")
+            out = out.bitwiseOR(F.shiftleft(n, 8 * i))
+        return out
+
+    return let(F.lower(line), packed)
 
 
 def letters_near(a: Column, b: Column, limit: int) -> Column:
@@ -76,15 +79,15 @@ def shifts(i: int, delta: int, t: int) -> range:
     return range(max(-i, delta - (t - i)), min(i, delta + (t - i)) + 1)
 
 
-def keys(line: str, t: int, indexed: bool) -> Column:
-    """Hashes of (length, segment number, substring): the line's own segments, or all other look-ups."""
+def keys(line: str, t: int) -> Column:
+    """(k, own) of every look-up: hash of (length, segment number, substring); own: the line is indexed there."""
     size, out = F.length(line), []
     for delta in range(t + 1):
         for i in range(t + 1):
             start, long = segment(size - delta, i, t)
             for s in shifts(i, delta, t):
-                if (delta == 0 and s == 0) == indexed:
-                    out.append(F.xxhash64(size - delta, F.lit(i), F.substring(F.col(line), start + s + 1, long)))
+                k = F.xxhash64(size - delta, F.lit(i), F.substring(F.col(line), start + s + 1, long))
+                out.append(F.struct(k.alias("k"), F.lit(int(delta == 0 and s == 0)).alias("own")))
     return F.array(*out)
 
 
@@ -109,6 +112,10 @@ def edit_distance(a: Column, b: Column, t: int) -> Column:
         )
 
         def step(s, j):
+            # The score never falls on the diagonal, and by t at most along the last row.
+            return F.when(s["n"] > 2 * t, s).otherwise(moved(s, j))
+
+        def moved(s, j):
             equal = F.lit(0).cast("long")
             for k in range(width):
                 hit = F.coalesce(F.get(rows, j - t + k) == F.get(cols, j), F.lit(False))
@@ -161,22 +168,17 @@ def near_pairs(lines: DataFrame, firsts: DataFrame, t: int) -> DataFrame:
         lines.withColumn("h", name("line"))
         .join(F.broadcast(hot), "h", "left")
         .filter("first is null or (d = first.d and at = first.at)")
-        .select("h", "line", letter_counts("line").alias("letters"), F.length("line").alias("size"))
+        .select("h", "line", letter_counts("line").alias("letters"))
     )
 
-    def looked_up(indexed: bool) -> DataFrame:
-        rows = seen.select("h", "letters", F.explode(keys("line", t, indexed)).alias("k"))
-        return rows.repartition("k").groupBy("k", "h").agg(F.min("letters").alias("letters"))
-
-    index = looked_up(True)
-    right = index.select("k", F.col("h").alias("b"), F.col("letters").alias("lb"))
-
-    def met(left: DataFrame, order: str) -> DataFrame:
-        left = left.select("k", F.col("h").alias("a"), F.col("letters").alias("la"))
-        joined = left.join(right, (left.k == right.k) & F.expr(order) & letters_near(F.col("la"), F.col("lb"), t))
-        return joined.select("a", "b")
-
-    return met(index, "a < b").unionByName(met(looked_up(False), "a <> b")).distinct()
+    rows = seen.select("h", "letters", F.explode(keys("line", t)).alias("x")).select("h", "letters", "x.k", "x.own")
+    # Both sides of the join read one exchange: that a line is indexed is known only after grouping.
+    by_key = rows.repartition("k").groupBy("k", "h").agg(F.min("letters").alias("letters"), F.max("own").alias("own"))
+    left = by_key.select("k", F.col("h").alias("a"), F.col("letters").alias("la"), F.col("own").alias("oa"))
+    right = by_key.filter("own = 1").select(F.col("k").alias("kb"), F.col("h").alias("b"), F.col("letters").alias("lb"))
+    once = (F.col("a") < F.col("b")) | ((F.col("oa") == 0) & (F.col("a") != F.col("b")))
+    joined = left.join(right, (left.k == right.kb) & once & letters_near(F.col("la"), F.col("lb"), t))
+    return joined.select("a", "b").distinct()
 
 
 def redundant(docs: DataFrame, id_col: str, text: str, min_chars: int, t: int) -> DataFrame:
@@ -188,7 +190,8 @@ def redundant(docs: DataFrame, id_col: str, text: str, min_chars: int, t: int) -
     placed = pairs.join(place.withColumnsRenamed({"h": "a", "first": "fa"}), "a").join(
         place.withColumnsRenamed({"h": "b", "first": "fb"}), "b"
     )
-    ends = placed.select(F.explode(F.array("fa", "fb")).alias("f")).select(F.col("f.d").alias("d"), F.col("f.at").alias("at"))
+    named = pairs.select(F.col("a").alias("h")).unionByName(pairs.select(F.col("b").alias("h"))).distinct()
+    ends = named.join(place, "h").select(F.col("first.d").alias("d"), F.col("first.at").alias("at"))
     wanted = ends.groupBy("d").agg(F.collect_set("at").alias("ats"))
     texts = (
         docs.select(F.col(id_col).alias("d"), F.col(text).alias("t"))
