@@ -11,10 +11,11 @@ from pyspark.sql import functions as F
 TOKEN_PATTERN = r"([^\x00-\x7F]|[A-Za-z0-9]+)"
 
 # Stop words of the query normaliser.
-STOP_WORDS = (
-    "的 了 在 是 我 有 和 就 不 人 都 一 一个 上 也 很 到 说 要 去 你 会 着 没有 看 好 自己 这 "
-    "the is at of on and a an it to that this with for as was but be are"
-).split()
+STOP_WORDS = [
+    "的", "了", "在", "是", "我", "有", "和", "就", "不", "人", "都", "一", "一个", "上", "也", "很", "到", "说", "要",
+    "去", "你", "会", "着", "没有", "看", "好", "自己", "这", "the", "is", "at", "of", "on", "and", "a", "an",
+    "it", "to", "that", "this", "with", "for", "as", "was", "but", "be", "are",
+]
 
 _WIDE = "".join(chr(ord(c) + 0xFEE0) for c in ascii_uppercase + ascii_lowercase + digits)
 WIDE_FROM = _WIDE + "＀　"

@@ -146,6 +146,7 @@ def ltr_features(cands: DataFrame, queries: DataFrame, profiles: DataFrame | Non
 
 def rule_score() -> Column:
     """Three fixed rules averaged and squashed to 0–1."""
+    # Every threshold and leaf of the three trees below.
     bm25, quality, fresh = F.col("f_bm25"), F.col("f_quality"), F.col("f_freshness")
     click, like = F.col("f_log_click"), F.col("f_log_like")
     match, category = F.col("f_term_match"), F.col("f_category_match")

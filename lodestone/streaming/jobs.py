@@ -191,21 +191,28 @@ def stream_profiles(
     corpus: DataFrame,
     path: str,
     checkpoint: str,
-    as_of: int,
+    as_of: int | None = None,
     trigger: dict | None = None,
     compact_every: int = 20,
 ) -> StreamingQuery:
-    """Running profiles: each batch rewrites only the users it touches."""
+    """Running profiles: each batch rewrites only the users it touches.
+
+    Active days count back from ``as_of``, or without one from the newest event of the batch.
+    """
     spark = events.sparkSession
     table = profile_table(spark, path, compact_every)
     types = {c: events.schema[c].dataType.simpleString() for c in ("uid", "doc_id")}
 
     def run(df: DataFrame, batch_id: int) -> None:
-        old = table.read(before=batch_id)
-        if old is None:
-            old = profiles.empty_profiles(df.sparkSession, types["uid"], types["doc_id"])
-        touched = old.join(df.select("uid").distinct(), "uid", "left_semi")
-        table.write(batch_id, profiles.update_profiles(touched, df, corpus, as_of))
+        rows = table.rows(before=batch_id)
+        if rows is None:
+            touched = profiles.empty_profiles(df.sparkSession, types["uid"], types["doc_id"])
+        else:
+            # Users that the batch doesn't touch are dropped before versions are merged.
+            touched = table.merge(rows.join(df.select("uid").distinct(), "uid", "left_semi"))
+        now = as_of if as_of is not None else df.agg(F.max("ts")).first()[0]
+        if now is not None:
+            table.write(batch_id, profiles.update_profiles(touched, df, corpus, now))
 
     return _start(events, run, checkpoint, trigger)
 
