@@ -1,42 +1,51 @@
 """LM scoring with a probabilistic suffix tree over words.
 
-A text is its words and one end. States of the tree are contexts of up to two preceding words (a start
-symbol stands before the text). A context is a candidate if ``CONTEXT_SHARE`` of all tokens follow it, and
-becomes a state if its next-word distribution diverges from that of its longest suffix state: the
-likelihood gain must exceed half the logarithm of its count for every word it would describe. Distributions
-are smoothed by absolute discounting into the longest suffix state, down to the share of each word among all training tokens;
-what the discounts free there is the probability of the one class of unknown words. A word is scored by
-the longest suffix state of its context.
-
-All corpus statistics cover every training document: tasks count, Spark sums the counts. Words of
-``WORD_SHARE`` of all tokens or more, and contexts with next words as frequent as that, go to tasks: at most 1 / WORD_SHARE
-rows of each length. Any other word is its class in the tree and meets its own count in a join.
+A text is its words and one end. States of the tree are contexts of up to ``DEPTH`` preceding words (a start
+symbol stands before the text). A context is a candidate if it stands ``LEAST_CONTEXT`` times in the training
+documents, whatever their number, and becomes a state if its next-word distribution diverges from that of
+its suffix: the likelihood gain must exceed half the logarithm of its count for every word it would describe
+(words that follow it twice or more). Distributions are smoothed by absolute discounting into the suffix, down to the
+share of each word among all training tokens; what the discounts free there is the probability of the one class of
+unknown words. A word is scored by the longest state of its context.
+
+Counts, states and described strings are Spark tables keyed by 64-bit hashes; none passes through the driver. The
+logarithm of a probability is a sum of one value for each string that ends at the word: what the string gains as a
+description, and what its rest costs the next word. So scoring joins the strings of all positions with one table of
+values. Two things of bounded size go to tasks, and neither decides a result: a bitmap of the hashes that have a value
+(others need no look-up), and the values of the ``HOT_STRINGS`` most frequent strings at most.
 
 Defined results: null text counts as empty and is one end; documents with a null id are trained on;
-repeated rows count and are scored row by row; no documents give no rows. Words are joined by 64-bit hashes.
+repeated rows count and are scored row by row; no documents give no rows.
 """
 
 from __future__ import annotations
 
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.llm.common import stored
+from lodestone.llm.shingles import signed, split_words, word_hashes
 
-CONTEXT_SHARE = 1e-3
-WORD_SHARE = 2e-6
+DEPTH = 2
+LEAST_CONTEXT, LEAST_STRING = 5, 2
+#: Values of at most so many frequent strings go to tasks.
+HOT_STRINGS = 600_000
 DISCOUNT = 0.6
 FOLDS, HELD_OUT = 5, 1
-#: Distinct words, and strings of words, that a task holds before it hands their counts on.
-HELD_WORDS, HELD_GRAMS = 300_000, 3_000_000
-#: Symbols: any other word, the start, the end, then frequent words. Three of them fit into 63 bits.
+#: Strings that a task holds before it hands their counts on.
+HELD_GRAMS = 3_000_000
+#: Bits of a bitmap of hashes.
+BITMAP = 27
+#: Hashes of the start and the end.
+START_HASH, END_HASH = np.uint64(0x243F6A8885A308D3), np.uint64(0x13198A2E03707344)
+TURN = 23
+#: Symbols of the tree in memory: any other word, the start, the end, then words. Three of them fit into 63 bits.
 OTHER, START, END, FIRST = 0, 1, 2, 3
 BITS = 21
 
@@ -50,33 +59,256 @@ def is_held_out(doc_id: int | None) -> bool:
     return doc_id is not None and zlib.crc32(str(doc_id).encode()) % FOLDS == HELD_OUT
 
 
-def count_words(docs: DataFrame, id_col: str, text: str) -> DataFrame:
-    """(word, n) of all documents; n counts training documents only and may be 0."""
+# -- strings as hashes ----------------------------------------------------------------------------
+
+
+def extended(context: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """Hash of a string from those of its context and last word; ``extended_column`` is the same in Spark."""
+    return ((context << np.uint64(TURN)) | (context >> np.uint64(64 - TURN))) ^ word
+
+
+def extended_column(context: Column, word: Column) -> Column:
+    return F.shiftleft(context, TURN).bitwiseOR(F.shiftrightunsigned(context, 64 - TURN)).bitwiseXOR(word)
+
+
+def laid_out(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, place in its text, text) of the start, all words and the end of some texts, laid end to end."""
+    parts, sizes = [], []
+    for value in texts:
+        h = word_hashes(split_words(value.as_py()))
+        parts += [[START_HASH], h, [END_HASH]]
+        sizes.append(len(h) + 2)
+    owner = np.repeat(np.arange(len(sizes)), sizes)
+    first = np.cumsum([0, *sizes[:-1]])
+    return np.concatenate(parts).astype(np.uint64), np.arange(len(owner)) - first[owner], owner
+
+
+def longer(strings: np.ndarray, words: np.ndarray) -> np.ndarray:
+    """Strings one word longer that end at each place; the first place has none, and holds 0."""
+    return np.concatenate([np.zeros(1, np.uint64), extended(strings[:-1], words[1:])])
+
+
+def marked(bitmap: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    at = keys & np.uint64((1 << BITMAP) - 1)
+    return (bitmap[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 > 0
+
+
+def bitmap_of(keys: DataFrame) -> np.ndarray:
+    """Bits of the hashes in column k; a set bit may stem from another hash."""
+    out = np.zeros(1 << (BITMAP - 3), np.uint8)
+    at = F.col("k").bitwiseAND(F.lit((1 << BITMAP) - 1))
+    found = keys.select(F.shiftright(at, 15).cast("int").alias("g"), at.bitwiseAND(F.lit(32767)).alias("b"))
+    got = found.groupBy("g").agg(F.expr("bitmap_construct_agg(b)").alias("m")).toArrow()
+    for g, m in zip(got.column("g").to_pylist(), got.column("m").to_pylist()):
+        out[g << 12 : (g + 1) << 12] = np.frombuffer(m, np.uint8)
+    return out
+
+
+def count_strings(docs: DataFrame, id_col: str, text: str, level: int, contexts: np.ndarray | None, suffixes: np.ndarray | None) -> DataFrame:
+    """(c, w, n) of strings of ``level`` words and one more in training documents; level 1 also counts words, with c null.
+
+    Only strings whose context and suffix are marked are counted; every string that can be described is among them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        train, other = Counter(), set()
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        single: list[np.ndarray] = []
+        size = 0
         for batch in batches:
-            for learn, value in zip(batch.column(0).to_pylist(), batch.column(1)):
-                words = (value.as_py() or b"").lower().split()
-                if learn:
-                    train.update(words)
-                else:
-                    other.update(words)
-                if len(train) + len(other) > HELD_WORDS:
-                    yield from rows(train, other)
-                    train, other = Counter(), set()
-        yield from rows(train, other)
-
-    def rows(train: Counter, other: set) -> Iterator[pa.RecordBatch]:
-        words = [*train, *(w for w in other if w not in train)]
-        counts = [*train.values(), *([0] * (len(words) - len(train)))]
-        for at in range(0, len(words), 50_000):
+            if not len(batch):
+                continue
+            h, place, _ = laid_out(batch.column(0))
+            below = h
+            for _ in range(level - 1):
+                below = longer(below, h)
+            # The context of a place is the shorter string that ends before it.
+            context = np.concatenate([np.zeros(1, np.uint64), below[:-1]])
+            use = place >= level
+            if contexts is not None:
+                use &= marked(contexts, context) & marked(suffixes, below)
+            held.append((context[use], h[use]))
+            size += len(held[-1][0])
+            if level == 1:
+                single.append(h)
+            if size > HELD_GRAMS:
+                yield from rows(held, single)
+                held, single, size = [], [], 0
+        yield from rows(held, single)
+
+    def rows(held: list, single: list) -> Iterator[pa.RecordBatch]:
+        if held:
+            c, w = (np.concatenate(x) for x in zip(*held))
+            _, at, n = np.unique(extended(c, w), return_index=True, return_counts=True)
+            # Equal contexts side by side are written in less space.
+            order = np.argsort(c[at])
+            yield from batches_of(c[at][order], w[at][order], n[order])
+        if single:
+            w, n = np.unique(np.concatenate(single), return_counts=True)
+            yield from batches_of(None, w, n)
+
+    def batches_of(c, w, n) -> Iterator[pa.RecordBatch]:
+        for i in range(0, len(w), 100_000):
+            part = slice(i, i + 100_000)
+            one = pa.nulls(len(w[part]), pa.int64()) if c is None else pa.array(signed(c[part]))
+            yield pa.RecordBatch.from_arrays([one, pa.array(signed(w[part])), pa.array(n[part])], ["c", "w", "n"])
+
+    slim = docs.filter(~held_out(id_col)).select(F.col(text).cast("binary").alias("t"))
+    return slim.mapInArrow(run, "c bigint, w bigint, n bigint").groupBy("c", "w").agg(F.sum("n").alias("n"))
+
+
+# -- the tree as tables ---------------------------------------------------------------------------
+
+
+def level_tables(strings: DataFrame, below: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Strings (k, suffix, n, p, gain) of a level, and its states (k, n, rest), gain and rest in log10.
+
+    ``strings`` are its counts (c, w, n); ``below`` is the level under it, which holds every candidate context and suffix."""
+    candidates = below.filter(F.col("n") >= LEAST_CONTEXT).select(F.col("k").alias("c"), F.col("n").alias("total"), F.col("suffix").alias("cs"))
+    # The start is not an outcome, so it has no probability.
+    tails = below.filter("p is not null").select(F.col("k").alias("suffix"), F.col("p").alias("tail"))
+    known = strings.join(candidates, "c").select(
+        extended_column(F.col("c"), F.col("w")).alias("k"),
+        "c",
+        F.when(F.col("cs").isNull(), F.col("w")).otherwise(extended_column(F.col("cs"), F.col("w"))).alias("suffix"),
+        "n",
+        "total",
+    )
+    full = stored(known.join(tails, "suffix").withColumn("own", (F.col("n") - DISCOUNT) / F.col("total")), "strings")
+    better = F.col("n") * F.log(F.col("n") / F.col("total") / F.col("tail"))
+    sums = full.groupBy("c").agg(
+        F.sum(better).alias("better"), F.count("*").alias("described"), F.first("total").alias("total"), F.sum("own").alias("own")
+    )
+    diverges = F.col("better") >= 0.5 * F.log("total") * F.col("described")
+    states = stored(sums.filter(diverges).select(F.col("c").alias("k"), F.col("total").alias("n"), F.greatest(1 - F.col("own"), F.lit(1e-9)).alias("rest")), "states")
+    solved = full.join(states.select(F.col("k").alias("c"), "rest"), "c", "left").select(
+        "k",
+        "suffix",
+        "n",
+        F.coalesce(F.col("own") + F.col("rest") * F.col("tail"), "tail").alias("p"),
+        F.log10((F.col("own") + F.col("rest") * F.col("tail")) / F.col("rest") / F.col("tail")).alias("gain"),
+    )
+    return stored(solved, "solved"), states.select("k", "n", F.log10("rest").alias("rest"))
+
+
+def score(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """(id_col, held_out, n_tokens, n_known, train_tokens, base_score, score) of every row."""
+    counted = stored(count_strings(docs, id_col, text, 1, None, None).filter((F.col("n") >= LEAST_STRING) | F.col("c").isNull()), "grams")
+    start, null = F.lit(int(START_HASH)), F.lit(None).cast("bigint")
+    words = counted.filter("c is null")
+    sums = words.filter(F.col("w") != start).agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
+    total, distinct = sums
+    root = F.when(F.col("w") != start, (F.col("n") - DISCOUNT) / max(total, 1))
+    below = words.select(F.col("w").alias("k"), null.alias("suffix"), "n", root.alias("p"))
+    # One class of unknown words; without training tokens every word is unknown. What a word has more is its value.
+    unknown = float(np.log10(max(DISCOUNT * distinct, 0.5) / max(total, 1)))
+    none = F.lit(0.0)
+    values = [
+        below.select(
+            "k",
+            "n",
+            F.when(F.col("p").isNotNull(), F.log10(F.col("n") + 0.5) - float(np.log10(0.5))).otherwise(none).alias("base"),
+            F.coalesce(F.log10("p") - unknown, none).alias("lp"),
+        )
+    ]
+    strings = counted.filter("c is not null")
+    for level in range(1, DEPTH + 1):
+        if level > 1:
+            marks = [bitmap_of(below.filter(F.col("n") >= least).select("k")) for least in (LEAST_CONTEXT, LEAST_STRING)]
+            strings = stored(count_strings(docs, id_col, text, level, *marks).filter(F.col("n") >= LEAST_STRING), "grams")
+        below, states = level_tables(strings, below)
+        gains = below.filter("gain is not null").select("k", "n", none.alias("base"), F.col("gain").alias("lp"))
+        values += [gains, states.select("k", "n", none.alias("base"), F.col("rest").alias("lp"))]
+    table = values[0]
+    for more in values[1:]:
+        table = table.unionByName(more)
+    table = stored(table.groupBy("k").agg(F.max("n").alias("n"), F.sum("base").alias("base"), F.sum("lp").alias("lp")), "values")
+    hot = F.col("n") >= hot_count(table)
+    listed = table.filter(hot).select("k", "base", "lp").toArrow()
+    asked = look_ups(docs, id_col, text, listed, bitmap_of(table))
+    # The row of a document itself has a key that nothing answers.
+    met = asked.join(table.filter(~hot).select(F.col("k").alias("key"), F.col("base").alias("more"), F.col("lp").alias("gain")), "key", "left")
+    answer = F.col("tokens").isNull()
+    sums = met.groupBy("row").agg(
+        F.max("doc").alias(id_col),
+        F.sum("tokens").alias("n_tokens"),
+        F.sum(F.when(answer, (F.col("more") > 0).cast("long")).otherwise(F.col("known"))).alias("n_known"),
+        F.sum(F.when(answer, F.col("more")).otherwise(F.col("base"))).alias("base"),
+        F.sum(F.when(answer, F.col("gain")).otherwise(F.col("lp"))).alias("lp"),
+    )
+    low = float(np.log10(0.5) - np.log10(total + 0.5 * (distinct + 1)))
+    return sums.select(
+        id_col,
+        held_out(id_col).alias("held_out"),
+        "n_tokens",
+        "n_known",
+        F.lit(total).cast("bigint").alias("train_tokens"),
+        (F.col("base") + F.col("n_tokens") * low).alias("base_score"),
+        (F.col("lp") + F.col("n_tokens") * unknown).alias("score"),
+    )
+
+
+def hot_count(table: DataFrame) -> int:
+    """A count, a power of the fourth root of 2, that HOT_STRINGS strings of the table reach at most."""
+    step = F.floor(4 * F.log2(F.greatest("n", F.lit(1)))).cast("int").alias("step")
+    least, size = 4 * 63, 0
+    for at, n in sorted(map(tuple, table.groupBy(step).count().collect()), reverse=True):
+        size += n
+        if size > HOT_STRINGS:
+            break
+        least = at
+    return int(np.ceil(2 ** (least / 4) * (1 - 1e-12)))
+
+
+def look_ups(docs: DataFrame, id_col: str, text: str, listed: pa.Table, bitmap: np.ndarray) -> DataFrame:
+    """One row per document with what the strings in ``listed`` give, and one (row, key) per other string with a mark."""
+    hot = listed.column("k").to_numpy().view(np.uint64)
+    order = np.argsort(hot)
+    hot, base, lp = hot[order], listed.column("base").to_numpy()[order], listed.column("lp").to_numpy()[order]
+    places = np.arange(len(hot))
+    names = ["key", "row", "doc", "tokens", "known", "base", "lp"]
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = len(batch)
+            if not n:
+                continue
+            ids = batch.column(0).to_numpy()
+            h, place, owner = laid_out(batch.column(3))
+            known, bases, logs = np.zeros(n, np.int64), np.zeros(n), np.zeros(n)
+            keys = h
+            for level in range(DEPTH + 1):
+                if level:
+                    keys = longer(keys, h)
+                use = place >= level
+                k, of = keys[use], owner[use]
+                use = marked(bitmap, k)
+                k, of = k[use], of[use]
+                hit, at = lookup(hot, places, k)
+                at, by = at[hit].astype(np.int64), of[hit]
+                known += np.bincount(by, base[at] > 0, n).astype(np.int64)
+                bases += np.bincount(by, base[at], n)
+                logs += np.bincount(by, lp[at], n)
+                k, of = k[~hit], of[~hit]
+                for i in range(0, len(k), 200_000):
+                    part = slice(i, i + 200_000)
+                    size = len(k[part])
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(signed(k[part])), pa.array(ids[of[part]]), *(pa.nulls(size, t) for t in kinds[2:])], names
+                    )
+            # The start is no token.
+            tokens = np.bincount(owner, minlength=n) - 1
             yield pa.RecordBatch.from_arrays(
-                [pa.array(words[at : at + 50_000], pa.binary()), pa.array(counts[at : at + 50_000], pa.int64())], ["word", "n"]
+                [batch.column(1), batch.column(0), batch.column(2), *(pa.array(x) for x in (tokens, known, bases, logs))], names
             )
 
-    slim = docs.select((~held_out(id_col)).alias("learn"), F.col(text).cast("binary").alias("t"))
-    return slim.mapInArrow(run, "word binary, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
+    row = F.monotonically_increasing_id()
+    slim = docs.select(row.alias("row"), F.col(id_col).cast("long").alias("doc"), F.col(text).cast("binary").alias("t"))
+    slim = slim.select("row", F.xxhash64("row").alias("key"), "doc", "t")
+    return slim.mapInArrow(run, "key bigint, row bigint, doc bigint, tokens bigint, known bigint, base double, lp double")
+
+
+# -- the tree in memory ---------------------------------------------------------------------------
+# The same model over counts that fit into arrays; tests compare the tables with it.
 
 
 @dataclass
@@ -109,46 +341,6 @@ def contexts(symbols: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndar
     return np.concatenate(w), np.concatenate(one), np.concatenate(two)
 
 
-def count_grams(docs: DataFrame, id_col: str, text: str, words: Words) -> DataFrame:
-    """(k, v, n) of strings of k symbols whose context is frequent word by word."""
-    able = words.counts >= CONTEXT_SHARE * words.total
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
-        size = 0
-        for batch in batches:
-            seen = [words.symbols(v.as_py())[1] for v in batch.column(0)]
-            if not seen:
-                continue
-            w, one, two = contexts(seen)
-            single = able[one]
-            double = single & able[two]
-            # Two-symbol strings leave the top bits empty, so both kinds share a table.
-            held += [(one << BITS | w)[single], (((two + 1) << BITS | one) << BITS | w)[double]]
-            size += len(held[-1]) + len(held[-2])
-            if size > HELD_GRAMS:
-                yield from rows(held)
-                held, size = [], 0
-        yield from rows(held)
-
-    def rows(held: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        if held:
-            v, n = np.unique(np.concatenate(held), return_counts=True)
-            for at in range(0, len(v), 100_000):
-                yield pa.RecordBatch.from_arrays([pa.array(v[at : at + 100_000]), pa.array(n[at : at + 100_000])], ["v", "n"])
-
-    slim = docs.filter(~held_out(id_col)).select(F.col(text).cast("binary").alias("t"))
-    return slim.mapInArrow(run, "v bigint, n bigint").groupBy("v").agg(F.sum("n").alias("n"))
-
-
-def frequent_grams(counted: DataFrame, total: int):
-    """(v, n, context total) of strings with WORD_SHARE of all tokens whose context has CONTEXT_SHARE."""
-    full = stored(counted, "grams").withColumn("c", F.shiftright("v", BITS))
-    totals = full.groupBy("c").agg(F.sum("n").alias("total")).filter(F.col("total") >= CONTEXT_SHARE * total)
-    often = full.filter((F.col("n") >= WORD_SHARE * total) & (F.col("n") > 1) & (F.expr(f"v & {(1 << BITS) - 1}") != OTHER))
-    return often.join(totals, "c").select("v", "n", "total").toArrow()
-
-
 @dataclass
 class Level:
     """States of one context length and the strings they describe, sorted, in log10."""
@@ -217,96 +409,3 @@ class Tree:
         use = live & (w != OTHER)
         out[use] += plain[w[use]]
         return out
-
-
-def score(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """(id_col, held_out, n_tokens, n_known, train_tokens, base_score, score) of every row."""
-    table = stored(count_words(docs, id_col, text), "words")
-    ends = docs.filter(~held_out(id_col)).count()
-    sums = table.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum((F.col("n") > 0).cast("long")), F.lit(0))).first()
-    total, distinct = sums[0] + ends, sums[1] + int(ends > 0)
-    often = F.col("n") >= max(WORD_SHARE * total, 2)
-    listed = table.filter(often).orderBy(F.desc("n"), "word").toArrow()
-    counts = np.concatenate([[0, ends, ends], listed.column("n").to_numpy()]).astype(np.int64)
-    counts[OTHER] = max(total - int(counts[END:].sum()), 0)
-    words = Words({w: FIRST + i for i, w in enumerate(listed.column("word").to_pylist())}, counts, total, distinct)
-    got = frequent_grams(count_grams(docs, id_col, text, words), total)
-    tree = Tree(words, *(got.column(c).to_numpy(zero_copy_only=False) for c in ("v", "n", "total")))
-    low = np.log10(total + 0.5 * (distinct + 1))
-    # One class of unknown words; without training tokens every word is unknown.
-    unknown = float(np.log10(max(DISCOUNT * distinct, 0.5) / max(total, 1)))
-    parts = looked_up(docs, id_col, text, words, tree, np.log10(np.where(np.arange(len(counts)) == OTHER, 0, counts) + 0.5) - low)
-    n = F.col("n")
-    rare = table.filter(~often).select(
-        name_of("word").alias("key"),
-        (n > 0).cast("long").alias("wk"),
-        (F.log10(n + 0.5) - F.lit(float(low))).alias("wb"),
-        F.when(n > 0, F.log10((n - DISCOUNT) / max(total, 1))).otherwise(unknown).alias("wl"),
-    )
-    whole = parts.filter("key is null").select("row", "doc", "tokens", "known", "base", "lp")
-    times = F.col("tokens")
-    single = (
-        parts.filter("key is not null")
-        .join(rare, "key")
-        .select(
-            "row",
-            F.lit(None).cast("bigint").alias("doc"),
-            F.lit(0).cast("bigint").alias("tokens"),
-            (times * F.col("wk")).alias("known"),
-            (times * F.col("wb")).alias("base"),
-            (times * F.col("wl")).alias("lp"),
-        )
-    )
-    sums = whole.unionByName(single).groupBy("row").agg(
-        F.max("doc").alias(id_col),
-        F.sum("tokens").alias("n_tokens"),
-        F.sum("known").alias("n_known"),
-        F.sum("base").alias("base_score"),
-        F.sum("lp").alias("score"),
-    )
-    return sums.select(
-        id_col, held_out(id_col).alias("held_out"), "n_tokens", "n_known", F.lit(total).cast("bigint").alias("train_tokens"), "base_score", "score"
-    )
-
-
-def name_of(word: str):
-    return F.xxhash64(word)
-
-
-def looked_up(docs: DataFrame, id_col: str, text: str, words: Words, tree: Tree, base: np.ndarray) -> DataFrame:
-    """One row per document with what the tree and frequent words give, and one per other word in it."""
-    names = ["row", "doc", "word", "tokens", "known", "base", "lp"]
-    kinds = [pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, docs_ = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            if not ids:
-                continue
-            read = [words.symbols(v.as_py()) for v in batch.column(2)]
-            symbols = [s for _, s in read]
-            w, one, two = contexts(symbols)
-            owner = np.repeat(np.arange(len(ids)), [len(s) for s in symbols])
-            known = (w != OTHER) & (words.counts[w] > 0)
-            cols: list[list] = [
-                ids,
-                docs_,
-                [None] * len(ids),
-                [len(s) for s in symbols],
-                np.bincount(owner, known, len(ids)).astype(np.int64).tolist(),
-                np.bincount(owner, np.where(w == OTHER, 0.0, base[w]), len(ids)).tolist(),
-                np.bincount(owner, tree.score(w, one, two), len(ids)).tolist(),
-            ]
-            for i, (spelled, s) in enumerate(read):
-                other = Counter([spelled[j] for j in np.flatnonzero(s == OTHER).tolist()])
-                k = len(other)
-                for c, x in zip(cols, ([ids[i]] * k, [None] * k, other, other.values(), [None] * k, [None] * k, [None] * k)):
-                    c += x
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names)
-
-    slim = docs.select(
-        F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("doc"), F.col(text).cast("binary").alias("t")
-    )
-    found = slim.mapInArrow(run, "row bigint, doc bigint, word binary, tokens bigint, known bigint, base double, lp double")
-    key = F.when(F.col("word").isNotNull(), name_of("word")).alias("key")
-    return found.select("row", "doc", key, "tokens", "known", "base", "lp")

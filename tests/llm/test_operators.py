@@ -295,6 +295,45 @@ def test_score_edges(edges, empty):
     assert suffix_tree.score(empty).count() == 0
 
 
+def test_tables_equal_the_tree_and_grow_with_the_corpus(spark):
+    """Tables against the tree in memory; contexts and words far under a thousandth of the tokens are described."""
+    from collections import Counter
+
+    rng = random.Random(12)
+    texts = []
+    for i in range(400):
+        w = [f"filler{rng.randrange(200)}" for _ in range(40)]
+        if i % 40 == 0:
+            w[10:12] = ["seldom", "pairword", "follower"]
+        texts.append(" ".join(w))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = {r["doc_id"]: r["score"] for r in suffix_tree.score(df).collect()}
+
+    train = [t.split() for i, t in enumerate(texts) if not suffix_tree.is_held_out(i)]
+    often = Counter(w for t in train for w in t)
+    index = {w.encode(): suffix_tree.FIRST + i for i, w in enumerate(sorted(often))}
+    total = sum(often.values()) + len(train)
+    assert often["seldom"] >= suffix_tree.LEAST_CONTEXT and often["seldom"] < total / 1000
+    counts = np.array([0, 0, len(train), *(often[w] for w in sorted(often))])
+    words = suffix_tree.Words(index, counts, total, len(often) + 1)
+    w, one, two = suffix_tree.contexts([words.symbols(" ".join(t).encode())[1] for t in train])
+    b = suffix_tree.BITS
+    v, n, of = [], [], []
+    for g in (one << b | w, ((two + 1) << b | one) << b | w):
+        k, m = np.unique(g, return_counts=True)
+        _, inverse = np.unique(k >> b, return_inverse=True)
+        sums = np.bincount(inverse, m)[inverse].astype(np.int64)
+        keep = (m >= suffix_tree.LEAST_STRING) & (sums >= suffix_tree.LEAST_CONTEXT)
+        v, n, of = [*v, k[keep]], [*n, m[keep]], [*of, sums[keep]]
+    tree = suffix_tree.Tree(words, *(np.concatenate(x) for x in (v, n, of)))
+    assert index[b"seldom"] in tree.levels[0].states
+    unknown = np.log10(suffix_tree.DISCOUNT * (len(often) + 1) / total)
+    for i, t in enumerate(texts):
+        s = words.symbols(t.encode())[1]
+        want = tree.score(*suffix_tree.contexts([s])).sum() + unknown * (s == suffix_tree.OTHER).sum()
+        assert abs(got[i] - want) < 1e-6 * abs(want), i
+
+
 # -- 5: quality -----------------------------------------------------------------------------------
 
 
