@@ -25,15 +25,22 @@ KINDS = ("email", "ip", "date", "iban", "card", "ssn", "phone")
 EMAIL = r"[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"
 IP = r"(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?!\d|\.\d)"
 DATE = r"(?<![\d./-])(?:\d{4}-\d{2}-\d{2}|\d{4}/\d{2}/\d{2}|\d{1,2}\.\d{1,2}\.\d{4}|\d{1,2}/\d{1,2}/\d{4})(?!\d|[./-]\d)"
-IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"
 SSN = r"(?<![\d-])\d{3}-\d{2}-\d{4}(?!\d|-\d)"
+#: A telephone number ends before a space and an address, a date or a social security number, and keeps its separator.
+_NEXT = rf"(?! (?:\d{{1,3}}(?:\.\d{{1,3}}){{3}}(?!\d|\.\d)|\d{{4}}[-/]\d{{2}}[-/]\d{{2}}|\d{{1,2}}[./]\d{{1,2}}[./]\d{{4}}|\d{{3}}-\d{{2}}-\d{{4}}))"
 PHONE = (
-    r"(?<![\w+])\+\d{1,3}[ .-]?(?:\(\d{1,4}\)|\d{1,4})(?:[ .-]?\d{2,4}){1,4}(?!\d)"
-    r"|(?<![\w+-])\(\d{3}\) ?\d{3}[ .-]\d{4}(?!\d)|(?<![\w+.-])\d{3}([.-])\d{3}\1\d{4}(?!\d|[.-]\d)"
+    r"(?<![\w+])\+1[ .-]?(?:\(\d{3}\)|\d{3})[ .-]?\d{3}[ .-]?\d{4}(?!\d)"
+    rf"|(?<![\w+])\+\d{{1,3}}[ .-]?(?:\(\d{{1,4}}\)|\d{{1,4}}){_NEXT}[ .-]?\d{{2,4}}(?:{_NEXT}(?<sep>[ .-]?)\d{{2,4}}(?:{_NEXT}\k<sep>\d{{2,4}}){{0,2}})?(?!\d)"
+    r"|(?<![\w+-])\(\d{3}\) ?\d{3}[ .-]\d{4}(?!\d)|(?<![\w+.-])(?:1(?=[.-]))?(?:(?<=1)[.-])?\d{3}(?<dot>[.-])\d{3}\k<dot>\d{4}(?!\d|[.-]\d)"
 )
-CARD = r"(?<![\w+-])\d(?:[ -]?\d){12,18}(?!\w|-\d)"
-#: Tried in this order at every place; capturing groups are only used inside PHONE.
-PATTERN = "|".join([EMAIL, IP, DATE, IBAN, SSN, CARD, PHONE])
+#: Groups that may hold cards and IBANs, one after the other; what in them is one is decided by their checksums.
+_END = r"(?!\w|[./-]\d|[A-Za-z0-9._%+-]*@)"
+RUN = (
+    r"(?<![\w+-])(?=(?: ?\d){13}|[A-Z]{2}\d{2} ?[A-Z0-9])[A-Z0-9]+(?: [A-Z0-9]+)*" + _END
+    + r"|(?<![\w+-])(?=(?:-?\d){13})\d+(?:-\d+)+" + _END
+)
+#: Tried in this order at every place; named groups are only used inside PHONE.
+PATTERN = "|".join([EMAIL, IP, DATE, SSN, RUN, PHONE])
 
 FIRST_DAY, DAYS = "1900-01-01", 73_049
 #: 271 * 270 is just above the number of days, so hardly any value has to walk on.
@@ -241,7 +248,7 @@ def date(x: Column, key: str) -> Column:
 
 def phone(x: Column, key: str) -> Column:
     """Digits after the country code are permuted."""
-    code = F.regexp_extract(x, r"^(\+\d{1,3}(?=[ .(-]))?", 0)
+    code = F.regexp_extract(x, r"^((?:\+\d{1,3}|1)(?=[ .(-]))?", 0)
 
     def renewed(p):
         rest = F.substr(x, F.length(p["code"]) + 1)
@@ -262,16 +269,61 @@ def email(x: Column, key: str) -> Column:
 def kind_of(x: Column) -> Column:
     """Which pattern matched."""
     case = F.when(F.contains(x, F.lit("@")), "email")
-    for name, pattern in (("ip", r"^\d{1,3}(\.\d{1,3}){3}$"), ("date", r"^(\d{4}[-/]\d{2}[-/]\d{2}|\d{1,2}[./]\d{1,2}[./]\d{4})$"), ("iban", r"^[A-Z]{2}"), ("ssn", r"^\d{3}-\d{2}-\d{4}$"), ("phone", r"^[+(]|^\d{3}[.-]\d{3}[.-]\d{4}$")):
+    for name, pattern in (("ip", r"^\d{1,3}(\.\d{1,3}){3}$"), ("date", r"^(\d{4}[-/]\d{2}[-/]\d{2}|\d{1,2}[./]\d{1,2}[./]\d{4})$"), ("ssn", r"^\d{3}-\d{2}-\d{4}$"), ("phone", r"^[+(]|^(1[.-])?\d{3}[.-]\d{3}[.-]\d{4}$")):
         case = case.when(F.rlike(x, F.lit(pattern)), name)
-    return case.otherwise("card")
+    return case.otherwise("run")
+
+
+def run(x: Column, key: str) -> Column:
+    """struct(new, kinds) of groups: at each one a card of its own, else the longest card or IBAN that starts there."""
+
+    def renewed(p):
+        g, sep, m = p["g"], p["sep"], F.size(p["g"])
+
+        def is_card(y):
+            return F.rlike(y, F.lit(r"^\d{13,19}$")) & F.call_function("luhn_check", y)
+
+        def is_iban(y):
+            whole = F.when(F.rlike(y, F.lit(r"^[A-Z]{2}\d{2}[A-Z0-9]{8,30}$")), mod97(F.concat(F.substr(y, F.lit(5)), F.left(y, F.lit(4)))) == 1)
+            return F.coalesce(whole, F.lit(False))
+
+        def step(s, i):
+            sizes = F.filter(
+                F.sequence(F.lit(1), F.least(m - i, F.lit(19))),
+                lambda k: let(F.array_join(F.slice(g, i + 1, k), ""), lambda y: is_card(y) | is_iban(y)),
+            )
+            best = F.when(F.get(sizes, F.lit(0)) == 1, 1).otherwise(F.coalesce(F.array_max(sizes), F.lit(0)))
+
+            def taken(k):
+                old = F.call_function("array_join", F.slice(g, i + 1, F.greatest(k, F.lit(1))), sep)
+                kind = F.when(F.rlike(old, F.lit("^[A-Z]")), "iban").otherwise("card")
+                new = F.when(k == 0, old).when(kind == "iban", iban(old, key)).otherwise(card(old, key))
+                return let(
+                    F.struct(old.alias("o"), new.alias("n")),
+                    lambda v: F.struct(
+                        F.concat(s["s"], F.when(i > 0, sep).otherwise(F.lit("")), v["n"]).alias("s"),
+                        (i + F.greatest(k, F.lit(1))).cast("int").alias("next"),
+                        F.when(v["o"] != v["n"], F.array_append(s["kinds"], kind)).otherwise(s["kinds"]).alias("kinds"),
+                    ),
+                )
+
+            return F.when(i < s["next"], s).otherwise(let(best, taken))
+
+        start = F.struct(F.lit("").alias("s"), F.lit(0).alias("next"), F.array().cast("array<string>").alias("kinds"))
+        done = F.aggregate(F.sequence(F.lit(0), m - 1), start, step)
+        return let(done, lambda s: F.struct(s["s"].alias("new"), s["kinds"].alias("kinds")))
+
+    sep = F.when(F.contains(x, F.lit("-")), "-").otherwise(" ")
+    return let(F.struct(F.split(x, "[ -]").alias("g"), sep.alias("sep")), renewed)
 
 
 def pseudonym(x: Column, kind: Column, key: str) -> Column:
+    """struct(new, kinds of the values replaced)."""
     case = None
-    for name, made in (("email", email), ("ip", ip), ("date", date), ("iban", iban), ("ssn", ssn), ("phone", phone), ("card", card)):
+    for name, made in (("email", email), ("ip", ip), ("date", date), ("ssn", ssn), ("phone", phone)):
         case = F.when(kind == name, made(x, key)) if case is None else case.when(kind == name, made(x, key))
-    return case
+    one = let(case, lambda n: F.struct(n.alias("new"), F.when(n != x, F.array(kind)).otherwise(F.array().cast("array<string>")).alias("kinds")))
+    return F.when(kind == "run", run(x, key)).otherwise(one)
 
 
 def pseudonymize(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
@@ -279,18 +331,17 @@ def pseudonymize(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     t = F.col(text)
     found = F.when(
         F.rlike(t, F.lit("[0-9@]")),
-        F.transform(F.regexp_extract_all(t, F.lit(PATTERN), F.lit(0)), lambda x: let(kind_of(x), lambda k: F.struct(k.alias("kind"), x.alias("old"), pseudonym(x, k, key).alias("new")))),
-    ).otherwise(F.array().cast("array<struct<kind:string,old:string,new:string>>"))
+        F.transform(F.regexp_extract_all(t, F.lit(PATTERN), F.lit(0)), lambda x: let(kind_of(x), lambda k: pseudonym(x, k, key))),
+    ).otherwise(F.array().cast("array<struct<new:string,kinds:array<string>>>"))
 
     def rebuilt(f):
         rest = F.split(t, PATTERN, -1)
         return F.array_join(F.transform(rest, lambda r, i: F.concat(r, F.coalesce(F.get(f, i)["new"], F.lit("")))), "")
 
     def outcome(f):
-        changed = F.filter(f, lambda v: v["old"] != v["new"])
         return F.struct(
             F.when(F.size(f) == 0, t).otherwise(rebuilt(f)).alias("text"),
-            F.transform(changed, lambda v: v["kind"]).alias("kinds"),
+            F.flatten(F.transform(f, lambda v: v["kinds"])).alias("kinds"),
         )
 
     done = docs.withColumn("_pii", let(found, outcome))

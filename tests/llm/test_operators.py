@@ -603,6 +603,20 @@ def test_formats_stay_and_equal_values_stay_linked(spark):
     assert re.fullmatch(r"mail u[0-9a-f]{15}@x\.example\.com", m)
 
 
+def test_values_beside_others_are_found(spark):
+    """What follows a value does not hide it, and it has the pseudonym that it has alone."""
+    c, i, p, a = "4417744280351547", "DE89 3704 0044 0532 0130 00", "+1 (826) 555-4081", "190.137.223.204"
+    spaced, tollfree = "4417 7442 8035 1547", "800-555-1234"
+    C, I, P, A, S, T = changed(spark, [c, i, p, a, spaced, tollfree])
+    assert all(x != y for x, y in zip((C, I, P, A, S, T), (c, i, p, a, spaced, tollfree)))
+    cases = [
+        (f"{c} 123 end", f"{C} 123 end"), (f"{spaced} 12/27", f"{S} 12/27"), (f"{c} {a}", f"{C} {A}"), (f"{spaced} {a}", f"{S} {A}"),
+        (f"{i} BIC", f"{I} BIC"), (f"{i} {i}", f"{I} {I}"), (f"{i} {spaced} x", f"{I} {S} x"), (f"{p} {a}", f"{P} {A}"),
+        (f"1-{tollfree}", f"1-{T}"), (f"12 {spaced} {spaced}.", f"12 {S} {S}."),
+    ]
+    assert changed(spark, [x for x, _ in cases]) == [y for _, y in cases]
+
+
 def test_what_fails_validation_stays(spark):
     texts = ["4417744280351548", "999.1.1.1", "2023-02-30", "000-12-3456", "DE88370400440532013000", "12345", "", None, "a" * 50_000]
     assert changed(spark, texts) == texts
