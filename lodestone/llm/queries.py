@@ -4,28 +4,33 @@ from __future__ import annotations
 
 import os
 
+import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.llm import (
+    alignment,
     bpe,
     decontaminate,
     html_extract,
     jaccard_join,
     line_dedup,
+    packing,
     pii,
     quality_rules,
     secrets,
     substring_dedup,
     suffix_tree,
+    whitening,
 )
 from lodestone.llm.common import table
 
-#: Folder of the public tokenizer files; a parameter of the deployment.
-TOKENIZERS = os.environ.get("TOKENIZER_DIR", "/opt/tokenizers")
+#: Public tokenizer files.
+WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
+BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
+PIECE_BPE = public_tokenizers.path("piece_bpe_32k.model")
 #: The secret of the pseudonyms; a deployment sets its own.
 PII_KEY = os.environ.get("PII_KEY", "pseudonym key")
-WORD_BPE = f"{TOKENIZERS}/word_bpe_49k.json"
 
 
 def op1_bpe(spark: SparkSession, d: str) -> DataFrame:
@@ -109,6 +114,23 @@ def op10_pii(spark: SparkSession, d: str) -> DataFrame:
     return pii.pseudonymize(docs, PII_KEY)
 
 
+def op11_whitening(spark: SparkSession, d: str) -> DataFrame:
+    out = whitening.whiten(table(spark, d, "embeddings"))
+    # Beyond 64 bits the exact deviation has no place in a long: null.
+    return out.withColumn("deviation", F.col("deviation").try_cast("bigint"))
+
+
+def op12_packing(spark: SparkSession, d: str) -> DataFrame:
+    pieces = packing.pack(table(spark, d, "documents"), WORD_BPE, end=2)
+    return pieces.select(
+        "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset"
+    )
+
+
+def op13_alignment(spark: SparkSession, d: str) -> DataFrame:
+    return alignment.alignment_measures(table(spark, d, "documents"), BYTE_BPE, PIECE_BPE)
+
+
 QUERIES = {
     "op1_bpe": op1_bpe,
     "op2_html_extract": op2_html_extract,
@@ -120,6 +142,9 @@ QUERIES = {
     "op8_substring_dedup": op8_substring_dedup,
     "op9_jaccard_join": op9_jaccard_join,
     "op10_pii": op10_pii,
+    "op11_whitening": op11_whitening,
+    "op12_packing": op12_packing,
+    "op13_alignment": op13_alignment,
 }
 
 ORACLES: dict[str, str] = {}
