@@ -14,13 +14,34 @@ from lodestone.skew import hot_keys, salted_join, top_k
 TITLE_WEIGHT, TAG_WEIGHT, CATEGORY_WEIGHT, CONTENT_WEIGHT = 3.0, 2.0, 1.5, 1.0
 
 
+#: Bytes of a look-up table that is sent to all tasks; a larger one meets the postings in a shuffled join.
+SENT_BYTES = 32 << 20
+
+
 @dataclass(frozen=True)
 class TextIndex:
-    """``postings(term, doc_id, tf, field_weight, doc_len)``, ``terms(term, df, idf)``, one-row ``stats``."""
+    """``postings(term, doc_id, tf, field_weight, doc_len)``, ``terms(term, df, idf)``, one-row ``stats``.
+
+    A stored index has ``buckets`` term buckets: postings are partitioned by the column ``bucket``, and terms have
+    it too, so that a look-up reads the asked buckets alone.
+    """
 
     postings: DataFrame
     terms: DataFrame
     stats: DataFrame
+    buckets: int | None = None
+
+    @property
+    def key(self) -> list[str]:
+        return ["term"] if self.buckets is None else ["bucket", "term"]
+
+    def keyed(self, df: DataFrame) -> DataFrame:
+        """``df`` with the bucket of its terms, if the index has any."""
+        return df if self.buckets is None else df.withColumn("bucket", term_bucket("term", self.buckets))
+
+
+def term_bucket(term: str, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(buckets)).cast("int")
 
 
 def doc_length() -> Column:
@@ -128,15 +149,30 @@ def query_terms(queries: DataFrame) -> DataFrame:
     return queries.select("query_id", F.explode(F.array_distinct("terms")).alias("term"))
 
 
+def fits(df: DataFrame, row_bytes: Column, most: int = SENT_BYTES) -> bool:
+    """Whether the rows of ``df`` take at most ``most`` bytes in all."""
+    return (df.agg(F.sum(row_bytes)).first()[0] or 0) <= most
+
+
+def known_terms(asked: DataFrame, index: TextIndex, sent: bool) -> DataFrame:
+    """Asked (query_id, term) rows with frequency and IDF; terms that no document has drop out."""
+    keyed = index.keyed(asked)
+    return index.terms.filter("df > 0").join(F.broadcast(keyed) if sent else keyed, index.key)
+
+
 def match_postings(queries: DataFrame, index: TextIndex) -> DataFrame:
     """Query terms joined with their postings and IDF.
 
-    Only terms that occur in some query are looked up, and the postings of the most frequent of
-    them are spread over many tasks.
+    Query terms are sent to the postings, which are read once, from the asked buckets alone and without an exchange.
+    Where the terms take more than ``SENT_BYTES`` both sides are shuffled, and the postings of the most
+    frequent terms are spread over many tasks.
     """
-    wanted = query_terms(queries).join(index.terms, "term")
+    asked = query_terms(queries)
+    if fits(asked, F.octet_length("term") + 64):
+        return index.postings.join(F.broadcast(known_terms(asked, index, True)), index.key)
+    wanted = known_terms(asked, index, False)
     hot = hot_keys(wanted.select("term", "df").distinct(), ["term"], "df")
-    return salted_join(index.postings, wanted, "term", hot, spread_on=["doc_id"])
+    return salted_join(index.postings, wanted.drop("bucket"), "term", hot, spread_on=["doc_id"])
 
 
 def search_or(queries: DataFrame, index: TextIndex, max_results: int = 1000) -> DataFrame:
@@ -146,13 +182,35 @@ def search_or(queries: DataFrame, index: TextIndex, max_results: int = 1000) ->
 
 
 def search_and(queries: DataFrame, index: TextIndex) -> DataFrame:
-    """Documents holding every query term; a query with an unknown term matches nothing."""
-    sized = queries.select("query_id", F.size(F.array_distinct("terms")).alias("n_terms"))
-    hits = match_postings(queries, index).groupBy("query_id", "doc_id").agg(F.count(F.lit(1)).alias("matched"))
+    """Documents holding every query term; a query with an unknown term matches nothing.
+
+    The documents of a query's rarest term are the only candidates; its other terms are looked up for them, so
+    frequent terms are never expanded.
+    """
+    asked = query_terms(queries)
+    sent = fits(asked, F.octet_length("term") + 64)
+    sized = asked.groupBy("query_id").agg(F.count(F.lit(1)).alias("n_terms"))
+    known = known_terms(asked, index, sent)
+    # Queries whose terms are all known, with their rarest term and its frequency.
+    led = (
+        known.groupBy("query_id")
+        .agg(F.count(F.lit(1)).alias("n_known"), F.min(F.struct("df", "term")).alias("_led"))
+        .join(sized, "query_id")
+        .filter(F.col("n_known") == F.col("n_terms"))
+        .select("query_id", "n_terms", F.col("_led.term").alias("term"), F.col("_led.df").alias("df"))
+    )
+    lead = index.keyed(led.filter("df > 0"))
+    first = index.postings.join(F.broadcast(lead) if sent else lead, index.key).select("query_id", "doc_id", "n_terms", F.col("term").alias("_led"))
+    rest = index.keyed(first.join(asked, "query_id").filter(F.col("term") != F.col("_led")))
+    row = (F.col("n_terms") - 1) * F.col("df") * (F.octet_length("term") + 64)
+    rest = rest.select(*index.key, "doc_id", "query_id", "n_terms")
+    pairs = index.postings.join(F.broadcast(rest) if fits(led, row) else rest, [*index.key, "doc_id"])
     return (
-        hits.join(sized, "query_id")
-        .filter(F.col("matched") == F.col("n_terms"))
+        pairs.groupBy("query_id", "doc_id", "n_terms")
+        .agg(F.count(F.lit(1)).alias("found"))
+        .filter(F.col("found") == F.col("n_terms") - 1)
         .select("query_id", "doc_id")
+        .unionByName(first.filter("n_terms = 1").select("query_id", "doc_id"))
     )
 
 

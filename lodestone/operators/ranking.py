@@ -11,8 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.functions.text import title_words
-from lodestone.operators.index import TextIndex, query_terms
-from lodestone.operators.recall import DAY, HISTORY, HOT, VECTOR, bm25_term
+from lodestone.operators.index import TextIndex, fits, match_postings
+from lodestone.operators.recall import DAY, HISTORY, HOT, VECTOR, bm25_sum
 from lodestone.skew import top_k
 
 # Default stage weights.
@@ -42,29 +42,23 @@ def score_bm25(
     b: float = 0.75,
     idf: str = "index",
 ) -> DataFrame:
-    """Add ``bm25`` = tanh(Σ/10) to candidates; 0 where no term matches.
+    """Fill ``bm25`` = tanh(Σ/10) of candidates; 0 where no term matches.
 
-    Postings are first reduced to the query terms, so only matching postings meet the candidates.
-    ``idf="unit"`` weighs all terms alike.
+    Candidates that carry the score of their recall keep it; the others are scored in one more pass over the asked
+    postings, cut to their documents first. ``idf="unit"`` weighs all terms alike.
     """
-    avg_len = index.stats.select("avg_len").scalar()
-    wanted = query_terms(queries)
-    lookup = wanted.select("term").distinct()
-    if idf == "index":
-        lookup = lookup.join(index.terms.select("term", "idf"), "term")
-    else:
-        lookup = lookup.withColumn("idf", F.lit(1.0))
-    postings = index.postings.join(lookup, "term")
-    pairs = cands.select("query_id", "doc_id").join(wanted, "query_id")
-    scored = (
-        pairs.join(postings, ["term", "doc_id"])
-        .groupBy("query_id", "doc_id")
-        .agg(F.tanh(F.sum(bm25_term(k1, b, avg_len, F.col("idf"))) / 10).alias("bm25"))
-    )
+    if "bm25" not in cands.columns:
+        cands = cands.withColumn("bm25", F.lit(None).cast("double"))
+    unscored = cands.filter("bm25 IS NULL").select("query_id", "doc_id")
+    docs = unscored.select("doc_id").distinct()
+    sent = fits(docs, F.octet_length(F.col("doc_id").cast("string")) + 32)
+    hits = match_postings(queries, index).join(F.broadcast(docs) if sent else docs, "doc_id", "left_semi")
+    scored = hits.groupBy("query_id", "doc_id").agg(bm25_sum(index, k1, b, idf).alias("_bm25"))
+    found = unscored.join(scored, ["query_id", "doc_id"])
     return (
-        cands.drop("bm25")
-        .join(scored, ["query_id", "doc_id"], "left")
-        .withColumn("bm25", F.coalesce("bm25", F.lit(0.0)))
+        cands.join(found, ["query_id", "doc_id"], "left")
+        .withColumn("bm25", F.coalesce("bm25", "_bm25", F.lit(0.0)))
+        .drop("_bm25")
     )
 
 

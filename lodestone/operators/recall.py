@@ -18,11 +18,19 @@ CHANNEL_ORDER = [TEXT, HISTORY, HOT, VECTOR]
 DAY = 86400
 
 
-def enrich(cands: DataFrame, corpus: DataFrame) -> DataFrame:
-    """Attach document metadata and the 200-byte snippet; candidates without a document drop out."""
-    known = [c for c in (*META, "snippet") if c in cands.columns]
-    docs = corpus.select("doc_id", *META, snippet("content").alias("snippet"))
-    return cands.drop(*known).join(docs, "doc_id")
+#: What the coarse scores read; titles and snippets are attached to what coarse ranking keeps.
+NUMBERS = ("publish_time", "quality_score", "click_count", "like_count")
+
+
+def enrich(cands: DataFrame, corpus: DataFrame, columns: Sequence[str] = (*META, "snippet")) -> DataFrame:
+    """Attach document columns; candidates without a document drop out.
+
+    The 200-byte snippet is read from the corpus if stored there, else cut from the content. Columns that the candidates
+    have already are replaced.
+    """
+    cut = snippet("content").alias("snippet")
+    take = [cut if c == "snippet" and c not in corpus.columns else F.col(c) for c in columns]
+    return cands.drop(*[c for c in columns if c in cands.columns]).join(corpus.select("doc_id", *take), "doc_id")
 
 
 def recall_text(
@@ -31,16 +39,22 @@ def recall_text(
     corpus: DataFrame | None = None,
     max_recall: int = 1000,
     min_term_freq: int = 1,
+    bm25: tuple[float, float] | None = None,
+    idf: str = "index",
 ) -> DataFrame:
     """Documents matching most query terms, scored by Σ (1 + ln(1 + tf))·idf.
 
-    Matching and scoring share one join with the postings and one aggregation.
+    Matching and scoring share one join with the postings and one aggregation. With ``bm25`` = (k1, b) the
+    same pass also gives the column ``bm25``, over all matched terms; ``idf="unit"`` weighs them alike.
     """
-    hits = match_postings(queries, index).filter(F.col("tf") >= min_term_freq)
-    scored = hits.groupBy("query_id", "doc_id").agg(
-        F.count(F.lit(1)).alias("matched"),
-        F.sum((1 + F.log1p("tf")) * F.col("idf")).alias("recall_score"),
-    )
+    counted = F.col("tf") >= min_term_freq
+    measures = [
+        F.count_if(counted).alias("matched"),
+        F.sum(F.when(counted, (1 + F.log1p("tf")) * F.col("idf"))).alias("recall_score"),
+    ]
+    if bm25 is not None:
+        measures.append(bm25_sum(index, *bm25, idf).alias("bm25"))
+    scored = match_postings(queries, index).groupBy("query_id", "doc_id").agg(*measures).filter("matched > 0")
     best = top_k(scored, ["query_id"], [F.desc("matched"), F.asc("doc_id")], max_recall, "doc_id")
     cands = best.drop("rank").withColumn("recall_source", F.lit(TEXT))
     return cands if corpus is None else enrich(cands, corpus)
@@ -52,13 +66,18 @@ def bm25_term(k1: float, b: float, avg_len: Column, idf: Column) -> Column:
     return F.when(avg_len > 0, idf * tf * (k1 + 1) / norm * F.col("field_weight")).otherwise(0.0)
 
 
+def bm25_sum(index: TextIndex, k1: float, b: float, idf: str = "index") -> Column:
+    """tanh(Σ/10) over the matched postings of a (query, document) group."""
+    weight = F.col("idf") if idf == "index" else F.lit(1.0)
+    return F.tanh(F.sum(bm25_term(k1, b, index.stats.select("avg_len").scalar(), weight)) / 10)
+
+
 def search_bm25(
     queries: DataFrame, index: TextIndex, k: int = 10, k1: float = 1.5, b: float = 0.75
 ) -> DataFrame:
     """The ``k`` best documents per query by BM25, with one postings join."""
-    avg_len = index.stats.select("avg_len").scalar()
     hits = match_postings(queries, index).groupBy("query_id", "doc_id").agg(
-        F.round(F.tanh(F.sum(bm25_term(k1, b, avg_len, F.col("idf"))) / 10), 6).alias("score")
+        F.round(bm25_sum(index, k1, b), 6).alias("score")
     )
     return top_k(hits, ["query_id"], [F.desc("score"), F.asc("doc_id")], k, "doc_id")
 
@@ -132,7 +151,9 @@ def recall_history(
 
 
 def stack_channels(channels: dict[str, DataFrame]) -> DataFrame:
-    """All channels as (channel, channel_ord, query_id, doc_id, recall_score), in the order given."""
+    """All channels as (channel, channel_ord, query_id, doc_id, recall_score), in the order given, with ``bm25``
+    where a channel has it."""
+    carried = any("bm25" in df.columns for df in channels.values())
     parts = [
         df.select(
             F.lit(name).alias("channel"),
@@ -140,6 +161,7 @@ def stack_channels(channels: dict[str, DataFrame]) -> DataFrame:
             "query_id",
             "doc_id",
             F.col("recall_score").cast("double").alias("recall_score"),
+            *([F.col("bm25") if "bm25" in df.columns else F.lit(None).cast("double").alias("bm25")] if carried else []),
         )
         for i, (name, df) in enumerate(channels.items())
     ]
@@ -150,18 +172,23 @@ def stack_channels(channels: dict[str, DataFrame]) -> DataFrame:
 
 
 def union_recall(channels: dict[str, DataFrame], order: Sequence[str] | None = None) -> DataFrame:
-    """One row per (query, doc): the earliest channel that found it names source and score."""
+    """One row per (query, doc): the earliest channel that found it names source and score.
+
+    ``bm25``, where the text channel has it, is kept for all it found.
+    """
     ordered = channels if order is None else {c: channels[c] for c in order if c in channels}
     first = F.min(F.struct("channel_ord", "channel", "recall_score")).alias("_f")
+    rows = stack_channels(ordered)
+    carried = ["bm25"] if "bm25" in rows.columns else []
     return (
-        stack_channels(ordered)
-        .groupBy("query_id", "doc_id")
-        .agg(first)
+        rows.groupBy("query_id", "doc_id")
+        .agg(first, *[F.max(c).alias(c) for c in carried])
         .select(
             "query_id",
             "doc_id",
             F.col("_f.recall_score").alias("recall_score"),
             F.col("_f.channel").alias("recall_source"),
+            *carried,
         )
     )
 

@@ -1,17 +1,23 @@
-"""Versioned snapshots of the text index and of vectors.
+"""Versioned snapshots of the text index, of vectors and of what they were made from.
 
 Every write goes to a new version folder; a row appended to ``manifest`` after the data is complete
-makes the version visible, so readers switch at once and a lost executor leaves nothing half-written.
+makes the version visible, so readers switch at once, readers of an older version go on undisturbed, and a lost
+executor leaves nothing half-written.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.operators.index import TextIndex, build_index, term_stats
+from lodestone.operators.index import TextIndex, build_index, term_bucket, term_stats
 
-MANIFEST = "version long, built_at long, docs long"
+MANIFEST = "version long, built_at long, docs long, buckets int"
+
+#: Documents per term bucket; a stored index has a power of two of buckets, from MIN_BUCKETS to MAX_BUCKETS.
+BUCKET_DOCS, MIN_BUCKETS, MAX_BUCKETS = 100_000, 16, 4096
+#: Documents whose postings of one bucket share a file; a term in more documents is spread over several files.
+FILE_DOCS = 2_000_000
 
 
 def _manifest(spark: SparkSession, path: str) -> DataFrame | None:
@@ -25,63 +31,150 @@ def current_version(spark: SparkSession, path: str) -> int | None:
     return None if table is None else table.agg(F.max("version")).first()[0]
 
 
-def _publish(spark: SparkSession, path: str, version: int, built_at: int, docs: int) -> None:
-    row = spark.createDataFrame([(version, built_at, docs)], MANIFEST)
+def _published(spark: SparkSession, path: str, version: int | None):
+    """The manifest row of a version, by default of the newest."""
+    table = _manifest(spark, path)
+    if table is None:
+        raise FileNotFoundError(f"no snapshot under {path}")
+    rows = table if version is None else table.filter(F.col("version") == version)
+    row = rows.orderBy(F.desc("version")).first()
+    if row is None:
+        raise FileNotFoundError(f"no version {version} under {path}")
+    return row
+
+
+def _publish(spark: SparkSession, path: str, version: int, built_at: int, docs: int, buckets: int | None) -> None:
+    row = spark.createDataFrame([(version, built_at, docs, buckets)], MANIFEST)
     row.coalesce(1).write.mode("append").parquet(f"{path}/manifest")
 
 
-def write_index(index: TextIndex, path: str, built_at: int = 0) -> int:
-    """Write a new version and publish it. Postings are range-partitioned by (term, doc_id): term
-    lookups prune files, and a frequent term is spread over several files."""
+def bucket_count(n_docs: int) -> int:
+    wanted = max(1, -(-n_docs // BUCKET_DOCS))
+    return min(MAX_BUCKETS, max(MIN_BUCKETS, 1 << (wanted - 1).bit_length()))
+
+
+def write_index(
+    index: TextIndex,
+    path: str,
+    built_at: int = 0,
+    corpus: DataFrame | None = None,
+    vectors: DataFrame | None = None,
+    dim: int | None = None,
+) -> int:
+    """Write a new version and publish it, with the documents' fingerprints and vectors where they are given.
+
+    Postings are partitioned by term bucket in one hash exchange; within a bucket they are dealt out by document,
+    so a frequent term is spread over several files, and sorted by term.
+    """
     spark = index.postings.sparkSession
     version = (current_version(spark, path) or 0) + 1
     base = f"{path}/v={version}"
+    index.stats.write.mode("overwrite").parquet(f"{base}/stats")
+    stats = spark.read.parquet(f"{base}/stats")
+    n_docs = stats.first()["n_docs"]
+    buckets = bucket_count(n_docs)
+    part = F.pmod(F.xxhash64("doc_id"), F.lit(-(-n_docs // FILE_DOCS) or 1))
+    columns = [c for c in index.postings.columns if c != "bucket"]
     (
-        index.postings.repartitionByRange("term", "doc_id")
-        .sortWithinPartitions("term", "doc_id")
+        index.postings.select(*columns, term_bucket("term", buckets).alias("bucket"))
+        .repartition("bucket", part)
+        .sortWithinPartitions("bucket", "term", "doc_id")
         .write.mode("overwrite")
+        .partitionBy("bucket")
         .parquet(f"{base}/postings")
     )
-    postings = spark.read.parquet(f"{base}/postings")
-    index.stats.write.mode("overwrite").parquet(f"{base}/stats")
-    stats = spark.read.parquet(f"{base}/stats")
-    term_stats(postings, stats).write.mode("overwrite").parquet(f"{base}/terms")
-    _publish(spark, path, version, built_at, stats.first()["n_docs"])
+    terms = term_stats(spark.read.parquet(f"{base}/postings"), stats)
+    terms.withColumn("bucket", term_bucket("term", buckets)).write.mode("overwrite").parquet(f"{base}/terms")
+    if corpus is not None:
+        fingerprints(corpus).write.mode("overwrite").parquet(f"{base}/documents")
+    if vectors is not None:
+        checked_vectors(vectors, dim).write.mode("overwrite").parquet(f"{base}/vectors")
+    _publish(spark, path, version, built_at, n_docs, buckets)
     return version
 
 
 def read_index(spark: SparkSession, path: str, version: int | None = None) -> TextIndex:
-    version = version or current_version(spark, path)
-    if version is None:
-        raise FileNotFoundError(f"no index snapshot under {path}")
-    base = f"{path}/v={version}"
+    row = _published(spark, path, version)
+    base = f"{path}/v={row['version']}"
     return TextIndex(
         spark.read.parquet(f"{base}/postings"),
         spark.read.parquet(f"{base}/terms"),
         spark.read.parquet(f"{base}/stats"),
+        row["buckets"],
+    )
+
+
+# ---------------------------------------------------------------- changes
+
+
+def content_hash(corpus: DataFrame) -> Column:
+    """A 64-bit hash of everything the index is made from; nulls and empty values differ."""
+    parts = [F.coalesce(F.col(c).cast("string"), F.lit("\x00")) for c in ("title", "content", "category", "content_length") if c in corpus.columns]
+    tags = F.array_join(F.coalesce("tags", F.array().cast("array<string>")), "\x1f", "\x00")
+    return F.xxhash64(*parts, tags)
+
+
+def fingerprints(corpus: DataFrame) -> DataFrame:
+    """(doc_id, content_hash) of every document."""
+    return corpus.select("doc_id", content_hash(corpus).alias("content_hash"))
+
+
+def changed_documents(corpus: DataFrame, path: str, version: int | None = None) -> DataFrame:
+    """(doc_id, change) of the documents inserted, edited or deleted since a version; one join of hashes."""
+    spark = corpus.sparkSession
+    base = f"{path}/v={_published(spark, path, version)['version']}"
+    old = spark.read.parquet(f"{base}/documents").withColumnRenamed("content_hash", "_old")
+    both = fingerprints(corpus).join(old, "doc_id", "full")
+    change = (
+        F.when(F.col("_old").isNull(), "insert")
+        .when(F.col("content_hash").isNull(), "delete")
+        .when(F.col("content_hash") != F.col("_old"), "edit")
     )
+    return both.select("doc_id", change.alias("change")).filter("change IS NOT NULL")
 
 
 def rebuild_index(
-    corpus: DataFrame, path: str, as_of: int, changed_col: str = "publish_time", min_doc_changes: int = 10
+    corpus: DataFrame,
+    path: str,
+    as_of: int,
+    changed_col: str | None = "publish_time",
+    min_doc_changes: int = 10,
+    vectors: DataFrame | None = None,
+    dim: int | None = None,
 ) -> int | None:
-    """Full rebuild into a new version when enough documents changed since the last one."""
+    """Full rebuild into a new version when enough documents changed since the last one.
+
+    A document counts as changed if it was inserted, edited or deleted, or if ``changed_col`` is later than the last
+    build. Vectors, where given, are published with the same manifest row.
+    """
     spark = corpus.sparkSession
-    table = _manifest(spark, path)
-    if table is not None:
-        since = table.agg(F.max_by("built_at", "version")).first()[0]
-        changed = corpus.filter(F.col(changed_col) > since).limit(min_doc_changes).count()
-        if changed < min_doc_changes:
+    if _manifest(spark, path) is not None:
+        changed = changed_documents(corpus, path).select("doc_id")
+        if changed_col is not None:
+            since = _published(spark, path, None)["built_at"]
+            changed = changed.unionByName(corpus.filter(F.col(changed_col) > since).select("doc_id"))
+        if changed.distinct().limit(min_doc_changes).count() < min_doc_changes:
             return None
-    return write_index(build_index(corpus), path, as_of)
+    return write_index(build_index(corpus), path, as_of, corpus, vectors, dim)
+
 
+# ---------------------------------------------------------------- vectors
 
-def write_vectors(vectors: DataFrame, path: str, dim: int) -> None:
-    checked_vectors(vectors, dim).write.mode("overwrite").parquet(path)
+
+def write_vectors(vectors: DataFrame, path: str, dim: int, built_at: int = 0) -> int:
+    """Write a new version of a vector table of its own and publish it."""
+    spark = vectors.sparkSession
+    version = (current_version(spark, path) or 0) + 1
+    base = f"{path}/v={version}/vectors"
+    checked_vectors(vectors, dim).write.mode("overwrite").parquet(base)
+    _publish(spark, path, version, built_at, spark.read.parquet(base).count(), None)
+    return version
 
 
-def read_vectors(spark: SparkSession, path: str, dim: int) -> DataFrame:
-    return checked_vectors(spark.read.parquet(path), dim)
+def read_vectors(spark: SparkSession, path: str, dim: int, version: int | None = None) -> DataFrame:
+    """The vectors of a version, of an index snapshot or of a table of their own."""
+    row = _published(spark, path, version)
+    return checked_vectors(spark.read.parquet(f"{path}/v={row['version']}/vectors"), dim)
 
 
 def checked_vectors(vectors: DataFrame, dim: int) -> DataFrame:

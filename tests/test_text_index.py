@@ -164,7 +164,8 @@ def test_snapshot_versions(spark, docs):
     assert snapshots.rebuild_index(corpus, path, as_of=200, min_doc_changes=3) == 3
     assert snapshots.rebuild_index(corpus, path, as_of=300, min_doc_changes=1) is None
     back = snapshots.read_index(spark, path)
-    assert sorted(back.postings.collect()) == sorted(index.build_postings(corpus).select(back.postings.columns).collect())
+    flat = back.postings.drop("bucket")
+    assert sorted(flat.collect()) == sorted(index.build_postings(corpus).select(flat.columns).collect())
 
 
 def test_vector_snapshot_checks_size(spark):

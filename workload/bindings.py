@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.functions.text import words_prefix
+from lodestone.functions.text import snippet, words_prefix
 from lodestone.operators import experiments, profiles, textprep
 from lodestone.operators.index import TextIndex, build_index
 from lodestone.session import checkpoint_dir
@@ -17,6 +17,7 @@ from lodestone.sources.snapshots import current_version, read_index, write_index
 AS_OF = 1706745600
 ANCHOR = 1704067200
 DAY = 86400
+ROW_GROUP = 4 << 20
 
 EVENT_MAP = {"click": "click", "purchase": "like", "view": "view", "signup": "share", "error": "dismiss"}
 
@@ -36,7 +37,8 @@ def stored(spark: SparkSession, d: str, name: str, build: Callable[[], DataFrame
     done = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
     fs = done.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     if not fs.exists(done):
-        build().write.mode("overwrite").parquet(path)
+        # Small row groups: a reader can split a file among as many tasks as it has groups.
+        build().write.option("parquet.block.size", ROW_GROUP).mode("overwrite").parquet(path)
     return spark.read.parquet(path)
 
 
@@ -80,6 +82,7 @@ def build_corpus(spark: SparkSession, d: str) -> DataFrame:
             F.coalesce("clicks", zero).alias("click_count"),
             F.coalesce("likes", zero).alias("like_count"),
             F.octet_length("text").alias("content_length"),
+            snippet("text").alias("snippet"),
         )
     )
 

@@ -125,6 +125,22 @@ def a6(spark, d):
     )
 
 
+@query(
+    "a6_vector_versions",
+    "SELECT v.version, label, COUNT(*) AS n FROM embeddings, (SELECT unnest([1, 2])::BIGINT AS version) v WHERE version = 1 OR label % 2 = 0 GROUP BY 1, 2",
+)
+def a6_versions(spark, d):
+    """A second version is published while the first stays readable."""
+    path = scratch(spark, "vector-versions")
+    table = b.vectors(spark, d)
+    snapshots.write_vectors(table, path, 64)
+    old = snapshots.read_vectors(spark, path, 64)
+    snapshots.write_vectors(table.filter(F.col("label") % 2 == 0), path, 64)
+    new = snapshots.read_vectors(spark, path, 64)
+    both = old.withColumn("version", F.lit(1)).unionByName(new.withColumn("version", F.lit(2)))
+    return both.groupBy(F.col("version").cast("bigint").alias("version"), "label").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query(
     "a7_event_log",
     sql(
@@ -417,4 +433,63 @@ def c8(spark, d):
     corpus = b.corpus(spark, d)
     snapshots.rebuild_index(corpus, path, b.ANCHOR - 400 * b.DAY)
     snapshots.rebuild_index(corpus, path, b.AS_OF)
-    return snapshots.read_index(spark, path).terms.withColumn("idf", F.round("idf", 6))
+    return snapshots.read_index(spark, path).terms.select("term", "df", F.round("idf", 6).alias("idf"))
+
+
+def changed_corpus(spark, d) -> DataFrame:
+    """The corpus after toxic documents were deleted and the other labelled ones of low quality edited."""
+    labels = b.table(spark, d, "labels")
+    kept = b.corpus(spark, d).join(labels.filter("toxic = 1").select("doc_id"), "doc_id", "left_anti")
+    poor = labels.filter("quality = 0").groupBy("doc_id").agg(F.lit(True).alias("_poor"))
+    edited = F.concat(F.lit("revised "), "content")
+    return kept.join(poor, "doc_id", "left").withColumn("content", F.when(F.col("_poor"), edited).otherwise(F.col("content"))).drop("_poor")
+
+
+@query(
+    "c8_changed_documents",
+    """SELECT doc_id, CASE WHEN MAX(toxic) = 1 THEN 'delete' ELSE 'edit' END AS change FROM labels
+       WHERE doc_id IN (SELECT doc_id FROM documents) GROUP BY doc_id HAVING MAX(toxic) = 1 OR MIN(quality) = 0""",
+)
+def c8_changes(spark, d):
+    path = scratch(spark, "changes")
+    corpus = b.corpus(spark, d)
+    snapshots.write_index(index.build_index(corpus), path, b.AS_OF, corpus)
+    return snapshots.changed_documents(changed_corpus(spark, d), path)
+
+
+@query(
+    "c8_rebuild_versions",
+    sql(
+        """WITH gone AS (SELECT doc_id FROM labels WHERE toxic = 1)
+           SELECT 1::BIGINT AS version, 'documents' AS kind, (SELECT n_docs FROM stats)::BIGINT AS n
+           UNION ALL SELECT 1, 'vectors', COUNT(*) FROM documents
+           UNION ALL SELECT 1, 'revised', (SELECT COALESCE(MAX(df), 0) FROM tstats WHERE term = 'revised')
+           UNION ALL SELECT 2, 'documents', COUNT(*) FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM gone)
+           UNION ALL SELECT 2, 'vectors', COUNT(*) FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM gone)
+           UNION ALL SELECT 2, 'revised', COUNT(DISTINCT p.doc_id) FROM (
+             SELECT doc_id FROM postings WHERE term = 'revised' UNION ALL SELECT doc_id FROM labels WHERE quality = 0 AND doc_id IN (SELECT doc_id FROM documents)) p
+             WHERE p.doc_id NOT IN (SELECT doc_id FROM gone)""",
+        "tstats",
+    ),
+)
+def c8_versions(spark, d):
+    """Edits and deletes alone set off a rebuild, vectors included; a third call finds nothing to do; version 1 can still be read."""
+    path = scratch(spark, "versions")
+    before, after = b.corpus(spark, d), changed_corpus(spark, d)
+
+    def rebuild(corpus):
+        encoded = vectors.encode_corpus(corpus, "title", 16)
+        return snapshots.rebuild_index(corpus, path, b.AS_OF, None, 1, encoded, 16)
+
+    made = [rebuild(before), rebuild(after), rebuild(after)]
+    out = None
+    for version in filter(None, made):
+        ix = snapshots.read_index(spark, path, version)
+        rows = ix.stats.select(F.lit("documents").alias("kind"), F.col("n_docs").alias("n"))
+        count = snapshots.read_vectors(spark, path, 16, version).agg(F.count(F.lit(1)).alias("n"))
+        rows = rows.unionByName(count.select(F.lit("vectors").alias("kind"), "n"))
+        df = ix.terms.filter("term = 'revised'").agg(F.coalesce(F.max("df"), F.lit(0).cast("bigint")).alias("n"))
+        rows = rows.unionByName(df.select(F.lit("revised").alias("kind"), "n"))
+        rows = rows.withColumn("version", F.lit(version).cast("bigint"))
+        out = rows if out is None else out.unionByName(rows)
+    return out.select("version", "kind", "n")

@@ -224,13 +224,13 @@ def d8(spark, d):
 
 def scored(spark, d) -> DataFrame:
     q, index = b.queries(spark, d), b.snapshot(spark, d)
-    cands = recall.recall_text(q, index, b.corpus(spark, d))
-    out = ranking.score_bm25(cands, q, index)
-    return ranking.score_freshness(ranking.score_quality(out), AS_OF)
+    cands = recall.enrich(recall.recall_text(q, index, bm25=(1.5, 0.75)), b.corpus(spark, d), recall.NUMBERS)
+    return ranking.score_freshness(ranking.score_quality(cands), AS_OF)
 
 
 def features(spark, d) -> DataFrame:
-    return ranking.ltr_features(ranking.coarse_rank(scored(spark, d)), b.queries(spark, d), b.user_profiles(spark, d))
+    ranked = recall.enrich(ranking.coarse_rank(scored(spark, d)), b.corpus(spark, d), ("title", "author", "category", "snippet"))
+    return ranking.ltr_features(ranked, b.queries(spark, d), b.user_profiles(spark, d))
 
 
 def fine(spark, d) -> DataFrame:
@@ -239,9 +239,22 @@ def fine(spark, d) -> DataFrame:
 
 @query("e1_bm25", sql("SELECT query_id, doc_id, round(bm25, 6) AS bm25 FROM scored", "scored"))
 def e1(spark, d):
-    q, index = b.queries(spark, d), b.snapshot(spark, d)
-    cands = recall.recall_text(q, index)
-    return ranking.score_bm25(cands, q, index).select("query_id", "doc_id", F.round("bm25", 6).alias("bm25"))
+    cands = recall.recall_text(b.queries(spark, d), b.snapshot(spark, d), bm25=(1.5, 0.75))
+    return cands.select("query_id", "doc_id", F.round("bm25", 6).alias("bm25"))
+
+
+@query(
+    "e1_bm25_offered",
+    sql(
+        """SELECT h.query_id, h.doc_id, round(COALESCE(m.bm25, 0), 6) AS bm25 FROM hot_recall h
+           LEFT JOIN bm25 m ON m.query_id = h.query_id AND m.doc_id = h.doc_id""",
+        "hot_recall", "bm25",
+    ),
+)
+def e1_offered(spark, d):
+    """BM25 of candidates that another channel offered, matching or not."""
+    out = ranking.score_bm25(hot_channel(spark, d), b.queries(spark, d), b.snapshot(spark, d))
+    return out.select("query_id", "doc_id", F.round("bm25", 6).alias("bm25"))
 
 
 @query(
