@@ -115,8 +115,8 @@ def _score_block(k: int, threshold: float):
                 docs = v[dims == dim].sort_values("doc_id")
                 if docs.empty or dim == 0:
                     continue
-                left = _unit(np.stack(some["embedding"].to_numpy()))
-                right = _unit(np.stack(docs["embedding"].to_numpy()))
+                left = unit_rows(np.stack(some["embedding"].to_numpy()))
+                right = unit_rows(np.stack(docs["embedding"].to_numpy()))
                 ids = docs["doc_id"].to_numpy()
                 step = max(1, 20_000_000 // len(ids))
                 for at in range(0, len(left), step):
@@ -132,7 +132,7 @@ def _score_block(k: int, threshold: float):
     return run
 
 
-def _unit(m: np.ndarray) -> np.ndarray:
+def unit_rows(m: np.ndarray) -> np.ndarray:
     m = m.astype(np.float64)
     norms = np.sqrt((m * m).sum(axis=1, keepdims=True))
     return np.divide(m, norms, out=np.zeros_like(m), where=norms > 0)
@@ -196,14 +196,14 @@ def fit_cells(vectors: DataFrame, n_cells: int, seed: int = 7, max_iter: int = 1
 
 
 def _nearest_cells(df: DataFrame, key: str, centres: np.ndarray, n: int) -> DataFrame:
-    unit = _unit(centres)
+    unit = unit_rows(centres)
     key_type = df.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             if batch.empty:
                 continue
-            scores = _unit(np.stack(batch["embedding"].to_numpy())) @ unit.T
+            scores = unit_rows(np.stack(batch["embedding"].to_numpy())) @ unit.T
             best = np.argsort(-scores, axis=1, kind="stable")[:, :n]
             yield batch.assign(_cells=[b.tolist() for b in best])
 

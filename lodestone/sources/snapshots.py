@@ -7,9 +7,11 @@ executor leaves nothing half-written.
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestone.operators import vector_index
 from lodestone.operators.index import TextIndex, build_index, term_bucket, term_stats
 
 MANIFEST = "version long, built_at long, docs long, buckets int"
@@ -177,6 +179,42 @@ def read_vectors(spark: SparkSession, path: str, dim: int, version: int | None =
     return checked_vectors(spark.read.parquet(f"{path}/v={row['version']}/vectors"), dim)
 
 
+def write_vector_index(
+    vectors: DataFrame, path: str, dim: int, n_cells: int | None = None, subspaces: int = 8, built_at: int = 0
+) -> int:
+    """Fit cells and codebooks, write all vectors by cell, and publish them as a new version."""
+    spark = vectors.sparkSession
+    version = (current_version(spark, path) or 0) + 1
+    base = f"{path}/v={version}"
+    centres, codebooks, n_probe = vector_index.fit(vectors, n_cells, subspaces)
+    rows = vector_index.encode(checked_vectors(vectors, dim), centres, codebooks)
+    # A cell's rows are dealt out by id among four files.
+    (
+        rows.repartition("cell", F.pmod(F.xxhash64("doc_id"), F.lit(4)))
+        .sortWithinPartitions("cell", "doc_id")
+        .write.mode("overwrite")
+        .partitionBy("cell")
+        .parquet(f"{base}/cells")
+    )
+    parts = [("centre", 0, i, c.tolist()) for i, c in enumerate(centres)]
+    parts += [("code", m, i, c.tolist()) for m, book in enumerate(codebooks) for i, c in enumerate(book)]
+    parts += [("probes", 0, n_probe, [])]
+    model = spark.createDataFrame(parts, "kind string, part int, pos int, vector array<double>")
+    model.coalesce(1).write.mode("overwrite").parquet(f"{base}/codebook")
+    _publish(spark, path, version, built_at, spark.read.parquet(f"{base}/cells").count(), None)
+    return version
+
+
+def read_vector_index(spark: SparkSession, path: str, version: int | None = None) -> vector_index.VectorCells:
+    base = f"{path}/v={_published(spark, path, version)['version']}"
+    parts: dict[tuple, list] = {}
+    for r in spark.read.parquet(f"{base}/codebook").orderBy("kind", "part", "pos").collect():  # bounded by the codes
+        parts.setdefault((r["kind"], r["part"]), []).append(r["pos"] if r["kind"] == "probes" else r["vector"])
+    books = [np.array(parts[key]) for key in sorted(parts) if key[0] == "code"]
+    (n_probe,) = parts["probes", 0]
+    return vector_index.VectorCells(np.array(parts["centre", 0]), np.stack(books), n_probe, spark.read.parquet(f"{base}/cells"))
+
+
 def checked_vectors(vectors: DataFrame, dim: int) -> DataFrame:
     """Fail the job on a row whose vector does not have ``dim`` components."""
     bad = F.size("embedding") != dim

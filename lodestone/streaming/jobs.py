@@ -6,10 +6,11 @@ are dropped. Sinks are idempotent per batch id.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
@@ -220,6 +221,66 @@ def stream_profiles(
 # ---------------------------------------------------------------- hot list
 
 
+def seconds(span: str) -> int:
+    """Length of an interval such as ``24 hours``."""
+    return int(pd.Timedelta(span).total_seconds())
+
+
+def _counts(events: DataFrame, span: Column, watermark: str) -> DataFrame:
+    timed = events.withColumn("event_time", event_time())
+    if events.isStreaming:
+        timed = timed.withWatermark("event_time", watermark)
+    return timed.groupBy(span.alias("w"), "doc_id").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.sum((F.col("event_type") == "click").cast("long")).alias("clicks"),
+        F.sum((F.col("event_type") == "like").cast("long")).alias("likes"),
+    )
+
+
+def hot_panes(events: DataFrame, window: str, slide: str, watermark: str = "1 hour") -> DataFrame:
+    """(pane, doc_id, n, clicks, likes) per tumbling pane, whose length divides window and slide; one row per
+    document and pane however many windows overlap."""
+    size = math.gcd(seconds(window), seconds(slide))
+    counted = _counts(events, F.window("event_time", f"{size} seconds"), watermark)
+    return counted.select(F.unix_timestamp("w.start").alias("pane"), "doc_id", "n", "clicks", "likes")
+
+
+def slide_panes(panes: DataFrame, window: str, slide: str) -> DataFrame:
+    """(start, end, doc_id, clicks, likes) of every sliding window that has an event of the document.
+
+    A pane enters at the first window start that covers it and leaves after the last; the running sum of these
+    changes, two a pane, is the count of every window up to the next change.
+    """
+    size, step = seconds(window), seconds(slide)
+    pane = math.gcd(size, step)
+    first = F.ceil((F.col("pane") + pane - size) / step) * step
+    after = (F.floor(F.col("pane") / step) + 1) * step
+
+    def change(at: Column, sign: int) -> Column:
+        return F.struct(at.cast("long").alias("start"), *[(F.col(c) * sign).alias(c) for c in ("n", "clicks", "likes")])
+
+    changes = (
+        panes.select("doc_id", F.explode(F.array(change(first, 1), change(after, -1))).alias("c"))
+        .groupBy("doc_id", "c.start")
+        .agg(*[F.sum(f"c.{c}").alias(c) for c in ("n", "clicks", "likes")])
+    )
+    order = Window.partitionBy("doc_id").orderBy("start")
+    running = changes.select(
+        "doc_id",
+        "start",
+        (F.lead("start").over(order) - step).alias("last"),
+        *[F.sum(c).over(order.rowsBetween(Window.unboundedPreceding, 0)).alias(c) for c in ("n", "clicks", "likes")],
+    )
+    starts = F.explode(F.sequence("start", "last", F.lit(step).cast("long")))
+    return running.filter("n > 0").select(starts.alias("start"), "doc_id", "clicks", "likes").select(
+        "start", (F.col("start") + size).alias("end"), "doc_id", "clicks", "likes"
+    )
+
+
+def _scored(windows: DataFrame) -> DataFrame:
+    return windows.withColumn("hot_score", F.round(hot_score("clicks", "likes"), 6))
+
+
 def hot_windows(
     events: DataFrame,
     window: str = "24 hours",
@@ -227,41 +288,92 @@ def hot_windows(
     watermark: str = "1 hour",
     kind: str = "sliding",
 ) -> DataFrame:
-    """(start, end, doc_id, clicks, likes, hot_score) per event-time window; works on streams and tables.
+    """(start, end, doc_id, clicks, likes, hot_score) per event-time window.
 
-    ``kind`` is sliding, tumbling or session (a session ends after ``window`` without an event of
-    the document). Counts are combined before the shuffle.
+    ``kind`` is sliding, tumbling or session (a session ends after ``window`` without an event of the document).
+    Counts are combined before the shuffle. Sliding windows are running sums over panes, for tables only; their
+    stream is :func:`stream_hot`.
     """
-    timed = events.withColumn("event_time", event_time())
-    if events.isStreaming:
-        timed = timed.withWatermark("event_time", watermark)
-    span = {
-        "sliding": lambda: F.window("event_time", window, slide),
-        "tumbling": lambda: F.window("event_time", window),
-        "session": lambda: F.session_window("event_time", window),
-    }[kind]()
-    counted = timed.groupBy(span.alias("w"), "doc_id").agg(
-        F.sum((F.col("event_type") == "click").cast("long")).alias("clicks"),
-        F.sum((F.col("event_type") == "like").cast("long")).alias("likes"),
-    )
-    return counted.select(
-        F.unix_timestamp("w.start").alias("start"),
-        F.unix_timestamp("w.end").alias("end"),
-        "doc_id",
-        "clicks",
-        "likes",
-        F.round(hot_score("clicks", "likes"), 6).alias("hot_score"),
+    if kind == "sliding":
+        return _scored(slide_panes(hot_panes(events, window, slide, watermark), window, slide))
+    span = F.window("event_time", window) if kind == "tumbling" else F.session_window("event_time", window)
+    counted = _counts(events, span, watermark)
+    return _scored(
+        counted.select(
+            F.unix_timestamp("w.start").alias("start"), F.unix_timestamp("w.end").alias("end"), "doc_id", "clicks", "likes"
+        )
     )
 
 
+class SlidingHot:
+    """Sliding windows of a stream of closed panes.
+
+    Every batch stores its panes and the end of the newest one, and emits the windows that end after the newest
+    pane known before and not after the newest one now: all their panes have been closed. A batch that is run again
+    overwrites its own folders.
+    """
+
+    def __init__(self, spark, path: str, window: str, slide: str) -> None:
+        self.spark, self.path, self.window, self.slide = spark, path, window, slide
+        self.pane = math.gcd(seconds(window), seconds(slide))
+
+    def _read(self, name: str, schema: str, before: int) -> DataFrame:
+        folder = f"{self.path}/{name}"
+        hadoop = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        exists = hadoop.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop)
+        rows = self.spark.read.schema(schema).parquet(folder) if exists else self.spark.createDataFrame([], schema)
+        return rows.filter(F.col("batch") < before)
+
+    def _windows(self, panes: DataFrame, done: int | None) -> DataFrame:
+        """Windows ending after ``done``; only panes that such windows can cover are read."""
+        if done is not None:
+            panes = panes.filter(F.col("pane") >= done - seconds(self.window))
+        windows = slide_panes(panes, self.window, self.slide)
+        return _scored(windows if done is None else windows.filter(F.col("end") > done))
+
+    def apply(self, df: DataFrame, batch_id: int) -> None:
+        df.write.mode("overwrite").parquet(f"{self.path}/panes/batch={batch_id}")
+        schema = f"{', '.join(f'{f.name} {f.dataType.simpleString()}' for f in df.schema)}, batch int"
+        newest = self.spark.read.parquet(f"{self.path}/panes/batch={batch_id}").agg(F.max("pane").cast("long").alias("pane"))
+        top = newest.first()["pane"]
+        if top is None:
+            return
+        done = self._done(batch_id)
+        closed = max(top + self.pane, done or 0)
+        windows = self._windows(self._read("panes", schema, batch_id + 1), done).filter(F.col("end") <= closed)
+        windows.write.mode("overwrite").parquet(f"{self.path}/windows/batch={batch_id}")
+        self.spark.range(1).select(F.lit(closed).cast("long").alias("closed")).write.mode("overwrite").parquet(
+            f"{self.path}/closed/batch={batch_id}"
+        )
+
+    def _done(self, before: int) -> int | None:
+        return self._read("closed", "closed long, batch int", before).agg(F.max("closed")).first()[0]
+
+    def open_windows(self) -> DataFrame:
+        """Windows that end after the newest closed pane, with what they have so far."""
+        panes = self.spark.read.parquet(f"{self.path}/panes")
+        return self._windows(panes, self._done((1 << 31) - 1))
+
+
 def stream_hot(
-    events: DataFrame, path: str, checkpoint: str, trigger: dict | None = None, **options
+    events: DataFrame,
+    path: str,
+    checkpoint: str,
+    trigger: dict | None = None,
+    window: str = "24 hours",
+    slide: str | None = "5 minutes",
+    watermark: str = "1 hour",
+    kind: str = "sliding",
 ) -> StreamingQuery:
-    """Append each window's counts once the watermark has passed it."""
-    counted = hot_windows(events, **options)
-
-    def run(df: DataFrame, batch_id: int) -> None:
-        df.write.mode("overwrite").parquet(f"{path}/windows/batch={batch_id}")
+    """Append each window's counts to ``path``/windows once the watermark has passed it."""
+    if kind == "sliding":
+        counted = hot_panes(events, window, slide, watermark)
+        run = SlidingHot(events.sparkSession, path, window, slide).apply
+    else:
+        counted = hot_windows(events, window, slide, watermark, kind)
+
+        def run(df: DataFrame, batch_id: int) -> None:
+            df.write.mode("overwrite").parquet(f"{path}/windows/batch={batch_id}")
 
     writer = counted.writeStream.outputMode("append").foreachBatch(run)
     return writer.option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()

@@ -11,8 +11,15 @@ from pyspark.sql import functions as F
 from lodestone.functions.text import snippet, words_prefix
 from lodestone.operators import experiments, profiles, textprep
 from lodestone.operators.index import TextIndex, build_index
+from lodestone.operators.vector_index import VectorCells
 from lodestone.session import checkpoint_dir
-from lodestone.sources.snapshots import current_version, read_index, write_index
+from lodestone.sources.snapshots import (
+    current_version,
+    read_index,
+    read_vector_index,
+    write_index,
+    write_vector_index,
+)
 
 AS_OF = 1706745600
 ANCHOR = 1704067200
@@ -158,6 +165,14 @@ def vectors(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def vector_cells(spark: SparkSession, d: str) -> VectorCells:
+    """The stored cells of the embeddings, fitted and written once per application."""
+    path = app_folder(spark, d, "cells")
+    if current_version(spark, path) is None:
+        write_vector_index(vectors(spark, d), path, 64)
+    return read_vector_index(spark, path)
+
+
 def vector_queries(spark: SparkSession, d: str) -> DataFrame:
     """Every vector asks for its neighbours."""
     return vectors(spark, d).select(F.col("doc_id").alias("query_id"), "embedding")

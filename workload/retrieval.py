@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.operators import behaviour, filters, ranking, recall, vectors
+from lodestone.operators import behaviour, filters, ranking, recall, vector_index, vectors
 from workload import bindings as b
 from workload.ctes import AS_OF, VIEWS, hot, sql
 from workload.prep import scratch
@@ -154,10 +154,39 @@ def recall_vectors(spark, d):
     return vectors.recall_vector(b.vector_queries(spark, d), b.vectors(spark, d), 20, 0.3)
 
 
+def recall_cells(spark, d, **options):
+    return vector_index.search(b.vector_queries(spark, d), b.vector_cells(spark, d), 20, 0.3, **options)
+
+
 @query("d3_vector_cells")
 def d3(spark, d):
-    out = vectors.recall_vector_ann(b.vector_queries(spark, d), b.vectors(spark, d), 20, n_cells=16, n_probe=6)
-    return out.select("query_id", "doc_id", "score")
+    return recall_cells(spark, d).select("query_id", "doc_id", "score")
+
+
+@query("d3_cells_all_probed", sql("SELECT query_id, doc_id, score FROM vtop", "vtop"))
+def d3_all(spark, d):
+    """With every cell probed and every row checked, the stored index gives the exact neighbours."""
+    return recall_cells(spark, d, n_probe=1 << 12, checked=1 << 20).select("query_id", "doc_id", "score")
+
+
+@query(
+    "d3_recall_at_10",
+    sql(
+        """WITH t AS (SELECT query_id, least(10, COUNT(*)) AS n FROM vtop GROUP BY 1)
+           SELECT COUNT(*) AS n_queries, SUM(n)::BIGINT AS n_exact, TRUE AS recall_reached FROM t""",
+        "vtop",
+    ),
+)
+def d3_recall(spark, d):
+    """Share of the ten exact neighbours of every vector that the probed cells give: 0.9 or more."""
+    ten = lambda df: df.filter("rank <= 10").select("query_id", "doc_id")
+    exact, near = ten(recall_vectors(spark, d)), ten(recall_cells(spark, d))
+    hits = exact.join(near.withColumn("hit", F.lit(1)), ["query_id", "doc_id"], "left")
+    return hits.agg(
+        F.count_distinct("query_id").alias("n_queries"),
+        F.count(F.lit(1)).alias("n_exact"),
+        (F.sum(F.coalesce("hit", F.lit(0))) >= 0.9 * F.count(F.lit(1))).alias("recall_reached"),
+    )
 
 
 @query("d4_hot_list", sql(f"SELECT doc_id, round({hot('click_count', 'like_count')}, 6) AS hot_score FROM corpus WHERE publish_time BETWEEN {AS_OF - HOT_HOURS * 3600} AND {AS_OF} ORDER BY 2 DESC, 1 LIMIT 200", "corpus"))

@@ -27,11 +27,11 @@ def query(name: str, oracle: str | None = None):
     return add
 
 
-SLICES = 3
+SLICES, FILES = 3, 8
 
 
 def replay(spark, d, name: str, at: str, closing: bool = False) -> DataFrame:
-    """A driver table as a stream of files in the order of ``at``, one micro-batch each.
+    """A driver table as a stream in the order of ``at``: slices of ``FILES`` files each, a slice to a micro-batch.
 
     ``closing`` adds a last file with one empty row ten days later, which lets event time pass everything else.
     """
@@ -44,8 +44,8 @@ def replay(spark, d, name: str, at: str, closing: bool = False) -> DataFrame:
         last = rows.agg((F.max(at) + F.expr("INTERVAL 10 DAYS")).cast(rows.schema[at].dataType).alias(at))
         files.append(last.select(*[F.col(c.name) if c.name == at else F.lit(None).cast(c.dataType).alias(c.name) for c in rows.schema]))
     for part in files:
-        part.coalesce(1).write.mode("append").parquet(path)
-    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
+        part.repartition(FILES).write.mode("append").parquet(path)
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", FILES).parquet(path)
 
 
 def event_stream(spark, d, closing: bool = False) -> DataFrame:
@@ -155,9 +155,18 @@ def _hot_stream(spark, d, **options):
     return spark.read.parquet(f"{path}/windows").drop("batch")
 
 
-@query("n5_stream_hot_sliding", sql(_windowed("sliding", 24 * HOUR, 6 * HOUR), "ev"))
+@query("n5_stream_hot_sliding", sql(_windowed("sliding", 24 * HOUR, 300), "ev"))
 def n5(spark, d):
-    return _hot_stream(spark, d, window="24 hours", slide="6 hours", watermark="1 hour", kind="sliding")
+    """24 hours every 5 minutes: windows the stream emitted, and those still open at its end."""
+    path, size, slide = scratch(spark, "hot"), "24 hours", "5 minutes"
+    finish(jobs.stream_hot(event_stream(spark, d, closing=True), path, f"{path}/checkpoint", window=size, slide=slide))
+    emitted = spark.read.parquet(f"{path}/windows").drop("batch")
+    return emitted.unionByName(jobs.SlidingHot(spark, path, size, slide).open_windows())
+
+
+@query("n5_hot_sliding_batch", sql(_windowed("sliding", 24 * HOUR, 6 * HOUR), "ev"))
+def n5_batch(spark, d):
+    return jobs.hot_windows(b.events(spark, d), "24 hours", "6 hours")
 
 
 @query("n5_stream_hot_tumbling", sql(_windowed("tumbling", 24 * HOUR, 24 * HOUR), "ev"))
@@ -200,7 +209,7 @@ def n6(spark, d):
     older = right.withColumns({"op": F.lit("upsert"), "version": F.lit(1), "content": F.lit("an older version")})
     half = F.pmod(F.xxhash64("doc_id"), F.lit(2))
     for part in (right.filter(half == 0), older.filter(half == 0), older.filter(half == 1), right.filter(half == 1)):
-        part.coalesce(1).write.mode("append").parquet(f"{path}/changes")
-    changes = spark.readStream.schema(right.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/changes")
+        part.repartition(FILES).write.mode("append").parquet(f"{path}/changes")
+    changes = spark.readStream.schema(right.schema).option("maxFilesPerTrigger", FILES).parquet(f"{path}/changes")
     finish(jobs.stream_corpus(changes, feed, f"{path}/checkpoint"))
     return feed.postings()
