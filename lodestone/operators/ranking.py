@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.functions.text import title_words
+from lodestone.functions.text import jaccard, title_words
 from lodestone.operators.index import TextIndex, fits, match_postings
 from lodestone.operators.recall import DAY, HISTORY, HOT, VECTOR, bm25_sum
 from lodestone.skew import top_k
@@ -88,11 +86,15 @@ def rounded(c: Column | str) -> Column:
 def coarse_rank(
     cands: DataFrame, weights: tuple[float, float, float] = COARSE_WEIGHTS, top_k_: int = 500
 ) -> DataFrame:
-    """Weighted sum of the three scores, best ``top_k_`` per query, with a debug map."""
+    """Weighted sum of the three scores, best ``top_k_`` per query, with a debug map.
+
+    A column ``coarse_top_k`` of the candidates lowers the limit for its query.
+    """
     wb, wq, wf = weights
+    own = "coarse_top_k" if "coarse_top_k" in cands.columns else None
     score = rounded(wb * F.col("bm25") + wq * F.col("quality") + wf * F.col("freshness"))
     scored = cands.withColumn("coarse_score", score)
-    ranked = top_k(scored, ["query_id"], [F.desc("coarse_score"), F.asc("doc_id")], top_k_, "doc_id", "coarse_rank")
+    ranked = top_k(scored, ["query_id"], [F.desc("coarse_score"), F.asc("doc_id")], top_k_, "doc_id", "coarse_rank", own)
     names = ("bm25", "quality", "freshness")
     debug = F.create_map(*[x for n in names for x in (F.lit(n), F.col(n))])
     return ranked.withColumn("debug_scores", debug)
@@ -180,12 +182,15 @@ def score_model(features: DataFrame, model: PipelineModel | None = None) -> Data
 
 
 def fine_rank(cands: DataFrame, weight: float = FINE_WEIGHT, top_k_: int = 100) -> DataFrame:
-    """fine = model score × weight; final = fine, or coarse where fine is 0. Best ``top_k_`` per query."""
+    """fine = model score × weight; final = fine, or coarse where fine is 0. Best ``top_k_`` per query.
+
+    A column ``fine_top_k`` of the candidates lowers the limit for its query.
+    """
     fine = rounded(F.col("model_score") * weight)
     scored = cands.withColumn("fine_score", fine).withColumn(
         "final_score", F.when(F.col("fine_score") > 0, F.col("fine_score")).otherwise(F.col("coarse_score"))
     )
-    return top_k(scored, ["query_id"], [F.desc("final_score"), F.asc("doc_id")], top_k_, "doc_id", "fine_rank")
+    return top_k(scored, ["query_id"], [F.desc("final_score"), F.asc("doc_id")], top_k_, "doc_id", "fine_rank", "fine_top_k" if "fine_top_k" in cands.columns else None)
 
 
 # ---------------------------------------------------------------- training
@@ -250,21 +255,32 @@ def should_train(
 # ---------------------------------------------------------------- diversity
 
 
-def _mmr_order(words: list[set], relevance: np.ndarray, lam: float, k: int) -> list[int]:
-    """Greedy picks: relevance first, then the best trade-off against the most similar pick so far."""
-    picked = [int(np.argmax(relevance))]
-    closest = np.zeros(len(words))
-    open_ = np.ones(len(words), dtype=bool)
-    while len(picked) < min(k, len(words)):
-        last = picked[-1]
-        open_[last] = False
-        for i in np.flatnonzero(open_):
-            both = len(words[i] & words[last])
-            if both:
-                closest[i] = max(closest[i], both / (len(words[i]) + len(words[last]) - both))
-        gain = np.where(open_, lam * relevance - (1 - lam) * closest, -np.inf)
-        picked.append(int(np.argmax(gain)))
-    return picked
+def mmr_order(items: Column, lam: Column, k: Column) -> Column:
+    """Greedy picks as places in ``items``, an array of (rel, words) in falling relevance.
+
+    The first pick is the most relevant one, every other the best trade-off against the most similar pick so far, of
+    equal ones the first. The fold keeps the order so far and every item's closest similarity to a pick, which only the
+    last pick can raise.
+    """
+    none = F.array_repeat(F.lit(0.0), F.size(items))
+    start = F.struct(F.array(F.lit(0)).alias("order"), none.alias("closest"))
+    steps = F.sequence(F.lit(2), F.greatest(F.lit(2), F.least(k, F.size(items))))
+
+    def step(state: Column, n: Column) -> Column:
+        last = F.get(items, F.element_at(state["order"], -1))
+        closest = F.transform(state["closest"], lambda c, i: F.greatest(c, jaccard(F.get(items, i)["words"], last["words"])))
+        moved = F.struct(state["order"].alias("order"), closest.alias("closest"))
+        return F.when(n > F.least(k, F.size(items)), state).otherwise(_picked(moved))
+
+    def _picked(state: Column) -> Column:
+        def gain(c: Column, i: Column) -> Column:
+            return F.when(~F.array_contains(state["order"], i), lam * F.get(items, i)["rel"] - (1 - lam) * c)
+
+        gains = F.transform(state["closest"], gain)
+        best = (F.array_position(gains, F.array_max(gains)) - 1).cast("int")
+        return F.struct(F.concat(state["order"], F.array(best)).alias("order"), state["closest"].alias("closest"))
+
+    return F.aggregate(steps, start, step)["order"]
 
 
 def rerank_mmr(
@@ -273,33 +289,23 @@ def rerank_mmr(
     """Diversity rerank of each query's best ``max_candidates`` (a stage parameter, not a skew guard).
 
     Columns ``mmr_lambda`` / ``mmr_top_k``, if present, override the defaults per query. Adds
-    ``position`` from 1. Each pick depends on the earlier ones, so a query's short list is one group;
-    only ids, scores and title words go to Python.
+    ``position`` from 1. Each pick depends on the earlier ones, so a query's short list is one array that is
+    folded; only ids, scores and title words are in it.
     """
     relevance = F.when(F.col("fine_score") > 0, F.col("fine_score")).otherwise(F.col("coarse_score"))
     rows = cands.withColumn("_rel", relevance)
     rows = top_k(rows, ["query_id"], [F.desc("_rel"), F.asc("doc_id")], max_candidates, "doc_id", "_in")
     lam_col = F.coalesce(F.col("mmr_lambda"), F.lit(lam)) if "mmr_lambda" in cands.columns else F.lit(lam)
     k_col = F.coalesce(F.col("mmr_top_k"), F.lit(top_k_)) if "mmr_top_k" in cands.columns else F.lit(top_k_)
-    slim = rows.select(
-        "query_id",
-        "doc_id",
-        "_in",
-        "_rel",
-        title_words("title").alias("_words"),
-        lam_col.cast("double").alias("_lam"),
-        k_col.cast("int").alias("_k"),
+    item = F.struct("_in", F.col("_rel").cast("double").alias("rel"), title_words("title").alias("words"), "doc_id")
+    lists = rows.groupBy("query_id").agg(
+        F.array_sort(F.collect_list(item)).alias("_items"),
+        F.any_value(lam_col.cast("double")).alias("_lam"),
+        F.any_value(k_col.cast("int")).alias("_k"),
+    )
+    picks = (
+        lists.withColumn("_order", mmr_order(F.col("_items"), F.col("_lam"), F.col("_k")))
+        .select("query_id", "_items", F.posexplode("_order").alias("_at", "_place"))
+        .select("query_id", F.get("_items", F.col("_place"))["doc_id"].alias("doc_id"), (F.col("_at") + 1).cast("int").alias("position"))
     )
-    types = {c: slim.schema[c].dataType.simpleString() for c in ("query_id", "doc_id")}
-
-    def pick(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("_in").reset_index(drop=True)
-        words = [set(w) for w in group["_words"]]
-        order = _mmr_order(words, group["_rel"].to_numpy(), float(group["_lam"][0]), int(group["_k"][0]))
-        out = group.loc[order, ["query_id", "doc_id"]].copy()
-        out["position"] = np.arange(1, len(out) + 1, dtype=np.int32)
-        return out
-
-    schema = f"query_id {types['query_id']}, doc_id {types['doc_id']}, position int"
-    picks = slim.groupBy("query_id").applyInPandas(pick, schema)
     return rows.drop("_in", "_rel").join(picks, ["query_id", "doc_id"])

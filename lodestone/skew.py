@@ -23,9 +23,13 @@ def top_k(
     k: int,
     tie: str,
     rank_col: str = "rank",
+    own: str | None = None,
 ) -> DataFrame:
     """First ``k`` rows of every group, ranked from 1.
 
+    ``own`` names a column with a smaller limit of the row's group; null means ``k``. The common limit prunes before
+    the shuffle, the group's own at the ranking.
+
     Up to 1000 rows per group the optimizer keeps only k rows per map task before the shuffle. For
     a larger k the same is done explicitly: rank inside 64 hashed parts of each group, then merge.
     """
@@ -39,7 +43,8 @@ def top_k(
             .drop("_part", "_rn")
         )
     rank = F.row_number().over(Window.partitionBy(*by).orderBy(*order))
-    return df.withColumn(rank_col, rank).filter(F.col(rank_col) <= k)
+    ranked = df.withColumn(rank_col, rank).filter(F.col(rank_col) <= k)
+    return ranked if own is None else ranked.filter(F.col(own).isNull() | (F.col(rank_col) <= F.col(own)))
 
 
 def hot_keys(counts: DataFrame, keys: Sequence[str], n: str, min_rows: int = MIN_HOT_ROWS) -> DataFrame:

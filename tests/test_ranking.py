@@ -3,11 +3,10 @@
 from __future__ import annotations
 
 import math
+import random
 
 import numpy as np
 import pytest
-from hypothesis import given, settings
-from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from lodestone import skew
@@ -103,15 +102,18 @@ def brute_mmr(words, rel, lam, k):
     return picked
 
 
-@settings(max_examples=200, deadline=None)
-@given(
-    st.lists(st.tuples(st.sets(st.sampled_from("abcdef"), max_size=4), st.integers(0, 20)), min_size=1, max_size=12),
-    st.sampled_from([0.3, 0.7, 1.0]),
-    st.integers(1, 15),
-)
-def test_mmr_order_equals_brute_force(rows, lam, k):
-    words, rel = [w for w, _ in rows], np.array([r / 20 for _, r in rows])
-    assert ranking._mmr_order(words, rel, lam, k) == brute_mmr(words, rel, lam, k)
+def test_mmr_order_equals_brute_force(spark):
+    r = random.Random(11)
+    cases = []
+    for i in range(300):
+        n = r.randint(1, 12)
+        rel = sorted((r.randint(0, 20) / 20 for _ in range(n)), reverse=True)
+        words = [r.sample("abcdef", r.randint(0, 4)) for _ in range(n)]
+        cases.append((i, list(zip(rel, words)), r.choice([0.3, 0.7, 1.0]), r.randint(1, 15)))
+    df = spark.createDataFrame(cases, "i int, items array<struct<rel:double,words:array<string>>>, lam double, k int")
+    got = df.select("i", ranking.mmr_order(F.col("items"), F.col("lam"), F.col("k")).alias("order")).collect()
+    for (_, items, lam, k), row in zip(cases, sorted(got)):
+        assert row["order"] == brute_mmr([set(w) for _, w in items], [x for x, _ in items], lam, k)
 
 
 def test_mmr_on_tables_with_overrides(spark):

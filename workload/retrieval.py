@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lodestone.operators import behaviour, filters, ranking, recall, vector_index, vectors
 from workload import bindings as b
-from workload.ctes import AS_OF, VIEWS, hot, sql
+from workload.ctes import AS_OF, VIEWS, hot, sql, tok
 from workload.prep import scratch
 
 QUERIES, ORACLES = {}, {}
@@ -395,7 +395,27 @@ def e10(spark, d):
     )
 
 
-@query("e11_rerank_mmr")
+_MMR = """WITH RECURSIVE items AS (
+             SELECT query_id, list({rel: rel, words: words, doc_id: doc_id, fine: fine_score} ORDER BY rel DESC, doc_id) AS xs FROM (
+               SELECT query_id, doc_id, fine_score, final_score AS rel, list_distinct(TOKENS) AS words FROM fine) GROUP BY query_id),
+           picks AS (
+             SELECT query_id, [1]::BIGINT[] AS ord, list_transform(xs, lambda x: 0::DOUBLE) AS closest, 1 AS step FROM items
+             UNION ALL
+             SELECT query_id, list_append(ord, list_position(gains, list_max(gains))::BIGINT), closest, step FROM (
+               SELECT query_id, ord, closest, step,
+                      list_transform(closest, lambda c, i: CASE WHEN list_contains(ord, i) THEN NULL ELSE 0.7::DOUBLE * xs[i].rel - (1 - 0.7::DOUBLE) * c END) AS gains
+               FROM (
+                 SELECT p.query_id, p.ord, i.xs, p.step + 1 AS step,
+                        list_transform(p.closest, lambda c, n: greatest(c, CASE WHEN len(i.xs[n].words) = 0 OR len(i.xs[p.ord[-1]].words) = 0 THEN 0 ELSE
+                          len(list_intersect(i.xs[n].words, i.xs[p.ord[-1]].words)) / (len(i.xs[n].words) + len(i.xs[p.ord[-1]].words)
+                            - len(list_intersect(i.xs[n].words, i.xs[p.ord[-1]].words)))::DOUBLE END)) AS closest
+                 FROM picks p JOIN items i ON i.query_id = p.query_id WHERE p.step < least(20, len(i.xs)))))
+           SELECT query_id, xs[place].doc_id AS doc_id, position::INT AS position, xs[place].fine AS fine_score FROM (
+             SELECT p.query_id, i.xs, unnest(p.ord) AS place, unnest(range(1, len(p.ord) + 1)) AS position
+             FROM picks p JOIN items i ON i.query_id = p.query_id WHERE p.step = least(20, len(i.xs)))""".replace("TOKENS", tok("title"))
+
+
+@query("e11_rerank_mmr", "WITH RECURSIVE " + sql(_MMR.replace("WITH RECURSIVE", "WITH", 1), "fine").removeprefix("WITH "))
 def e11(spark, d):
     return ranking.rerank_mmr(fine(spark, d)).select("query_id", "doc_id", "position", "fine_score")
 

@@ -365,7 +365,7 @@ def l4(spark, d):
 
 # ---------------------------------------------------------------- M
 
-_HASH = "list_reduce(list_transform(string_split(uid, ''), lambda c: ascii(c)::BIGINT), lambda h, x: (h * 33 + x) % 4294967296, 5381::BIGINT) % 100"
+HASH_SQL = "list_reduce(list_transform(string_split(uid, ''), lambda c: ascii(c)::BIGINT), lambda h, x: (h * 33 + x) % 4294967296, 5381::BIGINT) % 100"
 VIEWS.update(
     {
         "exps": (
@@ -373,7 +373,7 @@ VIEWS.update(
             """SELECT *, floor(round(SUM(traffic) OVER (ORDER BY ord) * 100, 6)) AS e_end, floor(round((SUM(traffic) OVER (ORDER BY ord) - traffic) * 100, 6)) AS e_start
                FROM (SELECT r_regionkey AS ord, r_name AS name, 0.10::DOUBLE + r_regionkey * 0.05::DOUBLE AS traffic, '0.' || (r_regionkey + 3) AS lambda_value FROM region)""",
         ),
-        "buckets": ((), f"SELECT uid, CASE WHEN uid <> '' THEN ({_HASH})::INT END AS bucket FROM (SELECT c_name AS uid FROM customer UNION ALL SELECT '')"),
+        "buckets": ((), f"SELECT uid, CASE WHEN uid <> '' THEN ({HASH_SQL})::INT END AS bucket FROM (SELECT c_name AS uid FROM customer UNION ALL SELECT '')"),
         "assigned": (
             ("exps", "buckets"),
             "SELECT b.uid, b.bucket, e.name AS experiment, e.lambda_value FROM buckets b LEFT JOIN exps e ON b.bucket >= e.e_start AND b.bucket < e.e_end",
