@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.operators import behaviour, filters, ranking, recall, vector_index, vectors
+from lodestone.operators import behaviour, duplicates, filters, ranking, recall, vector_index, vectors
 from workload import bindings as b
 from workload.ctes import AS_OF, VIEWS, hot, sql, tok
 from workload.prep import scratch
@@ -443,6 +443,46 @@ def f2(spark, d):
     return filters.dup_title_pairs(fine(spark, d)).withColumn("similarity", F.round("similarity", 6))
 
 
+VIEWS["corpus_sets"] = (
+    ("corpus",),
+    r"""SELECT MIN(doc_id) AS set_id, cs, COUNT(*) AS n_docs FROM (
+          SELECT doc_id, list_sort(list_distinct(regexp_extract_all(translate(title, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x7F]|[A-Za-z0-9]'))) AS cs
+          FROM corpus) WHERE len(cs) > 0 GROUP BY cs""",
+)
+VIEWS["set_pairs"] = (
+    ("corpus_sets",),
+    """SELECT first_id, second_id, similarity FROM (
+         SELECT x.set_id AS first_id, y.set_id AS second_id,
+                len(list_intersect(x.cs, y.cs)) / (len(x.cs) + len(y.cs) - len(list_intersect(x.cs, y.cs)))::DOUBLE AS similarity
+         FROM corpus_sets x JOIN corpus_sets y ON x.set_id < y.set_id) WHERE similarity >= 0.9""",
+)
+
+
+@query("f2_corpus_title_pairs", sql("SELECT first_id, second_id, round(similarity, 6) AS similarity FROM set_pairs", "set_pairs"))
+def f2_pairs(spark, d):
+    """Similar titles in the whole corpus, between the first documents of their character sets."""
+    pairs = duplicates.similar_sets(duplicates.title_sets(b.corpus(spark, d)))
+    return pairs.withColumn("similarity", F.round("similarity", 6))
+
+
+@query(
+    "f2_corpus_survivors",
+    "WITH RECURSIVE " + sql(
+        r"""WITH reach AS (
+              SELECT set_id AS node, set_id AS root FROM corpus_sets
+              UNION
+              SELECT e.b, r.root FROM reach r JOIN (SELECT first_id AS a, second_id AS b FROM set_pairs UNION ALL SELECT second_id, first_id FROM set_pairs) e ON e.a = r.node)
+            SELECT set_id AS doc_id FROM corpus_sets JOIN (SELECT node, MIN(root) AS root FROM reach GROUP BY node) ON node = set_id WHERE root = set_id
+            UNION ALL SELECT doc_id FROM corpus
+            WHERE len(regexp_extract_all(COALESCE(title, ''), '[^\x00-\x7F]|[A-Za-z0-9]')) = 0""",
+        "set_pairs", "corpus",
+    ).removeprefix("WITH "),
+)
+def f2_survivors(spark, d):
+    """One document per group of connected similar titles."""
+    return duplicates.remove_near_duplicates(b.corpus(spark, d)).select("doc_id")
+
+
 @query("f3_filter_quality", sql("SELECT query_id, doc_id FROM scored WHERE quality_score >= 0.5 AND click_count >= 1 AND strlen(snippet) >= 100", "scored"))
 def f3(spark, d):
     cands = recall.recall_text(b.queries(spark, d), b.snapshot(spark, d), b.corpus(spark, d))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from lodestone.operators import behaviour, experiments, features, profiles, recall, textprep, vectors
+from lodestone.operators import behaviour, duplicates, experiments, features, profiles, recall, textprep, vectors
 from workload import bindings as b
 from workload.ctes import AS_OF, VIEWS, asked, low, sql, tok
 
@@ -414,6 +414,15 @@ def m3(spark, d):
     return experiments.fingerprint(b.table(spark, d, "documents"), ["text", "lang"]).select("doc_id", "md5", "sha1")
 
 
+@query(
+    "m3_remove_duplicates",
+    "SELECT doc_id FROM (SELECT doc_id, MIN(doc_id) OVER (PARTITION BY coalesce(text, ''), coalesce(lang, '')) AS first FROM documents) WHERE doc_id = first",
+)
+def m3_removed(spark, d):
+    """Documents left when copies of text and language go."""
+    return duplicates.remove_exact_duplicates(b.table(spark, d, "documents"), ["text", "lang"]).select("doc_id")
+
+
 def neighbours(spark, d):
     """Every vector under the id before it, so that a join on the id pairs neighbours."""
     v = b.vectors(spark, d)
