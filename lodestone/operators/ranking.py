@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import GBTRegressor
+from dataclasses import dataclass
+
+from pyspark.ml.functions import array_to_vector
+from pyspark.ml.regression import DecisionTreeRegressionModel, DecisionTreeRegressor
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.functions.text import jaccard, title_words
+from lodestone.functions.text import jaccard, title_words, tokens
 from lodestone.operators.index import TextIndex, fits, match_postings
 from lodestone.operators.recall import DAY, HISTORY, HOT, VECTOR, bm25_sum
+from lodestone.session import cut_lineage
 from lodestone.skew import top_k
 
 # Default stage weights.
@@ -29,7 +31,6 @@ LTR_FEATURES = [
     "f_category_match",
     "f_source",
 ]
-MODEL_FEATURES = ["f_bm25", "f_quality", "f_freshness", "f_log_click", "f_log_like"]
 
 
 def score_bm25(
@@ -112,6 +113,11 @@ def ltr_features(cands: DataFrame, queries: DataFrame, profiles: DataFrame | Non
         rows = rows.join(profiles.select("uid", "category_weights"), "uid", "left")
     else:
         rows = rows.withColumn("category_weights", F.lit(None).cast("map<string,double>"))
+    return rows.withColumns(feature_columns()).drop("uid", "terms", "category_weights")
+
+
+def feature_columns() -> dict[str, Column]:
+    """The ten features of rows with terms, title, category, category_weights, scores, counts and recall_source."""
     hits = F.filter(
         "terms", lambda t: (t != "") & (F.col("title").contains(t) | F.col("category").contains(t))
     )
@@ -124,20 +130,18 @@ def ltr_features(cands: DataFrame, queries: DataFrame, profiles: DataFrame | Non
         .when(F.col("recall_source") == HISTORY, 1.0)
         .otherwise(0.0)
     )
-    return rows.withColumns(
-        {
-            "f_query_len": F.tanh(F.size("terms") / 5),
-            "f_bm25": F.col("bm25"),
-            "f_quality": F.col("quality"),
-            "f_freshness": F.col("freshness"),
-            "f_log_click": log_signal("click_count"),
-            "f_log_like": log_signal("like_count"),
-            "f_title_len": F.tanh(F.octet_length("title") / 30),
-            "f_term_match": F.tanh(F.size(hits) / 3),
-            "f_category_match": F.least(F.lit(1.0), F.coalesce(liked, F.lit(0.0)) * 2),
-            "f_source": source,
-        }
-    ).drop("uid", "terms", "category_weights")
+    return {
+        "f_query_len": F.tanh(F.size("terms") / 5),
+        "f_bm25": F.col("bm25"),
+        "f_quality": F.col("quality"),
+        "f_freshness": F.col("freshness"),
+        "f_log_click": log_signal("click_count"),
+        "f_log_like": log_signal("like_count"),
+        "f_title_len": F.tanh(F.octet_length("title") / 30),
+        "f_term_match": F.tanh(F.size(hits) / 3),
+        "f_category_match": F.least(F.lit(1.0), F.coalesce(liked, F.lit(0.0)) * 2),
+        "f_source": source,
+    }
 
 
 def rule_score() -> Column:
@@ -172,13 +176,11 @@ def score_rules(features: DataFrame) -> DataFrame:
     return features.withColumn("model_score", rule_score())
 
 
-def score_model(features: DataFrame, model: PipelineModel | None = None) -> DataFrame:
-    """``model_score`` from a trained model, or from the fixed rules when there is none."""
+def score_model(features: DataFrame, model: RankModel | None = None) -> DataFrame:
+    """``model_score`` between 0 and 1 from a trained model, or from the fixed rules when there is none."""
     if model is None:
         return score_rules(features)
-    scored = model.transform(features)
-    made = [c for c in scored.columns if c not in features.columns and c != "prediction"]
-    return scored.drop(*made).withColumnRenamed("prediction", "model_score")
+    return model.score(features).withColumn("model_score", 1 / (1 + F.exp(-F.col("model_score"))))
 
 
 def fine_rank(cands: DataFrame, weight: float = FINE_WEIGHT, top_k_: int = 100) -> DataFrame:
@@ -196,15 +198,20 @@ def fine_rank(cands: DataFrame, weight: float = FINE_WEIGHT, top_k_: int = 100)
 # ---------------------------------------------------------------- training
 
 
-def training_set(event_log: DataFrame, shown: DataFrame | None = None) -> DataFrame:
+def training_set(
+    event_log: DataFrame, shown: DataFrame | None = None, corpus: DataFrame | None = None, profiles: DataFrame | None = None
+) -> DataFrame:
     """Labelled feature snapshots grouped by (uid, query).
 
     Clicks, likes and shares are 1, dismissals 0. With the shown results (uid, query, doc_id, pos
     and the score snapshot), a result above the lowest positive one that got none itself is 0. The
     lowest position comes from a grouped maximum, so a very active group is combined before any shuffle.
+    With ``corpus`` all ten ranking features are computed, category matches from ``profiles``; without it the five that
+    the log holds itself.
     """
     keys = ["uid", "query"]
     snapshot = ["bm25_score", "quality_score", "freshness_score", "click_count", "like_count"]
+    snapshot += [c for c in ("recall_source",) if c in event_log.columns]
     positive = F.col("event_type").isin("click", "like", "share")
     label = F.when(positive, 1).when(F.col("event_type") == "dismiss", 0)
     logged = event_log.withColumn("label", label).filter(F.col("label").isNotNull())
@@ -219,29 +226,84 @@ def training_set(event_log: DataFrame, shown: DataFrame | None = None) -> DataFr
             .select(*keys, "doc_id", "pos", *snapshot, F.lit(0).alias("label"))
         )
         rows = rows.unionByName(skipped)
-    return rows.withColumns(
-        {
-            "f_bm25": F.col("bm25_score"),
-            "f_quality": F.col("quality_score"),
-            "f_freshness": F.col("freshness_score"),
-            "f_log_click": log_signal("click_count"),
-            "f_log_like": log_signal("like_count"),
-        }
-    ).drop(*snapshot)
-
-
-def train_ranker(training: DataFrame, path: str | None = None, version: int = 1, max_iter: int = 20) -> PipelineModel:
-    """Gradient-boosted trees on the logged features, saved under a version folder when a path is given."""
-    stages = [
-        VectorAssembler(inputCols=MODEL_FEATURES, outputCol="_features"),
-        GBTRegressor(featuresCol="_features", labelCol="label", maxIter=max_iter, maxDepth=4, seed=7),
-    ]
-    model = Pipeline(stages=stages).fit(training.na.fill(0.0, MODEL_FEATURES))
+    scores = {"bm25": F.col("bm25_score"), "quality": F.col("quality_score"), "freshness": F.col("freshness_score")}
+    rows = rows.withColumns(scores).drop("bm25_score", "quality_score", "freshness_score")
+    if corpus is None:
+        own = feature_columns()
+        logged_only = ("f_bm25", "f_quality", "f_freshness", "f_log_click", "f_log_like")
+        return rows.withColumns({f: own[f] for f in logged_only}).select(*keys, "doc_id", "pos", "label", *logged_only)
+    # Every distinct query is tokenised once.
+    asked = rows.select("query").distinct().withColumn("terms", tokens("query"))
+    rows = rows.join(asked, "query").join(corpus.select("doc_id", "title", "category"), "doc_id", "left")
+    if profiles is None:
+        rows = rows.withColumn("category_weights", F.lit(None).cast("map<string,double>"))
+    else:
+        rows = rows.join(profiles.select("uid", "category_weights"), "uid", "left")
+    if "recall_source" not in rows.columns:
+        rows = rows.withColumn("recall_source", F.lit(""))
+    return rows.na.fill("", ["title", "category"]).withColumns(feature_columns()).select(*keys, "doc_id", "pos", "label", *LTR_FEATURES)
+
+
+@dataclass(frozen=True)
+class RankModel:
+    """A sum of regression trees over the columns ``features``."""
+
+    features: tuple[str, ...]
+    trees: tuple[DecisionTreeRegressionModel, ...]
+    rate: float
+
+    def score(self, df: DataFrame, out: str = "model_score") -> DataFrame:
+        """``df`` with the raw ranking score."""
+        filled = [F.coalesce(F.col(f), F.lit(0.0)).cast("double") for f in self.features]
+        rows = df.withColumn("_features", array_to_vector(F.array(*filled))).withColumn(out, F.lit(0.0))
+        for tree in self.trees:
+            rows = tree.transform(rows).withColumn(out, F.col(out) + self.rate * F.col("_tree")).drop("_tree")
+        return rows.drop("_features")
+
+    def save(self, path: str) -> None:
+        for i, tree in enumerate(self.trees):
+            tree.write().overwrite().save(f"{path}/tree={i}")
+
+
+def train_ranker(
+    training: DataFrame, path: str | None = None, version: int = 1, max_iter: int = 20, rate: float = 0.3, depth: int = 4
+) -> RankModel:
+    """Boosted trees on list-wise gradients, saved under a version folder when a path is given.
+
+    A row's gradient is its share of its (uid, query) group's positives minus its softmax share of the scores; both
+    need two sums per group, so no pairs of rows are formed. Groups without a positive or without a negative say
+    nothing about order and are left out.
+    """
+    names = [f for f in LTR_FEATURES if f in training.columns]
+    keys = ["uid", "query"]
+    useful = training.groupBy(*keys).agg(F.sum("label").alias("_won"), F.count(F.lit(1)).alias("_n"))
+    rows = training.join(useful.filter((F.col("_won") > 0) & (F.col("_won") < F.col("_n"))), keys)
+    rows = cut_lineage(rows.select(*keys, "label", "_won", *names))
+    model = RankModel(tuple(names), (), rate)
+    learner = DecisionTreeRegressor(featuresCol="_features", labelCol="_grad", predictionCol="_tree", maxDepth=depth, seed=7)
+    filled = F.array(*[F.coalesce(F.col(f), F.lit(0.0)).cast("double") for f in names])
+    for _ in range(max_iter):
+        scored = model.score(rows, "_score")
+        sums = scored.groupBy(*keys).agg(F.sum(F.exp("_score")).alias("_z"))
+        grad = F.col("label") / F.col("_won") - F.exp("_score") / F.col("_z")
+        data = scored.join(sums, keys).select(array_to_vector(filled).alias("_features"), grad.alias("_grad"))
+        tree = learner.fit(data)
+        model = RankModel(model.features, (*model.trees, tree), rate)
     if path is not None:
-        model.write().overwrite().save(f"{path}/v={version}")
+        model.save(f"{path}/v={version}")
     return model
 
 
+def ndcg(scored: DataFrame, score: str, k: int = 10) -> DataFrame:
+    """(uid, query, ndcg) of every group with a positive label: discounted gains of the ``k`` best by ``score``."""
+    keys = ["uid", "query"]
+    best = top_k(scored.select(*keys, "doc_id", "label", score), keys, [F.desc(score), F.asc("doc_id")], k, "doc_id", "_r")
+    found = best.groupBy(*keys).agg(F.sum(F.col("label") / F.log2(F.col("_r") + 1.0)).alias("_dcg"))
+    won = scored.groupBy(*keys).agg(F.sum("label").cast("int").alias("_won")).filter("_won > 0")
+    ideal = F.aggregate(F.sequence(F.lit(1), F.least("_won", F.lit(k))), F.lit(0.0), lambda a, r: a + 1 / F.log2(r + 1.0))
+    return won.join(found, keys).select(*keys, (F.col("_dcg") / ideal).alias("ndcg"))
+
+
 def should_train(
     event_log: DataFrame, last_run: int, as_of: int, min_events: int = 500, hours: float = 24
 ) -> bool:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -151,9 +152,16 @@ def _top_vectors(q: DataFrame, v: DataFrame, keys: list[str], top_k_: int, thres
     return top_k(scored, ["query_id"], [F.desc("score"), F.asc("doc_id")], top_k_, "doc_id")
 
 
+#: Vectors of a side from which it is cut into blocks anyway, so that all cores take part.
+SPLIT_ROWS = 500
+
+
 def _block_count(df: DataFrame, rows: int) -> Column:
+    """Blocks of at most ``rows`` rows; as many as make a block pair for every core, where there are rows enough."""
     n = df.agg(F.count(F.lit(1))).scalar()
-    return F.greatest(F.lit(1), F.ceil(n / F.lit(float(rows)))).cast("long")
+    cores = math.ceil(math.sqrt(df.sparkSession.sparkContext.defaultParallelism))
+    spread = F.least(F.lit(float(cores)), F.ceil(n / F.lit(float(SPLIT_ROWS))))
+    return F.greatest(F.lit(1), F.ceil(n / F.lit(float(rows))), spread).cast("long")
 
 
 def _upto(n: Column) -> Column:

@@ -56,6 +56,6 @@ def refresh_all(tables: RefreshTables, as_of: int, path: str, min_doc_changes: i
     out["lexicon"] = lexicon
     out["prefixes"] = saved("prefixes", suggest.prefix_dictionary(lexicon))
     out["hot"] = saved("hot", recall.hot_list(tables.corpus, as_of))
-    out["training"] = saved("training", ranking.training_set(log))
+    out["training"] = saved("training", ranking.training_set(log, corpus=tables.corpus, profiles=out["profiles"]))
     rebuild_index(tables.corpus, f"{path}/index", as_of, min_doc_changes=min_doc_changes)
     return out

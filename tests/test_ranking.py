@@ -133,16 +133,37 @@ def test_training_labels(spark):
     assert len(ranking.training_set(log).collect()) == 3
 
 
-def test_model_replaces_rules_and_should_train(spark, tmp_path):
-    data = spark.range(200).select(
-        (F.col("id") % 2).cast("int").alias("label"), *[(F.col("id") % 2 + F.lit(0.0)).alias(f) for f in ranking.MODEL_FEATURES]
-    )
-    model = ranking.train_ranker(data, str(tmp_path / "m"), max_iter=2)
-    scored = ranking.score_model(data.select(*[c for c in data.columns if c != "label"]), model)
-    assert {round(r.model_score, 3) for r in scored.collect()} == {0.0, 1.0}
-    log = spark.range(600).select((F.col("id") + 1000).alias("ts"))
-    assert ranking.should_train(log, 999, 1700) and not ranking.should_train(log, 1300, 1700)
-    assert ranking.should_train(log, 1700, 1700 + 86400)
+def test_group_wise_model_beats_the_rules_on_held_out_groups(spark, tmp_path):
+    """Clicks follow category and source, which the rules hardly read, and only inside a group: groups differ in level."""
+    from pyspark.ml.regression import DecisionTreeRegressionModel
+
+    r = random.Random(4)
+    rows = []
+    for group in range(120):
+        level = r.random()
+        for i in range(8):
+            f = {n: r.random() for n in ranking.LTR_FEATURES} | {"f_bm25": level}
+            liked = f["f_category_match"] + f["f_source"] + r.gauss(0, 0.1) > 1.2
+            rows.append((group, "q", i, int(liked), *[f[n] for n in ranking.LTR_FEATURES]))
+    names = ", ".join(f"{n} double" for n in ranking.LTR_FEATURES)
+    data = spark.createDataFrame(rows, f"uid int, query string, doc_id int, label int, {names}")
+    model = ranking.train_ranker(data.filter("uid % 3 > 0"), str(tmp_path / "m"), max_iter=8)
+    assert len(model.trees) == 8 and model.features == tuple(ranking.LTR_FEATURES)
+    held = ranking.score_rules(data.filter("uid % 3 = 0"))
+    rules = ranking.ndcg(held, "model_score").agg(F.avg("ndcg")).first()[0]
+    learned = ranking.ndcg(model.score(held, "learned"), "learned").agg(F.avg("ndcg")).first()[0]
+    assert learned > 0.9 and learned > rules + 0.1
+    again = DecisionTreeRegressionModel.load(str(tmp_path / "m/v=1/tree=0"))
+    assert again.numNodes == model.trees[0].numNodes
+    scored = ranking.score_model(held.drop("model_score"), model)
+    assert scored.filter("model_score <= 0 OR model_score >= 1").count() == 0
+
+
+def test_ndcg_by_hand(spark):
+    rows = [("u", "q", 1, 0, 0.9), ("u", "q", 2, 1, 0.8), ("u", "q", 3, 1, 0.1), ("v", "q", 1, 0, 0.5)]
+    df = spark.createDataFrame(rows, "uid string, query string, doc_id int, label int, score double")
+    (got,) = ranking.ndcg(df, "score", 2).collect()
+    assert got["ndcg"] == pytest.approx((1 / math.log2(3)) / (1 + 1 / math.log2(3)))
 
 
 def titles(spark, *names):
@@ -244,3 +265,9 @@ def test_custom_encoder_size_is_checked(spark):
     assert ok.first().embedding == [3.0]
     with pytest.raises(Exception, match="not of size 2"):
         vectors.encode_corpus(df, "text", 2, lambda: lambda s: [[1.0] for _ in s]).collect()
+
+
+def test_should_train(spark):
+    log = spark.range(600).select((F.col("id") + 1000).alias("ts"))
+    assert ranking.should_train(log, 999, 1700) and not ranking.should_train(log, 1300, 1700)
+    assert ranking.should_train(log, 1700, 1700 + 86400)

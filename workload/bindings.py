@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from lodestone.functions.text import snippet, words_prefix
 from lodestone.operators import experiments, profiles, textprep
 from lodestone.operators.index import TextIndex, build_index
+from lodestone.operators.recall import CHANNEL_ORDER
 from lodestone.operators.vector_index import VectorCells
 from lodestone.session import checkpoint_dir
 from lodestone.sources.snapshots import (
@@ -156,6 +157,9 @@ def shaped_events(ev: DataFrame) -> DataFrame:
         (F.col("event_id") % 20).cast("int").alias("result_pos"),
         F.when(kind == "view", F.floor(F.col("value") * 1000)).cast("int").alias("duration_ms"),
         F.round(F.col("value") / 1000, 6).alias("bm25_score"),
+        F.round((F.col("value") % 100) / 100, 6).alias("quality_score"),
+        F.round(F.exp(F.lit(-0.05) * (F.col("event_id") % 40)), 6).alias("freshness_score"),
+        F.get(F.array(*map(F.lit, CHANNEL_ORDER)), (F.col("event_id") % 4).cast("int")).alias("recall_source"),
     )
 
 

@@ -73,7 +73,9 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
                    CAST(floor(epoch(e.ts)) AS BIGINT) AS ts, m.text AS query,
                    (e.event_id % 20)::INT AS result_pos,
                    CASE WHEN e.event_type = 'view' THEN floor(e.value * 1000)::INT END AS duration_ms,
-                   round(e.value / 1000, 6) AS bm25_score
+                   round(e.value / 1000, 6) AS bm25_score, round((e.value % 100) / 100, 6) AS quality_score,
+                   round(exp(-0.05::DOUBLE * (e.event_id % 40)), 6) AS freshness_score,
+                   ['inverted_index', 'user_history', 'hot_content', 'vector'][e.event_id % 4 + 1] AS recall_source
             FROM events e LEFT JOIN benchmark m
               ON m.item_id = CAST(json_extract_string(e.props, '$.k') AS BIGINT) % (SELECT COUNT(*) FROM benchmark)""",
     ),

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.operators import behaviour, duplicates, filters, ranking, recall, vector_index, vectors
@@ -342,57 +342,95 @@ def shown_results(spark, d) -> DataFrame:
     """Results shown to users: every view is one shown result at its position."""
     log = event_log(spark, d)
     return log.filter(F.col("event_type") == "view").select(
-        "uid", "query", "doc_id", F.col("result_pos").alias("pos"), "bm25_score", "quality_score", "freshness_score", "click_count", "like_count"
+        "uid", "query", "doc_id", F.col("result_pos").alias("pos"), "bm25_score", "quality_score", "freshness_score", "click_count", "like_count", "recall_source"
     )
 
 
+def training_rows(spark, d) -> DataFrame:
+    """All ten features of every labelled row, written once per application."""
+    build = lambda: ranking.training_set(event_log(spark, d), shown_results(spark, d), b.corpus(spark, d), b.user_profiles(spark, d))
+    return b.stored(spark, d, "training", build)
+
+
+def held_out() -> Column:
+    """One user in five is kept from training."""
+    return F.col("uid") % 5 == 1
+
+
+def trained(spark, d, path: str | None = None) -> ranking.RankModel:
+    return ranking.train_ranker(training_rows(spark, d).filter(~held_out()), path, max_iter=5)
+
+
 @query("e7_score_model")
 def e7(spark, d):
-    model = ranking.train_ranker(ranking.training_set(event_log(spark, d)), max_iter=5)
-    out = ranking.score_model(features(spark, d), model)
+    out = ranking.score_model(features(spark, d), trained(spark, d))
     return out.select("query_id", "doc_id", F.round("model_score", 6).alias("model_score"))
 
 
+@query(
+    "e7_model_coverage",
+    sql("SELECT query_id, COUNT(*) AS n_scored, TRUE AS in_range FROM ltr GROUP BY 1", "ltr"),
+)
+def e7_coverage(spark, d):
+    """Every coarse result gets a model score between 0 and 1."""
+    out = ranking.score_model(features(spark, d), trained(spark, d))
+    inside = F.min((F.col("model_score") > 0) & (F.col("model_score") < 1))
+    return out.groupBy("query_id").agg(F.count("model_score").alias("n_scored"), inside.alias("in_range"))
+
+
 @query("e8_fine_rank", sql("SELECT query_id, doc_id, fine_score, final_score, fine_rank FROM fine", "fine"))
 def e8(spark, d):
     return fine(spark, d).select("query_id", "doc_id", "fine_score", "final_score", "fine_rank")
 
 
-_TRAIN = """WITH log AS (SELECT e.uid, COALESCE(e.query, '') AS query, e.doc_id, e.result_pos AS pos, e.event_type, e.bm25_score,
-                 COALESCE(c.click_count, 0) AS click_count, COALESCE(c.like_count, 0) AS like_count,
+_TRAIN = f"""WITH log AS (SELECT e.uid, COALESCE(e.query, '') AS query, e.doc_id, e.result_pos AS pos, e.event_type, e.bm25_score, e.quality_score, e.freshness_score,
+                 COALESCE(c.click_count, 0) AS click_count, COALESCE(c.like_count, 0) AS like_count, e.recall_source,
                  CASE WHEN event_type IN ('click', 'like', 'share') THEN 1 WHEN event_type = 'dismiss' THEN 0 END AS label
                FROM ev e LEFT JOIN corpus c ON c.doc_id = e.doc_id),
              low AS (SELECT uid, query, MAX(pos) AS lowest FROM log WHERE label = 1 GROUP BY 1, 2),
-             rows_ AS (SELECT uid, query, doc_id, pos, bm25_score, click_count, like_count, label FROM log WHERE label IS NOT NULL
+             rows_ AS (SELECT *, label AS y FROM log WHERE label IS NOT NULL
                UNION ALL
-               SELECT s.uid, s.query, s.doc_id, s.pos, s.bm25_score, s.click_count, s.like_count, 0 FROM log s JOIN low ON low.uid = s.uid AND low.query = s.query
+               SELECT s.*, 0 FROM log s JOIN low ON low.uid = s.uid AND low.query = s.query
                WHERE s.event_type = 'view' AND s.pos < low.lowest AND NOT EXISTS (
-                 SELECT 1 FROM log x WHERE x.uid = s.uid AND x.query = s.query AND x.doc_id = s.doc_id AND x.label IS NOT NULL))
-             SELECT uid, query, doc_id, pos, label, round(bm25_score, 6) AS f_bm25, round(tanh(ln(1 + click_count::DOUBLE) / 5), 6) AS f_log_click,
-                    round(tanh(ln(1 + like_count::DOUBLE) / 5), 6) AS f_log_like FROM rows_"""
-
-
-@query("e9_training_set", sql(_TRAIN, "ev", "corpus"))
+                 SELECT 1 FROM log x WHERE x.uid = s.uid AND x.query = s.query AND x.doc_id = s.doc_id AND x.label IS NOT NULL)),
+             asked_terms AS (SELECT query, {tok("query")} AS terms FROM (SELECT DISTINCT query FROM rows_)),
+             full_ AS (SELECT r.*, t.terms, COALESCE(c.title, '') AS title, COALESCE(c.category, '') AS category, w.weight
+               FROM rows_ r JOIN asked_terms t ON t.query = r.query LEFT JOIN corpus c ON c.doc_id = r.doc_id
+               LEFT JOIN weights w ON w.uid = r.uid AND w.category = c.category AND c.category <> '')
+             SELECT uid, query, doc_id, pos, y AS label, round(tanh(len(terms) / 5.0::DOUBLE), 6) AS f_query_len, round(bm25_score, 6) AS f_bm25,
+                    round(quality_score, 6) AS f_quality, round(freshness_score, 6) AS f_freshness,
+                    round(tanh(ln(1 + click_count::DOUBLE) / 5), 6) AS f_log_click, round(tanh(ln(1 + like_count::DOUBLE) / 5), 6) AS f_log_like,
+                    round(tanh(strlen(title) / 30.0::DOUBLE), 6) AS f_title_len,
+                    round(tanh(len(list_filter(terms, lambda t: t <> '' AND (contains(title, t) OR contains(category, t)))) / 3.0::DOUBLE), 6) AS f_term_match,
+                    round(least(1.0::DOUBLE, COALESCE(weight, 0) * 2), 6) AS f_category_match,
+                    round(CASE recall_source WHEN 'vector' THEN 1 / 3.0::DOUBLE WHEN 'hot_content' THEN 2 / 3.0::DOUBLE WHEN 'user_history' THEN 1 ELSE 0 END, 6) AS f_source
+             FROM full_"""
+
+
+@query("e9_training_set", sql(_TRAIN, "ev", "corpus", "weights"))
 def e9(spark, d):
-    out = ranking.training_set(event_log(spark, d), shown_results(spark, d))
-    cols = ["f_bm25", "f_log_click", "f_log_like"]
-    return out.select("uid", "query", "doc_id", "pos", "label", *[F.round(c, 6).alias(c) for c in cols])
+    out = training_rows(spark, d)
+    return out.select("uid", "query", "doc_id", "pos", "label", *[F.round(c, 6).alias(c) for c in ranking.LTR_FEATURES])
 
 
-@query("e10_train_ranker")
+@query(
+    "e10_train_ranker",
+    sql(
+        f"""SELECT 5 AS trees, CASE WHEN grp % 5 = 1 THEN 'held out' ELSE 'training' END AS part, COUNT(*) AS n_groups, TRUE AS ndcg_in_range, 10 AS n_features
+            FROM (SELECT uid AS grp, query FROM ({_TRAIN.replace('WITH log', 'WITH log', 1)}) GROUP BY 1, 2 HAVING SUM(label) > 0) GROUP BY 1, 2""",
+        "ev", "corpus", "weights",
+    ),
+)
 def e10(spark, d):
-    """Train when due, save, and report the model's error on the whole training set."""
-    log = event_log(spark, d)
-    data = ranking.training_set(log)
-    if not ranking.should_train(log, b.ANCHOR, b.AS_OF):
-        return spark.createDataFrame([], "trees int, n bigint, mean_squared_error double")
-    model = ranking.train_ranker(data, scratch(spark, "ranker"), max_iter=5)
-    scored_ = model.transform(data.na.fill(0.0, ranking.MODEL_FEATURES))
-    return scored_.agg(
-        F.lit(model.stages[-1].getNumTrees).alias("trees"),
-        F.count(F.lit(1)).alias("n"),
-        F.round(F.avg(F.pow(F.col("prediction") - F.col("label"), F.lit(2.0))), 6).alias("mean_squared_error"),
-    )
+    """Train when due on four users in five, save, and judge the order of both parts' groups by NDCG."""
+    if not ranking.should_train(event_log(spark, d), b.ANCHOR, b.AS_OF):
+        return spark.createDataFrame([], "trees int, part string, n_groups bigint, ndcg_in_range boolean, n_features int")
+    model = trained(spark, d, scratch(spark, "ranker"))
+    scores = ranking.ndcg(model.score(training_rows(spark, d)), "model_score")
+    part = F.when(held_out(), "held out").otherwise("training")
+    return scores.groupBy(part.alias("part")).agg(
+        F.count(F.lit(1)).alias("n_groups"), F.min(F.col("ndcg").between(0, 1 + 1e-9)).alias("ndcg_in_range")
+    ).withColumns({"trees": F.lit(len(model.trees)), "n_features": F.lit(len(model.features))})
 
 
 _MMR = """WITH RECURSIVE items AS (
