@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.operators import hints, suggest, trending
+from lodestone.operators import filters, hints, suggest, trending
 
 
 @dataclass(frozen=True)
@@ -17,6 +17,7 @@ class WordTables:
     cooccur: DataFrame
     dictionary: DataFrame | None = None
     blocked: DataFrame | None = None
+    rules: DataFrame | None = None
 
 
 @dataclass(frozen=True)
@@ -31,7 +32,8 @@ class WordConfig:
 def recommend(requests: DataFrame, tables: WordTables, cfg: WordConfig) -> DataFrame:
     """requests(request_id, type, query, doc_id) → (request_id, type, position, word, score).
 
-    ``type`` is sug (query = typed prefix), hint (doc_id = clicked document) or nav.
+    ``type`` is sug (query = typed prefix), hint (doc_id = clicked document) or nav. Intervention rules, where the
+    tables have any, are applied to every request's page, which is short; a word that a rule forces has no score.
     """
     dictionary = tables.dictionary
     if dictionary is None:
@@ -66,4 +68,9 @@ def recommend(requests: DataFrame, tables: WordTables, cfg: WordConfig) -> DataF
     tagged = [
         df.select("request_id", F.lit(name).alias("type"), "position", "word", "score") for name, df in parts
     ]
-    return tagged[0].unionByName(tagged[1]).unionByName(tagged[2])
+    pages = tagged[0].unionByName(tagged[1]).unionByName(tagged[2])
+    if tables.rules is None:
+        return pages
+    keyed = pages.select(F.struct("request_id", "type").alias("request_id"), "word", "score")
+    kept, _ = filters.apply_rules(keyed, tables.rules)
+    return kept.select("request_id.request_id", "request_id.type", "position", "word", "score")

@@ -200,6 +200,41 @@ def g4(spark, d):
     return rounded(out, "relevance").select("prefix", "word", "source", "freq", "last_time", "cover", "edit_sim", "relevance")
 
 
+VIEWS["misspelt"] = (
+    (),
+    f"""SELECT *, strlen(prefix) / greatest(1, strlen(word))::DOUBLE AS prefix_match_ratio FROM (
+          SELECT DISTINCT word, unnest([{low('left(word, 5)')}, upper(left(word, 5)), left(word, 1) || substr(word, 3, 4), substr(word, 2, 5), left(other, 6), '##' || left(word, 1)]) AS prefix
+          FROM (SELECT p.p_name AS word, COALESCE(n.p_name, '') AS other FROM part p LEFT JOIN part n ON n.p_partkey = p.p_partkey + 1)) WHERE prefix <> ''""",
+)
+
+
+@query(
+    "g4_score_misspelt",
+    sql(
+        """WITH s AS (SELECT *, len(list_filter(string_split(prefix, ''), lambda c: contains(word, c))) / strlen(prefix)::DOUBLE AS cover,
+                         1 - levenshtein(prefix, left(word, strlen(prefix)::INT)) / greatest(strlen(prefix), strlen(left(word, strlen(prefix)::INT)))::DOUBLE AS edit_sim FROM misspelt)
+           SELECT prefix, word, round(cover, 6) AS cover, round(edit_sim, 6) AS edit_sim,
+                  round(prefix_match_ratio * 0.3::DOUBLE + cover * 0.3::DOUBLE + edit_sim * 0.2::DOUBLE + 0.2::DOUBLE, 6) AS relevance
+           FROM s WHERE NOT (cover < 0.2 AND edit_sim < 0.3) AND length(word) BETWEEN 2 AND 20""",
+        "misspelt",
+    ),
+)
+def g4_misspelt(spark, d):
+    """Relevance of product names to prefixes that differ in case, miss a letter, or belong to another name."""
+    part = b.table(spark, d, "part").select("p_partkey", F.col("p_name").alias("word"))
+    after = part.select((F.col("p_partkey") - 1).alias("p_partkey"), F.col("word").alias("other"))
+    named = part.join(after, "p_partkey", "left").na.fill("", ["other"])
+    w = F.col("word")
+    forms = F.array(
+        F.lower(w.substr(1, 5)), F.upper(w.substr(1, 5)), F.concat(w.substr(1, 1), w.substr(3, 4)), w.substr(2, 5),
+        F.col("other").substr(1, 6), F.concat(F.lit("##"), w.substr(1, 1)),
+    )
+    cands = named.select("word", F.explode(forms).alias("prefix")).filter("prefix <> ''").distinct().withColumns(
+        {"prefix_match_ratio": F.octet_length("prefix") / F.greatest(F.lit(1), F.octet_length("word")), "source_weight": F.lit(1.0)}
+    )
+    return rounded(suggest.suggest_score(cands), "cover", "edit_sim", "relevance").select("prefix", "word", "cover", "edit_sim", "relevance")
+
+
 def _suggest_sql(fold: str | None) -> str:
     item = "{word: word, source: source, score: score}"
     kept = "xs" if fold is None else fold
