@@ -7,7 +7,7 @@ are dropped. Sinks are idempotent per batch id.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -401,10 +401,22 @@ class CorpusFeed:
 
     A batch stores its changed documents (deletes flagged) and their postings, both with the version
     and the batch they came in. Per document the highest version counts, of equal versions the latest
-    batch, whatever order they arrive in; untouched documents come from the base tables.
+    batch, whatever order they arrive in; untouched documents come from the base tables. With ``encode``, which gives
+    (doc_id, embedding) of documents, the vectors of changed documents are kept in the same way.
     """
 
-    def __init__(self, spark, path: str, corpus: DataFrame, postings: DataFrame, compact_every: int = 20) -> None:
+    def __init__(
+        self,
+        spark,
+        path: str,
+        corpus: DataFrame,
+        postings: DataFrame,
+        compact_every: int = 20,
+        vectors: DataFrame | None = None,
+        encode: Callable[[DataFrame], DataFrame] | None = None,
+    ) -> None:
+        self.encoded = DeltaTable(spark, f"{path}/vectors", terms_of_newest, compact_every)
+        self.base_vectors, self.encode = vectors, encode
         self.docs = DeltaTable(spark, f"{path}/docs", newest_versions, compact_every)
         self.terms = DeltaTable(spark, f"{path}/postings", terms_of_newest, compact_every)
         self.base_corpus, self.base_postings = corpus, postings
@@ -421,7 +433,10 @@ class CorpusFeed:
         try:
             self.docs.write(batch_id, newest)
             terms = build_postings(newest.filter(~F.col("deleted")))
-            self.terms.write(batch_id, terms.join(newest.select("doc_id", "version", "at_batch"), "doc_id"))
+            stamp = newest.select("doc_id", "version", "at_batch")
+            self.terms.write(batch_id, terms.join(stamp, "doc_id"))
+            if self.encode is not None:
+                self.encoded.write(batch_id, self.encode(newest.filter(~F.col("deleted"))).join(stamp, "doc_id"))
         finally:
             newest.unpersist()
 
@@ -432,14 +447,20 @@ class CorpusFeed:
         kept = self.base_corpus.join(changed.select("doc_id"), "doc_id", "left_anti")
         return kept.unionByName(changed.filter(~F.col("deleted")).select(kept.columns))
 
-    def postings(self) -> DataFrame:
+    def _current(self, base: DataFrame, table: DeltaTable) -> DataFrame:
+        """Base rows of untouched documents, and the rows that came with each other document's newest version."""
         changed = self.docs.read()
         if changed is None:
-            return self.base_postings
+            return base
         latest = changed.select("doc_id", "at_batch")
-        kept = self.base_postings.join(latest, "doc_id", "left_anti")
-        fresh = self.terms.rows()
-        return kept.unionByName(fresh.join(latest, ["doc_id", "at_batch"], "left_semi").select(kept.columns))
+        kept = base.join(latest, "doc_id", "left_anti")
+        return kept.unionByName(table.rows().join(latest, ["doc_id", "at_batch"], "left_semi").select(kept.columns))
+
+    def postings(self) -> DataFrame:
+        return self._current(self.base_postings, self.terms)
+
+    def vectors(self) -> DataFrame:
+        return self._current(self.base_vectors, self.encoded)
 
 
 def stream_corpus(

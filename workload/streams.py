@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.operators import vectors
 from lodestone.operators.index import build_postings
 from lodestone.streaming import jobs
 from workload import bindings as b
-from workload.ctes import hot, sql
-from workload.prep import scratch
+from workload.ctes import hot, sql, tok
+from workload.prep import embed_sql, scratch, unfold
 from workload.users import flat_profiles
 
 QUERIES, ORACLES = {}, {}
@@ -194,22 +195,43 @@ def n5_session(spark, d):
     sql("SELECT term, doc_id, tf, field_weight, doc_len FROM postings WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1)", "postings"),
 )
 def n6(spark, d):
+    return corpus_feed(spark, d).postings()
+
+
+@query(
+    "n6_stream_vectors",
+    sql(
+        f"""WITH raw AS (SELECT doc_id, {embed_sql(tok('title'), 8)} AS v FROM corpus WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1)),
+              unit AS (SELECT doc_id, v, sqrt(list_sum(list_transform(v, lambda x: x * x))) AS n FROM raw WHERE v[1] IS NOT NULL)
+            SELECT doc_id, i - 1 AS pos, round(v[i] / n, 6) AS value FROM (SELECT *, unnest(range(1, 9)) AS i FROM unit)""",
+        "corpus",
+    ),
+)
+def n6_vectors(spark, d):
+    """The same change stream with the vectors of the titles."""
+    return unfold(corpus_feed(spark, d, lambda docs: vectors.encode_corpus(docs, "title", 8)).vectors(), "doc_id")
+
+
+def corpus_feed(spark, d, encode=None) -> jobs.CorpusFeed:
     """Labelled documents start with other text; the change stream restores them and deletes toxic ones,
     and later batches bring older versions of the same documents, which must not win."""
     corpus = b.corpus(spark, d)
     labels = b.table(spark, d, "labels").select("doc_id")
-    stale = corpus.join(labels, "doc_id", "left_semi").withColumn("content", F.concat(F.lit("stale words "), "author"))
+    stale = corpus.join(labels, "doc_id", "left_semi").withColumns(
+        {"content": F.concat(F.lit("stale words "), "author"), "title": F.lit("a stale title")}
+    )
     base = corpus.join(labels, "doc_id", "left_anti").unionByName(stale)
     path = scratch(spark, "feed")
-    feed = jobs.CorpusFeed(spark, path, base, build_postings(base))
+    base_vectors = None if encode is None else encode(base)
+    feed = jobs.CorpusFeed(spark, path, base, build_postings(base), vectors=base_vectors, encode=encode)
     ops = b.table(spark, d, "labels").select(
         "doc_id", F.when(F.col("toxic") == 1, "delete").otherwise("upsert").alias("op"), F.lit(2).alias("version")
     )
     right = ops.join(corpus, "doc_id")
-    older = right.withColumns({"op": F.lit("upsert"), "version": F.lit(1), "content": F.lit("an older version")})
+    older = right.withColumns({"op": F.lit("upsert"), "version": F.lit(1), "content": F.lit("an older version"), "title": F.lit("an older title")})
     half = F.pmod(F.xxhash64("doc_id"), F.lit(2))
     for part in (right.filter(half == 0), older.filter(half == 0), older.filter(half == 1), right.filter(half == 1)):
         part.repartition(FILES).write.mode("append").parquet(f"{path}/changes")
     changes = spark.readStream.schema(right.schema).option("maxFilesPerTrigger", FILES).parquet(f"{path}/changes")
     finish(jobs.stream_corpus(changes, feed, f"{path}/checkpoint"))
-    return feed.postings()
+    return feed
