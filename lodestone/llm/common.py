@@ -52,3 +52,24 @@ def count_of(text: Column, chars: str) -> Column:
 def let(value: Column, body) -> Column:
     """``body(value)`` with ``value`` computed once: a lambda variable can't be inlined by the optimizer."""
     return F.transform(F.array(value), body)[0]
+
+
+class RecentCache:
+    """A bounded look-up: when the young half is full, it becomes the old half and what the old half held goes.
+
+    What is asked for stays; what was used once goes after a while.
+    """
+
+    def __init__(self, size: int):
+        self.half = max(1, size // 2)
+        self.young: dict = {}
+        self.old: dict = {}
+
+    def missing(self, keys: set) -> list:
+        """The unknown ones of ``keys``; all others are in ``young`` until the next call."""
+        if len(self.young) >= self.half:
+            self.old, self.young = self.young, {}
+        lost = keys.difference(self.young)
+        found = {k: self.old[k] for k in lost.intersection(self.old)}
+        self.young.update(found)
+        return list(lost.difference(found))

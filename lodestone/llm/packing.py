@@ -18,7 +18,9 @@ packed on its own; input columns other than the two named are not carried. An em
 from __future__ import annotations
 
 import os
+from array import array
 from collections.abc import Iterator
+from string import ascii_lowercase, ascii_uppercase
 
 import numpy as np
 import pyarrow as pa
@@ -26,13 +28,21 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import stored
+from lodestone.llm.bpe import LAST_LATIN, byte_alphabet
+from lodestone.llm.common import RecentCache, stored
 
 SEQUENCE = 4096
 BUCKETS, DIMS, BITS = 1024, 3, 20
-#: Words kept in a worker's cache; a full cache starts afresh.
-CACHE_WORDS = 500_000
+#: Words kept in a worker's cache.
+CACHE_WORDS = 900_000
 LONGEST_CACHED = 64
+#: Unknown words encoded in one call.
+TOGETHER = 256
+CACHE_RUNS = 10_000
+#: ASCII symbols that may stand before and after a word; not the apostrophe, which begins pieces of its own.
+SYMBOLS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+#: Words that show whether a tokenizer cuts runs of letters and symbols apart.
+PROBES = ("word", "Word.", "(naïve)", "straße###", "--don", "\"Ça\"?!", "été,")
 SLICE = 500
 
 _LOADED: dict[str, WordIds] = {}
@@ -49,24 +59,103 @@ class WordIds:
         self.library.no_truncation()
         self.library.no_padding()
         self.width = np.dtype("<u2" if self.library.get_vocab_size() <= 1 << 16 else "<u4")
-        self.words: dict[bytes, bytes] = {}
+        special = {t.content: i for i, t in self.library.get_added_tokens_decoder().items() if t.special}
+        mark, self.mark_id = next(iter(special.items()))
+        self.mark = mark.encode()
+        self.special_text = list(special)
+        self.special = [s.encode() for s in special]
+        pairs = zip(ascii_lowercase, ascii_uppercase)
+        self.lowers = all(self.library.encode(a).ids == self.library.encode(b).ids for a, b in pairs)
+        #: Place of each id in the hashed count vector.
+        ids = np.arange(self.library.get_vocab_size(), dtype=np.uint32)
+        self.bucket = ((ids * np.uint32(0x9E3779B1)) >> np.uint32(16)).astype(np.int64) % BUCKETS
+        self.words = RecentCache(CACHE_WORDS)
+        self.model, self.byte_names, self.runs = self.library.model, byte_alphabet(), {}
+        self.code = "H" if self.width.itemsize == 2 else "I"
+        #: Whether runs of letters and of symbols are pieces of this tokenizer, as the short cut takes them to be.
+        self.simple = True
+        self.simple = all(
+            self.encode_simple(w) == np.array(self.library.encode(w, add_special_tokens=False).ids, self.width).tobytes()
+            for w in PROBES
+        )
+
+    def encode_words(self, words: list[bytes]) -> dict[bytes, bytes]:
+        """Ids of each word. What the short cut doesn't cover is encoded many words at a time, told apart by a
+        special token that none of them holds."""
+        found: dict[bytes, bytes] = {}
+        if self.simple:
+            for w in words:
+                ids = self.encode_simple(w.decode())
+                if ids is not None:
+                    found[w] = ids
+        others = [w for w in words if w not in found and self.mark not in w]
+        for part, ids in self._together(others, self.mark.decode()):
+            cuts = np.append(np.flatnonzero(ids == self.mark_id), len(ids))
+            found.update(self._cut(part, ids, cuts, cuts + 1))
+        for w in words:
+            if self.mark in w:
+                ids = self.library.encode(w.decode(), add_special_tokens=False).ids
+                found[w] = np.array(ids, self.width).tobytes()
+        return found
+
+    def encode_simple(self, word: str) -> bytes | None:
+        """Ids of Latin letters with symbols before and after: each run is one piece, which goes straight to the merges."""
+        word = word.lower()
+        if max(word) > LAST_LATIN or any(s in word for s in self.special_text):
+            return None
+        core = word.lstrip(SYMBOLS)
+        lead, core = word[: len(word) - len(core)], core.rstrip(SYMBOLS)
+        if not core.isalpha():
+            return None
+        tail = word[len(lead) + len(core) :]
+        return self.run_ids(lead) + self.piece_ids(core) + self.run_ids(tail)
+
+    def piece_ids(self, piece: str) -> bytes:
+        if not piece.isascii():
+            piece = "".join(map(self.byte_names.__getitem__, piece.encode()))
+        return array(self.code, [t.id for t in self.model.tokenize(piece)]).tobytes()
+
+    def run_ids(self, run: str) -> bytes:
+        """Ids of a run of symbols; short ones are remembered, of which there are few."""
+        if not run:
+            return b""
+        ids = self.runs.get(run)
+        if ids is None:
+            ids = self.piece_ids(run)
+            if len(self.runs) < CACHE_RUNS:
+                self.runs[run] = ids
+        return ids
+
+    def _together(self, words: list[bytes], between: str) -> Iterator[tuple[list[bytes], np.ndarray]]:
+        parts = [words[i : i + TOGETHER] for i in range(0, len(words), TOGETHER)]
+        texts = [between.join([w.decode() for w in part]) for part in parts]
+        for part, e in zip(parts, self.library.encode_batch_fast(texts, add_special_tokens=False)):
+            yield part, np.array(e.ids, self.width)
+
+    def _cut(self, words: list[bytes], ids: np.ndarray, ends: np.ndarray, starts: np.ndarray) -> dict[bytes, bytes]:
+        """Ids of every word up to its end; the next word's begin at the start of the same place."""
+        raw, size = ids.tobytes(), ids.itemsize
+        begins = [0, *(starts[:-1] * size).tolist()]
+        return {w: raw[i:j] for w, i, j in zip(words, begins, (ends * size).tolist())}
+
+    def split(self, text: bytes) -> list[bytes]:
+        """Words of a text; in lower case where the tokenizer lowers it anyway, so that fewer differ."""
+        if self.lowers:
+            low = text.lower()
+            if not any(s in low for s in self.special):
+                return low.split()
+        return text.split()
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """Ids of every UTF-8 text as little-endian numbers of ``width``; unknown words are encoded together."""
-        split = [t.split() for t in texts]
-        if len(self.words) > CACHE_WORDS:
-            self.words.clear()
-        known = self.words
-        new = list({w for words in split for w in words if w not in known})
-        found = self.library.encode_batch_fast([w.decode() for w in new], add_special_tokens=False)
-        fresh = {w: np.array(e.ids, self.width).tobytes() for w, e in zip(new, found)}
-        known.update((w, ids) for w, ids in fresh.items() if len(w) <= LONGEST_CACHED)
-        out = []
-        for words in split:
-            got = list(map(known.get, words))
-            if None in got:
-                got = [fresh[w] if ids is None else ids for w, ids in zip(words, got)]
-            out.append(b"".join(got))
+        split = [self.split(t) for t in texts]
+        fresh = self.encode_words(self.words.missing(set().union(*split)))
+        known = self.words.young
+        known.update(fresh)
+        out = [b"".join(map(known.__getitem__, words)) for words in split]
+        for w in fresh:
+            if len(w) > LONGEST_CACHED:
+                del known[w]
         return out
 
 
@@ -112,12 +201,11 @@ def projections() -> np.ndarray:
     return np.random.default_rng(20).standard_normal((BUCKETS, DIMS))
 
 
-def curve_keys(documents: list[np.ndarray]) -> np.ndarray:
-    """Hilbert keys of documents given as id arrays."""
+def curve_keys(documents: list[np.ndarray], bucket: np.ndarray) -> np.ndarray:
+    """Hilbert keys of documents given as id arrays; ``bucket`` is the place of each id in the count vector."""
     counts = np.zeros((len(documents), BUCKETS))
     for row, ids in zip(counts, documents):
-        hashed = (ids.astype(np.uint32) * np.uint32(0x9E3779B1)) >> np.uint32(16)
-        row += np.bincount(hashed & np.uint32(BUCKETS - 1), minlength=BUCKETS)
+        row[:] = np.bincount(bucket[ids], minlength=BUCKETS)
     weights = np.log1p(counts)
     norms = np.linalg.norm(weights, axis=1, keepdims=True)
     at = (weights @ projections()) / np.where(norms > 0, norms, 1)  # about standard normal
@@ -140,7 +228,7 @@ def encoded(docs: DataFrame, path: str, key: str, text: str) -> DataFrame:
             for start in range(0, whole.num_rows, SLICE):
                 batch = whole.slice(start, SLICE)
                 ids = words.encode(batch.column(1).to_pylist())
-                curve = curve_keys([np.frombuffer(x, words.width) for x in ids])
+                curve = curve_keys([np.frombuffer(x, words.width) for x in ids], words.bucket)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0), pa.array(ids, pa.binary()), pa.array(curve)], ["id", "ids", "curve"]
                 )
@@ -224,7 +312,10 @@ def pack(
             for at in range(0, whole.num_rows, SLICE):
                 batch = whole.slice(at, SLICE)
                 for id, ids in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                    filler.add(id, np.append(np.frombuffer(ids, width), end).astype("<u4"))
+                    tokens = np.empty(len(ids) // width.itemsize + 1, "<u4")
+                    tokens[:-1] = np.frombuffer(ids, width)
+                    tokens[-1] = end
+                    filler.add(id, tokens)
                 yield flush()
         if ids_type is not None:
             filler.finish()

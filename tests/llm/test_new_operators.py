@@ -179,6 +179,19 @@ def word_library():
     return t
 
 
+def test_word_ids_equal_the_library():
+    import random
+
+    r = random.Random(9)
+    words = packing.load(WORD_BPE)
+    assert words.simple and words.lowers
+    parts = ["a", "The", "zq", "é", "Ç", "ß", "ſ", "İ", "ǅ", "中", "1", "'s", "'", ".", "###", "<|", "|>", "<|endoftext|>", "<|ENDOFTEXT|>", "\x1c", "\xa0", "\xad", "´", "ª", "e\u0301", " ", "\n"]
+    texts = ["".join(r.choices(parts, k=r.randint(1, 12))) for _ in range(3000)]
+    lib = word_library()
+    want = [np.array(e.ids, words.width).tobytes() for e in lib.encode_batch(texts, add_special_tokens=False)]
+    assert words.encode([t.encode() for t in texts]) == want
+
+
 def test_hilbert_keys_walk_through_every_cell():
     for dims, bits in ((2, 4), (3, 3), (4, 2)):
         side = np.arange(1 << bits)
@@ -243,7 +256,7 @@ def test_neighbours_along_the_curve_are_alike(spark):
     ids = [np.frombuffer(x, words.width) for x in words.encode([t.encode() for t in texts])]
     counts = np.array([np.bincount(i, minlength=1 << 16)[:49408] for i in ids], float)
     unit = np.log1p(counts) / np.maximum(np.linalg.norm(np.log1p(counts), axis=1, keepdims=True), 1e-9)
-    order = np.argsort(packing.curve_keys(ids), kind="stable")
+    order = np.argsort(packing.curve_keys(ids, words.bucket), kind="stable")
     near = (unit[order[1:]] * unit[order[:-1]]).sum(1).mean()
     mixed = np.random.default_rng(0).permutation(len(ids))
     assert near > 1.5 * (unit[mixed[1:]] * unit[mixed[:-1]]).sum(1).mean()
