@@ -21,7 +21,10 @@ from __future__ import annotations
 
 import os
 import re
+from array import array
+from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -29,13 +32,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.llm.bpe import byte_alphabet
-from lodestone.llm.common import stored
+from lodestone.llm.common import RecentCache, stored
 
 #: Counts of this many pairs at most go to all tasks, 17 bytes each.
 SENT_PAIRS = 1_000_000
 #: Pairs a task gathers before it passes their counts on.
 HELD_PAIRS = 2_000_000
-CACHE_STRETCHES = 250_000
+CACHE_STRETCHES = 400_000
 LONGEST_CACHED = 64
 SLICE = 200
 
@@ -67,54 +70,54 @@ class Aligner:
             self.bytes_b.append(bytes([int(byte[1], 16)]) if byte else piece.replace("▁", " ").encode())
         small = max(self.a.get_vocab_size(), len(self.bytes_b)) <= 1 << 16
         #: Pairs are a << shift | b.
-        self.shift, self.kind = (16, np.dtype("<u4")) if small else (32, np.dtype("<u8"))
-        self.cache: dict[str, tuple | None] = {}
+        self.shift, self.code = (16, "I") if small else (32, "Q")
+        self.kind = np.dtype(self.code)
+        self.size_a = [len(self.bytes_a.get(i, b"")) for i in range(self.a.get_vocab_size())]
+        self.size_b = [len(x) for x in self.bytes_b]
+        self.shown = [str(i) for i in range(max(len(self.size_a), len(self.size_b)))]
+        self.cache = RecentCache(CACHE_STRETCHES)
 
     def entry(self, text: str, a: list[int], b: list[int]) -> tuple | None:
         """(groups, tokens of A, of B, groups, links, pairs) of a text, None if its bytes aren't given back."""
-        ends_a = [len(self.bytes_a[i]) for i in a]
-        ends_b = [len(self.bytes_b[i]) for i in b]
         whole = b" " + text.encode()
         if b"".join(map(self.bytes_a.__getitem__, a)) != whole or b"".join(map(self.bytes_b.__getitem__, b)) != whole:
             return None
-        i = j = i0 = j0 = at_a = at_b = n_links = 0
-        shown, pairs = [], []
-        while i < len(a):
-            at_a += ends_a[i]
-            i += 1
-            while at_b < at_a:
-                at_b += ends_b[j]
-                j += 1
-            if at_a == at_b:
-                ga, gb = a[i0:i], b[j0:j]
-                shown.append(f"{','.join(map(str, ga))}|{','.join(map(str, gb))}")
-                n_links += len(ga) * len(gb)
-                pairs += [x << self.shift | y for x in ga for y in gb]
-                i0, j0 = i, j
-        return ";".join(shown), len(a), len(b), len(shown), n_links, np.array(pairs, self.kind).tobytes()
+        show_a, show_b = list(map(self.shown.__getitem__, a)), list(map(self.shown.__getitem__, b))
+        if len(a) == 1 or len(b) == 1:
+            cuts = [(len(a), len(b))]
+        else:
+            ends_a = list(accumulate(map(self.size_a.__getitem__, a)))
+            ends_b = list(accumulate(map(self.size_b.__getitem__, b)))
+            both = sorted(set(ends_a).intersection(ends_b))
+            cuts = [(bisect_left(ends_a, e) + 1, bisect_left(ends_b, e) + 1) for e in both]
+        i0 = j0 = 0
+        groups, pairs = [], []
+        for i, j in cuts:
+            groups.append(f"{','.join(show_a[i0:i])}|{','.join(show_b[j0:j])}")
+            pairs += [x << self.shift | y for x in a[i0:i] for y in b[j0:j]]
+            i0, j0 = i, j
+        return ";".join(groups), len(a), len(b), len(groups), len(pairs), array(self.code, pairs).tobytes()
 
     def entries(self, texts: list[str]) -> list[tuple | None]:
         found = self.a.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)
         return [self.entry(t, e.ids, b) for t, e, b in zip(texts, found, self.b.encode(texts, num_threads=1))]
 
     def look_up(self, split: list[list[str]]) -> dict[str, tuple | None]:
-        """Entries of the stretches that are not in the cache yet; short ones are remembered."""
-        if len(self.cache) > CACHE_STRETCHES:
-            self.cache.clear()
-        new = list({s for parts in split for s in parts if s not in self.cache})
-        loose = [s for s in new if not s or s[0].isspace() or s[-1].isspace()]
+        """A table that holds the entries of all stretches, for now; short ones are remembered."""
+        new = self.cache.missing(set().union(*split))
+        known = self.cache.young
         tight = [s for s in new if s and not s[0].isspace() and not s[-1].isspace()]
-        fresh = dict.fromkeys(loose, LOOSE) | dict(zip(tight, self.entries(tight)))
-        self.cache.update((s, e) for s, e in fresh.items() if len(s) <= LONGEST_CACHED)
-        return fresh
+        known.update(dict.fromkeys(new, LOOSE))
+        known.update(zip(tight, self.entries(tight)))
+        return known
 
     def align(self, texts: list[str]) -> list[tuple | None]:
         """The entry of every whole text."""
         split = [t.split(" ") for t in texts]
-        fresh = self.look_up(split)
+        known = self.look_up(split)
         out, whole = [], []
         for k, (text, parts) in enumerate(zip(texts, split)):
-            got = [fresh[s] if s in fresh else self.cache[s] for s in parts]
+            got = [known[s] for s in parts]
             if None in got or LOOSE in got:
                 whole.append(k)
                 out.append(None)
@@ -123,6 +126,8 @@ class Aligner:
             out.append((";".join(shown), sum(n_a), sum(n_b), sum(n_groups), sum(n_links), b"".join(pairs)))
         for k, found in zip(whole, self.entries([texts[k] for k in whole])):
             out[k] = found
+        for s in {s for parts in split for s in parts if len(s) > LONGEST_CACHED}:
+            del known[s]
         return out
 
 
