@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions.text import ascii_lower, byte_view, nonempty
 from lodestone.schemas import SCORE_SNAPSHOT
+from lodestone.session import cut_lineage
 from lodestone.skew import MIN_HOT_ROWS, previous_value, top_k
 
 
@@ -124,9 +125,10 @@ def click_pairs(
 ) -> DataFrame:
     """(uid, src, dst, ts): consecutive clicks of one user on two different items.
 
-    A user with a large share of all events is cut into time slices, so no task sorts all of them.
+    A user with a large share of all events is cut into time slices, so no task sorts all of them. The events are read
+    once; what slicing reads again are the slim columns checkpointed here.
     """
-    clicks = events.select("uid", "doc_id", "ts", *order)
+    clicks = cut_lineage(events.select("uid", "doc_id", "ts", *order))
     full = [*order, "doc_id"] if "doc_id" not in order else list(order)
     before = previous_value(clicks, "uid", "ts", full, "doc_id", "src", min_rows)
     return before.filter(F.col("src") != F.col("doc_id")).select(

@@ -11,7 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.functions.text import byte_view, nonempty
+from lodestone.functions.text import byte_view, jaccard, nonempty
 from lodestone.operators.behaviour import byte_prefix, top_cooccur
 from lodestone.operators.recall import hot_score
 from lodestone.operators.suggest import keep_distinct_words
@@ -76,6 +76,70 @@ def tag_set_words(sources: DataFrame, corpus: DataFrame, min_jaccard: float = 0.
     )
 
 
+def titled_sets(corpus: DataFrame) -> DataFrame:
+    """(other_set, word, n_docs): every title with the tag sets of its documents."""
+    return (
+        corpus.filter(nonempty("title"))
+        .groupBy(tag_key().alias("other_set"), F.col("title").alias("word"))
+        .agg(F.count(F.lit(1)).alias("n_docs"))
+    )
+
+
+def tag_lists(titled: DataFrame, k: int) -> DataFrame:
+    """(tag, n_other, word): the first ``k`` words, in word order, of the sets of each size that hold a tag."""
+    tags = F.split("other_set", _SEP)
+    rows = titled.filter(F.col("other_set") != "").select(F.size(tags).alias("n_other"), F.explode(tags).alias("tag"), "word").distinct()
+    return top_k(rows, ["tag", "n_other"], [F.asc("word")], k, "word", "_r").drop("_r")
+
+
+def _tag_pairs(tags: Column) -> Column:
+    """Every two tags of a sorted array as one string."""
+    pair = lambda i: F.transform(F.slice(tags, i + 2, F.size(tags)), lambda t: F.concat(F.get(tags, i), F.lit(_SEP), t))
+    return F.flatten(F.transform(F.sequence(F.lit(0), F.size(tags) - 1), pair))
+
+
+def best_tag_words(sources: DataFrame, titled: DataFrame, k: int, min_jaccard: float = 0.1) -> DataFrame:
+    """(tag_set, word, overlap): the exact ``k`` best words of every tag set in ``sources``, by overlap and word.
+
+    A set that shares one tag t with the source's p and has m tags overlaps by 1 / (p + m - 1). Words before it in
+    the list of (t, m) overlap at least as much, so a word beyond the first k of its list can't be among the k best:
+    lists of k words per tag and size are enough, however many sets hold the tag. Sets that share two tags or more are
+    met through pairs of tags and compared exactly.
+    """
+    mine = sources.select("tag_set").filter(F.col("tag_set") != "").distinct()
+    own = F.split("tag_set", _SEP)
+    single = (
+        mine.select("tag_set", F.size(own).alias("p"), F.explode(own).alias("tag"))
+        .join(tag_lists(titled, k), "tag")
+        .select("tag_set", "word", (1 / (F.col("p") + F.col("n_other") - 1)).alias("overlap"))
+    )
+    sets = titled.select("other_set").filter(F.contains("other_set", F.lit(_SEP))).distinct()
+    left = mine.withColumn("pair", F.explode(_tag_pairs(own)))
+    right = sets.withColumn("pair", F.explode(_tag_pairs(F.split("other_set", _SEP))))
+    hot = hot_keys(right.groupBy("pair").agg(F.count(F.lit(1)).alias("_n")), ["pair"], "_n")
+    met = salted_join(right, left, "pair", hot, spread_on=["other_set"]).select("tag_set", "other_set").distinct()
+    close = jaccard(own, F.split("other_set", _SEP))
+    double = met.withColumn("overlap", close).join(titled.select("other_set", "word"), "other_set")
+    found = single.unionByName(double.select("tag_set", "word", "overlap")).filter(F.col("overlap") > min_jaccard)
+    best = found.groupBy("tag_set", "word").agg(F.max("overlap").alias("overlap"))
+    return top_k(best, ["tag_set"], [F.desc("overlap"), F.asc("word")], k, "word", "_r").drop("_r")
+
+
+def overlap_of(pairs: DataFrame, titled: DataFrame, min_jaccard: float = 0.1) -> DataFrame:
+    """(source_id, word, tag_overlap) of given pairs, seen from the source (columns tag_set, src_title): its own document
+    does not count. Pairs that don't overlap enough are left out."""
+    alone = (F.col("word") == F.col("src_title")) & (F.col("other_set") == F.col("tag_set")) & (F.col("n_docs") <= 1)
+    usable = pairs.filter(F.col("tag_set") != "").select("source_id", "tag_set", "src_title", "word")
+    return (
+        usable.join(titled.filter(F.col("other_set") != ""), "word")
+        .filter(~F.coalesce(alone, F.lit(False)))
+        .withColumn("tag_overlap", jaccard(F.split("tag_set", _SEP), F.split("other_set", _SEP)))
+        .filter(F.col("tag_overlap") > min_jaccard)
+        .groupBy("source_id", "word")
+        .agg(F.max("tag_overlap").alias("tag_overlap"))
+    )
+
+
 def category_words(corpus: DataFrame) -> DataFrame:
     """(category, word, heat, hottest, next_heat): the word's two hottest documents in a category."""
     heat = F.round(hot_score(), 6)
@@ -100,15 +164,13 @@ def _own_heat() -> Column:
     return F.when(F.col("hottest") == F.col("doc_id"), F.col("next_heat")).otherwise(F.col("heat"))
 
 
-def _tag_channel(src: DataFrame, set_words: DataFrame, limit: int | None) -> DataFrame:
-    table = set_words
-    if limit is not None:
-        table = top_k(set_words, ["tag_set"], [F.desc("overlap"), F.asc("word")], limit + 1, "word", "_r").drop("_r")
-    rows = src.join(table, "tag_set").withColumn("tag_overlap", _own_overlap()).filter(F.col("tag_overlap").isNotNull())
-    out = rows.select("source_id", "word", "tag_overlap")
-    if limit is not None:
-        out = top_k(out, ["source_id"], [F.desc("tag_overlap"), F.asc("word")], limit, "word")
-    return out
+def _tag_channel(src: DataFrame, titled: DataFrame, limit: int, min_jaccard: float) -> DataFrame:
+    """The ``limit`` best words per source; one more per tag set makes up for the source's own title."""
+    rows = src.join(best_tag_words(src, titled, limit + 1, min_jaccard), "tag_set")
+    own = F.coalesce(F.col("word") == F.col("src_title"), F.lit(False))
+    others = rows.filter(~own).select("source_id", "word", F.col("overlap").alias("tag_overlap"))
+    out = others.unionByName(overlap_of(rows.filter(own), titled, min_jaccard))
+    return top_k(out, ["source_id"], [F.desc("tag_overlap"), F.asc("word")], limit, "word")
 
 
 def _category_channel(src: DataFrame, cat_words: DataFrame, limit: int | None) -> DataFrame:
@@ -125,10 +187,14 @@ def _category_channel(src: DataFrame, cat_words: DataFrame, limit: int | None) -
 def hint_tags(sources: DataFrame, corpus: DataFrame, min_jaccard: float = 0.1, limit: int | None = None) -> DataFrame:
     """(source_id, word, tag_overlap): titles of other documents whose tags overlap enough.
 
-    With ``limit`` the exact best words per source are taken per tag set before they meet the sources.
+    With ``limit`` the exact best words per source come from bounded lists; without it all overlapping sets are paired.
     """
     src = _described(sources, corpus)
-    out = _tag_channel(src, tag_set_words(src, corpus, min_jaccard), limit)
+    if limit is None:
+        rows = src.join(tag_set_words(src, corpus, min_jaccard), "tag_set").withColumn("tag_overlap", _own_overlap())
+        out = rows.filter(F.col("tag_overlap").isNotNull())
+    else:
+        out = _tag_channel(src, titled_sets(corpus), limit, min_jaccard)
     return out.select("source_id", "word", "tag_overlap", F.col("tag_overlap").alias("recall_score"))
 
 
@@ -171,7 +237,7 @@ def hint_queries(sources: DataFrame, query_stats: DataFrame, prefix_len: int = 6
 class HintTables:
     """Lookup tables shared by all rounds of :func:`hints`."""
 
-    set_words: DataFrame
+    titled: DataFrame
     cat_words: DataFrame
     cooccur: DataFrame | None
     query_words: DataFrame | None
@@ -188,10 +254,10 @@ def _score() -> Column:
     )
 
 
-def _ranked(src: DataFrame, tables: HintTables, limit: int) -> tuple[DataFrame, DataFrame]:
+def _ranked(src: DataFrame, tables: HintTables, limit: int, min_jaccard: float) -> tuple[DataFrame, DataFrame]:
     """Scored words per source, and (source_id, bound) where a channel was cut: the words of such a
     source are complete up to its bound, and only those are returned."""
-    tags = _tag_channel(src, tables.set_words, limit)
+    tags = _tag_channel(src, tables.titled, limit, min_jaccard)
     cats = _category_channel(src, tables.cat_words, limit)
     tag_key_ = F.struct((-F.round(F.col("tag_overlap") * (RECALL_W + TAG_W), 6)).alias("neg"), "word")
     cat_key_ = F.struct((-F.round(F.col("category_heat") * (0.1 * RECALL_W + CATEGORY_W), 6)).alias("neg"), "word")
@@ -215,13 +281,12 @@ def _ranked(src: DataFrame, tables: HintTables, limit: int) -> tuple[DataFrame,
     merged = rows.groupBy("source_id", "word").agg(
         F.max("cooccur_score").alias("cooccur_score"), F.max("query_score").alias("query_score")
     )
-    # Every word is looked up in the complete tag and category tables: the first channel wins even
+    # Every word is looked up for its tags and in the complete category table: the first channel wins even
     # where that channel's own list was cut before the word.
+    asked_words = merged.join(src, "source_id")
     full = (
-        merged.join(src, "source_id")
-        .join(tables.set_words, ["tag_set", "word"], "left")
+        asked_words.join(overlap_of(asked_words, tables.titled, min_jaccard), ["source_id", "word"], "left")
         .join(tables.cat_words.withColumnRenamed("category", "src_category"), ["src_category", "word"], "left")
-        .withColumn("tag_overlap", _own_overlap())
         .withColumn("category_heat", _own_heat())
     )
     found = F.coalesce("tag_overlap", "category_heat", "cooccur_score", "query_score").isNotNull()
@@ -260,14 +325,14 @@ def hints(
     """
     src = cut_lineage(_described(sources, corpus))
     tables = HintTables(
-        cut_lineage(tag_set_words(src, corpus, min_jaccard)),
+        cut_lineage(titled_sets(corpus)),
         cut_lineage(category_words(corpus)),
         None if cooccur is None else hint_cooccur(sources, cooccur, corpus),
         None if query_stats is None or "query" not in sources.columns else hint_queries(sources, query_stats),
     )
     limit, pending, done = first_limit, src, None
     while True:
-        rows, last = _ranked(pending, tables, limit)
+        rows, last = _ranked(pending, tables, limit, min_jaccard)
         item = F.struct((-F.col("score")).alias("neg"), "word", "source", byte_view("word").alias("bytes"))
         lists = rows.groupBy("source_id").agg(F.array_sort(F.collect_list(item)).alias("items"))
         empty = F.array().cast(lists.schema["items"].dataType)

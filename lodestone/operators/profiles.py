@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from lodestone.functions import arrays
 from lodestone.functions.text import nonempty
 from lodestone.operators.recall import DAY
+from lodestone.session import cut_lineage
 from lodestone.skew import MIN_HOT_ROWS, position_from_end, top_k
 
 # History lengths and interest steps per event type.
@@ -318,18 +319,17 @@ def interest_vectors(
 
     The average equals a weighted mean whose weights depend on the distance to the newest click, so
     it is one grouped sum; users with very many clicks are ranked in time slices. Vectors of another
-    size than the user's first one are skipped.
+    size than the user's first one are skipped. The events are read once; they are ranked with the size of their
+    vector alone, and the vectors (one per doc_id) meet the weights summed by user and document.
     """
-    hits = events.select("uid", "doc_id", "ts", *order).join(
-        vectors.select("doc_id", arrays.doubles("embedding").alias("v")), "doc_id"
-    )
-    hits = hits.filter(F.size("v") > 0)
-    first = hits.groupBy("uid").agg(F.min_by(F.size("v"), F.struct("ts", *order)).alias("_dim"))
+    sizes = vectors.select("doc_id", F.size("embedding").alias("n"))
+    hits = cut_lineage(events.select("uid", "doc_id", "ts", *order).join(sizes, "doc_id").filter("n > 0"))
+    first = hits.groupBy("uid").agg(F.min_by("n", F.struct("ts", *order)).alias("_dim"))
     if init is not None:
         start = init.filter(F.size("embedding") > 0).select("uid", arrays.doubles("embedding").alias("_v0"))
         first = first.join(start, "uid", "full").select("uid", F.coalesce(F.size("_v0"), F.lit(None).cast("int")).alias("_d0"), "_dim")
         first = first.select("uid", F.when(F.col("_d0") > 0, F.col("_d0")).otherwise(F.col("_dim")).alias("_dim"))
-    hits = hits.join(first, "uid").filter(F.size("v") == F.col("_dim")).drop("_dim")
+    hits = hits.join(first, "uid").filter(F.col("n") == F.col("_dim")).drop("_dim", "n")
     ranked = position_from_end(hits, "uid", "ts", [*order, "doc_id"], "back", min_rows)
     n = ranked.groupBy("uid").agg(F.max("back").alias("oldest"))
     started = F.lit(False)
@@ -338,9 +338,10 @@ def interest_vectors(
         started = F.coalesce("_has0", F.lit(False))
     fade = F.pow(F.lit(1.0 - w), F.col("back").cast("double"))
     is_first = (F.col("back") == F.col("oldest")) & ~started
-    rows = ranked.join(n, "uid").select(
-        "uid", "v", F.when(is_first, fade).otherwise(w * fade).alias("share")
-    )
+    share = F.when(is_first, fade).otherwise(w * fade)
+    weights = ranked.join(n, "uid").groupBy("uid", "doc_id").agg(F.sum(share).alias("share"))
+    table = vectors.select("doc_id", arrays.doubles("embedding").alias("v"))
+    rows = weights.join(table, "doc_id").select("uid", "v", "share")
     if init is not None:
         opening = start.join(n.select("uid", "oldest"), "uid", "left").select(
             "uid",
