@@ -39,3 +39,11 @@ def test_word_scan_reads_only_the_columns_it_needs(spark):
 
     plan = bindings.table(spark, SMALL, "part").filter("p_size > 3").select("p_name")._jdf.queryExecution().toString()
     assert "PushedFilters: [IsNotNull(p_size), GreaterThan(p_size,3)]" in plan
+
+
+def test_coarse_ranking_reads_the_asked_buckets_once(spark):
+    plan = entry.queries()["e4_coarse_rank"](spark, SMALL)._jdf.queryExecution().executedPlan().toString()
+    scans = [line for line in plan.splitlines() if "FileScan" in line]
+    postings = [line for line in scans if "field_weight" in line]
+    assert len(postings) == 1 and "dynamicpruning" in postings[0]
+    assert not any("content:" in line for line in scans)
