@@ -2,8 +2,8 @@
 
 Cells and codebooks are fitted once, on a bounded sample; every vector is then put into its nearest cell, with the
 rest of it coded in a few bytes. A search sends the queries to the stored cells: a task scores the codes of a cell
-with one table of inner products per query, checks the best of them against the vectors themselves, and passes
-on ``k`` per query, so no vector is shuffled.
+with one table of inner products per query and checks the best of them against the vectors themselves (short vectors
+are scored at once, which costs less than their codes), and passes on ``k`` per query, so no vector is shuffled.
 """
 
 from __future__ import annotations
@@ -13,11 +13,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.functions import arrays
-from lodestone.operators.vectors import unit_rows
+from lodestone.operators.vectors import SCORED_CELLS, best_pairs, unit_rows
 from lodestone.skew import top_k
 
 #: Rows the cells and codebooks are fitted on, at most.
@@ -25,6 +26,12 @@ SAMPLE = 50_000
 CODES = 256
 #: Bytes of query vectors sent to all tasks at a time; more queries are searched in several blocks.
 QUERY_BYTES = 32 << 20
+#: Bytes of a found pair, which count like query vectors: a task holds ``k`` pairs per query.
+PAIR_BYTES = 24
+#: Pairs a task gathers before it keeps the best of them.
+HELD_PAIRS = 2_000_000
+#: Dimensions from which scoring codes first costs less than scoring the vectors of a cell.
+CODED_DIM = 256
 #: The number of probed cells is the least that gives this share of ASKED sample rows' ten neighbours in the sample.
 RECALL, ASKED = 0.95, 500
 
@@ -137,13 +144,14 @@ def search(
 ) -> DataFrame:
     """The best ``k`` cosine neighbours found in each query's ``n_probe`` nearest cells (the index's own number by default).
 
-    Of every stored batch the ``checked`` best by code (4 k by default) are scored exactly. Queries whose vectors take
-    more than ``query_bytes`` are dealt into blocks, each searched on its own.
+    Of every stored batch the ``checked`` best by code (4 k by default) are scored exactly, short vectors without that
+    selection. A task keeps ``k`` pairs per query and takes further ones only where they reach the worst of those. Queries
+    whose vectors or pairs take more than ``query_bytes`` are dealt into blocks, each searched on its own.
     """
     dim = index.centres.shape[1]
     n_probe = min(len(index.centres), n_probe or index.n_probe)
     n = queries.agg(F.count(F.lit(1))).first()[0]
-    blocks = max(1, -(-n * 8 * dim // query_bytes))
+    blocks = max(1, -(-n * max(8 * dim, PAIR_BYTES * k) // query_bytes))
     found = None
     for block in range(blocks):
         part = queries if blocks == 1 else queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block)
@@ -152,6 +160,41 @@ def search(
     return top_k(found, ["query_id"], [F.desc("score"), F.asc("doc_id")], k, "doc_id")
 
 
+def _by_code(
+    q: np.ndarray, data: np.ndarray, code: pa.Array, centre: np.ndarray, codebooks: np.ndarray, k: int, least: np.ndarray, checked: int
+) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """As best_pairs, among the ``checked`` best rows by code of every query."""
+    subspaces, _, width = codebooks.shape
+    codes = np.frombuffer(b"".join(code.to_pylist()), np.uint8).reshape(len(data), subspaces)
+    step = max(1, SCORED_CELLS // max(len(data), checked * data.shape[1], codebooks.size // width))
+    for at in range(0, len(q), step):
+        some = q[at : at + step]
+        tables = np.einsum("qmw,mcw->qmc", _split(some, subspaces, width), codebooks)
+        close = np.repeat((some @ centre)[:, None], len(data), axis=1)
+        for m in range(subspaces):
+            close += tables[:, m, codes[:, m]]
+        best = np.sort(np.argpartition(-close, checked - 1, axis=1)[:, :checked], axis=1)
+        exact = np.round(np.einsum("qd,qrd->qr", some, data[best]), 6)
+        first = np.argsort(-exact, axis=1, kind="stable")[:, :k]
+        exact, best = np.take_along_axis(exact, first, 1), np.take_along_axis(best, first, 1)
+        good = exact >= least[at : at + step, None]
+        yield np.nonzero(good)[0] + at, best[good], exact[good]
+
+
+def _pruned(held: list[tuple], k: int, least: np.ndarray) -> tuple[list[tuple], np.ndarray]:
+    """The ``k`` best pairs of every query as one piece, and the score a further pair must reach."""
+    who, score = (np.concatenate([h[i] for h in held]) for i in (0, 2))
+    docs = pa.concat_arrays([h[1] for h in held])
+    pairs = pa.table({"who": who, "score": score, "doc": docs})
+    order = pc.sort_indices(pairs, [("who", "ascending"), ("score", "descending"), ("doc", "ascending")]).to_numpy()
+    who, score = who[order], score[order]
+    place = np.arange(len(who)) - np.searchsorted(who, who)
+    least = least.copy()
+    least[who[place == k - 1]] = score[place == k - 1]
+    kept = place < k
+    return [(who[kept], docs.take(pa.array(order[kept])), score[kept])], least
+
+
 def _search_block(
     queries: DataFrame, index: VectorCells, k: int, threshold: float, n_probe: int, checked: int
 ) -> DataFrame:
@@ -172,7 +215,8 @@ def _search_block(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         q, askers, bounds, centres, codebooks, ids = sent.value
-        subspaces, _, width = codebooks.shape
+        least = np.full(len(q), threshold)
+        held, n_held, n_best = [], 0, 0
         for batch in batches:
             cells = batch.column(3).to_numpy(zero_copy_only=False)
             for cell in np.unique(cells):
@@ -182,24 +226,22 @@ def _search_block(
                     continue
                 part = batch.take(pa.array(rows))
                 data = _matrix(part.column(1))
-                codes = np.frombuffer(b"".join(part.column(2).to_pylist()), np.uint8).reshape(len(rows), subspaces)
-                tables = np.einsum("qmw,mcw->qmc", _split(q[who], subspaces, width), codebooks)
-                close = np.repeat((q[who] @ centres[cell])[:, None], len(rows), axis=1)
-                for m in range(subspaces):
-                    close += tables[:, m, codes[:, m]]
-                best = np.argsort(-close, axis=1, kind="stable")[:, :checked]
-                exact = np.round(np.einsum("qd,qrd->qr", q[who], data[best]), 6)
-                first = np.argsort(-exact, axis=1, kind="stable")[:, :k]
-                exact = np.take_along_axis(exact, first, 1)
-                best = np.take_along_axis(best, first, 1)
-                good = exact >= threshold
+                if checked < len(rows) and data.shape[1] >= CODED_DIM:
+                    found = _by_code(q[who], data, part.column(2), centres[cell], codebooks, k, least[who], checked)
+                else:
+                    found = best_pairs(q[who], data, k, least[who])
+                for row, col, score in found:
+                    held.append((who[row], part.column(0).take(pa.array(col)), score))
+                    n_held += len(row)
+                    if n_held > n_best + HELD_PAIRS:
+                        held, least = _pruned(held, k, least)
+                        n_held = n_best = len(held[0][0])
+        if n_held:
+            who, docs, score = _pruned(held, k, least)[0][0]
+            for at in range(0, len(who), HELD_PAIRS):
+                some = slice(at, at + HELD_PAIRS)
                 yield pa.RecordBatch.from_arrays(
-                    [
-                        ids.take(pa.array(np.repeat(who, good.sum(1)))),
-                        part.column(0).take(pa.array(best[good])),
-                        pa.array(exact[good]),
-                    ],
-                    ["query_id", "doc_id", "score"],
+                    [ids.take(pa.array(who[some])), docs[some], pa.array(score[some])], ["query_id", "doc_id", "score"]
                 )
 
     return index.rows.select("doc_id", "embedding", "code", "cell").mapInArrow(

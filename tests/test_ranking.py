@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodestone import skew
-from lodestone.operators import filters, index, ranking, recall, vectors
+from lodestone.operators import filters, index, ranking, recall, vector_index, vectors
 
 CH = "query_id int, doc_id string, recall_score double"
 
@@ -242,6 +242,29 @@ def test_exact_and_cell_search(spark):
     assert hits / sum(len(x) for x in want.values()) >= 0.9
 
 
+def test_cell_search_keeps_k_pairs_per_query_and_task(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    m = rng.normal(size=(400, 8))
+    q, v = vec_table(spark, m[:60], "query_id"), vec_table(spark, m, "doc_id")
+    centres, books, _ = vector_index.fit(v, 16, 4)
+    rows = vector_index.encode(v, centres, books).coalesce(1).sortWithinPartitions("cell", "doc_id")
+    cells = vector_index.VectorCells(centres, books, 4, rows)
+    # Every cell is probed by all queries, but the one task passes on no more than k pairs of each.
+    passed = vector_index._search_block(q, cells, 5, 0.3, 16, 400)
+    assert passed.groupBy("query_id").count().agg(F.max("count")).first()[0] <= 5
+    want = vectors.recall_vector(q, v, 5, 0.3).collect()
+    assert sorted(vector_index.search(q, cells, 5, 0.3, 16, 400).collect()) == sorted(want)
+    # Small pieces everywhere give the same; many equal vectors keep the smallest ids.
+    monkeypatch.setattr(vector_index, "HELD_PAIRS", 7)
+    monkeypatch.setattr(vectors, "SCORED_CELLS", 50)
+    assert sorted(vector_index.search(q, cells, 5, 0.3, 16, 400, query_bytes=1000).collect()) == sorted(want)
+    same = vec_table(spark, np.ones((300, 8)), "doc_id")
+    centres, books, _ = vector_index.fit(same, 2, 4)
+    cells = vector_index.VectorCells(centres, books, 2, vector_index.encode(same, centres, books))
+    got = vector_index.search(vec_table(spark, np.ones((3, 8)), "query_id"), cells, 4, 0.3, 2).collect()
+    assert sorted((r.query_id, r.doc_id) for r in got) == [(i, j) for i in range(3) for j in range(4)]
+
+
 def test_vector_search_fixture_and_odd_vectors(spark):
     q = spark.createDataFrame([(1, [1.0, 0.0])], "query_id int, embedding array<double>")
     v = spark.createDataFrame([("a", [1.0, 0.0]), ("b", [0.9, 0.1]), ("z", [0.0, 0.0]), ("short", [1.0])], "doc_id string, embedding array<double>")
