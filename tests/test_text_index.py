@@ -175,3 +175,33 @@ def test_vector_snapshot_checks_size(spark):
     assert snapshots.read_vectors(spark, path, 2).count() == 1
     with pytest.raises(PySparkException):
         snapshots.read_vectors(spark, path, 3).collect()
+
+
+def test_matches_are_summed_where_the_documents_are(spark, docs, monkeypatch):
+    words = [[f"w{(i * 7 + j * j) % 23}" for j in range(i % 9 + 1)] for i in range(60)]
+    ix = index.build_index(docs(*[{"content": " ".join(w)} for w in words]))
+    asked = [[f"w{j}" for j in range(n)] + ["nowhere"] for n in range(1, 12)] + [["w1", "w2"]]
+    q = spark.createDataFrame(list(enumerate(asked)), "query_id int, terms array<string>")
+    want = {}
+    for i, terms in enumerate(asked):
+        hits = {f"d{j}": len(set(terms) & set(w)) for j, w in enumerate(words)}
+        want[i] = sorted(((-n, d) for d, n in hits.items() if n), key=lambda x: x)[:5]
+
+    def found():
+        rows = index.search_or(q, ix, 5).orderBy("query_id", "rank").collect()
+        return {i: [(-r.matched, r.doc_id) for r in rows if r.query_id == i] for i in range(len(asked))}
+
+    assert found() == want
+    # Grouping needs no exchange of matches: at most five documents per query leave each task.
+    part = index.match_documents(index.query_terms(q), ix, {"n": F.lit(1)}, lambda s: s["n"], 5)
+    left = part.withColumn("p", F.spark_partition_id()).groupBy("p", "query_id").count()
+    assert left.agg(F.max("count")).first()[0] <= 5
+    both = {(11, f"d{j}") for j, w in enumerate(words) if {"w1", "w2"} <= set(w)}
+    assert {(r.query_id, r.doc_id) for r in index.search_and(q, ix).collect()} == both and both
+    # Small pieces and the shuffled path give the same.
+    for name, value in (("TASK_CELLS", 1), ("HELD_ROWS", 3), ("TASK_POSTINGS", 10)):
+        monkeypatch.setattr(index, name, value)
+    assert found() == want
+    monkeypatch.setattr(index, "fits", lambda *a: False)
+    assert found() == want
+    assert {(r.query_id, r.doc_id) for r in index.search_and(q, ix).collect()} == both
