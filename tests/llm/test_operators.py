@@ -235,6 +235,25 @@ def test_network_separates_keys_from_words():
     assert len(secrets.windows("a" * 1000, 0, 1000)) == 16
 
 
+def test_secret_network_learns_from_every_finding(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    pick = lambda chars, n: "".join(rng.choice(list(chars), n))
+    rows = [(i, "token = " + pick("0123456789abcdef", 24) if i % 2 else "see " + pick("aeiou", 18) + "9x here") for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert secrets.findings(docs, "text").count() == sum(len(secrets.base_spans(t)) + len([c for c in secrets.candidates(t, True) if not secrets.overlaps(secrets.base_spans(t), *c)]) for _, t in rows)
+    monkeypatch.setattr(secrets, "SHARD", 64)
+    seen = []
+    before = secrets.trained
+    monkeypatch.setattr(secrets, "trained", lambda found, *a: seen.append(found) or before(found, *a))
+    net = secrets.fit(docs)
+    held = [r for r in secrets.findings(docs, "text").selectExpr("xxhash64(s, a, b, label) h", "1 n").collect() if r.h % 3 == 0]
+    learned = seen[0].agg(F.sum("n"), F.count_distinct("shard")).first()
+    assert learned[0] + len(held) == secrets.findings(docs, "text").count() and learned[1] > 1
+    assert net.recall >= 0.98 and net.precision > 0.9
+    again = secrets.fit(docs.repartition(7))
+    assert np.allclose(net.kernel, again.kernel, atol=1e-4) and abs(net.threshold - again.threshold) < 1e-3
+
+
 # -- 4: scoring -----------------------------------------------------------------------------------
 
 
