@@ -258,17 +258,18 @@ def shown(rows: list[tuple[bytes, int, int, int, int]]) -> tuple[np.ndarray, np.
     return encode([([2] * a + list(s[a:b]) + [2] * (len(s) - b) if blank else list(s), a, b) for s, a, b, blank, _ in rows])
 
 
-def per_shard(found: DataFrame, work, schema: str) -> DataFrame:
+def per_shard(found: DataFrame, shards: int, work, schema: str) -> DataFrame:
     """``work(rows)`` on each shard of findings, in an order that doesn't depend on how tasks met them."""
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
         rows = sorted(zip(*(table[c].to_pylist() for c in ("s", "a", "b", "blank", "label", "n"))))
         return work([r[:5] for r in rows], np.array([r[5] for r in rows], np.float32))
 
-    return found.groupBy("shard").applyInArrow(run, schema)
+    # A given number keeps small shards from being put into one task.
+    return found.repartition(shards, "shard").groupBy("shard").applyInArrow(run, schema)
 
 
-def trained(found: DataFrame, share: float, start: Network) -> Network:
+def trained(found: DataFrame, shards: int, share: float, start: Network) -> Network:
     """The network after ROUNDS rounds: each shard trains a copy on its own findings, and the copies are averaged."""
     spark, net = found.sparkSession, start
     names = ("embed", "kernel", "bias", "out")
@@ -284,7 +285,7 @@ def trained(found: DataFrame, share: float, start: Network) -> Network:
             at = np.arange(len(flat), dtype=np.int32)
             return pa.table({"at": at, "total": flat * n.sum(), "n": np.full(len(flat), float(n.sum()))})
 
-        parts = per_shard(found, work, "at int, total double, n double")
+        parts = per_shard(found, shards, work, "at int, total double, n double")
         # Sums of doubles depend on their order; rounding makes rounds repeatable.
         mean = parts.groupBy("at").agg(F.round(F.sum("total") / F.sum("n"), 9).alias("v")).orderBy("at").toArrow()["v"].to_numpy()
         cuts = np.cumsum([getattr(net, k).size for k in names])
@@ -312,8 +313,9 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text: str = "text", recall: flo
     rows = kept.withColumn("blank", blank)
     learned = rows.filter(~held).withColumn("shard", F.pmod(F.shiftright("h", 16), F.lit(shards)).cast("int"))
     share = of(False, 1)[1] / (of(False, 0)[1] + of(False, 1)[1])
-    net = trained(learned, share, fresh())
-    judged = rows.filter(held).withColumn("shard", F.pmod(F.shiftright("h", 16), F.lit(max(1, shards // 2))).cast("int"))
+    net = trained(learned, shards, share, fresh())
+    halves = max(1, shards // 2)
+    judged = rows.filter(held).withColumn("shard", F.pmod(F.shiftright("h", 16), F.lit(halves)).cast("int"))
     sent = docs.sparkSession.sparkContext.broadcast(net)
 
     def work(part: list, n: np.ndarray) -> pa.Table:
@@ -321,7 +323,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text: str = "text", recall: flo
         return pa.table({"z": np.round(z.astype(np.float64), 3), "label": np.array([r[4] for r in part], np.int32), "n": n.astype(np.int64)})
 
     # Scores at three decimals are the rows of a table whose size does not follow the findings.
-    scores = per_shard(judged, work, "z double, label int, n bigint").groupBy("z", "label").agg(F.sum("n").alias("n")).orderBy("z", "label").toArrow()
+    scores = per_shard(judged, halves, work, "z double, label int, n bigint").groupBy("z", "label").agg(F.sum("n").alias("n")).orderBy("z", "label").toArrow()
     return calibrate_scores(net, *(scores[c].to_numpy().astype(np.float64) for c in ("z", "label", "n")), recall)
 
 
