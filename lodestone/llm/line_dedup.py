@@ -3,8 +3,14 @@
 Segment-partition join: a line is cut into threshold + 1 segments, so whatever lies within the threshold
 holds one of them unchanged near its place. Lines are indexed by (length, segment number, segment); each
 line looks its substrings up for its own length and the lengths up to the threshold below, only at the
-shifts that some alignment within the threshold allows. Candidates must have nearly equal counts of
-frequent letters and are then verified by a banded bit-parallel edit distance. Built-in expressions only.
+shifts that some alignment within the threshold allows. Only lines behind a key that several lines share go
+on, with a sketch: whether the number of their letter pairs in each of 128 buckets is odd. An edit changes four letter
+pairs at most, so sketches of lines within the threshold differ in few bits; where a key is shared by many lines,
+they also have to agree in one of as many parts of the sketch, plus one, as bits can differ. What passes is verified
+by a banded bit-parallel edit distance. Built-in expressions only.
+
+A line needs one earlier line to go. So every line first meets the earliest of its group, and only lines that are left
+after that meet all earlier ones.
 
 A line is named by its hash; its first occurrence is the one of lowest (id, line number). A line that
 copies or nearly copies a line with an earlier first occurrence is removed everywhere, other lines stay
@@ -17,7 +23,7 @@ equal id and text count as one document; other columns are kept as they are.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.llm.common import BLANKS, let, stored
@@ -26,8 +32,14 @@ MIN_CHARS = 20
 THRESHOLD = 2
 #: Lines of more than 1/HOT_SHARE of all rows; there are fewer than that, so their list is broadcast.
 HOT_SHARE = 1000
-#: Frequent letters whose counts are compared before texts are fetched.
-LETTERS = "etanoirs"
+#: Lines whose keys share a partition, twelve keys each, so that sorting them needs no disk.
+LINES_PER_PART = 30_000
+#: Lines behind one key that meet without having a part of their sketches in common.
+SMALL_GROUP = 64
+#: Bits of a sketch, in two words.
+SKETCH = 128
+#: Lines are sent to all tasks, to filter documents before they move, up to this many.
+SENT_LINES = 500_000
 
 
 def occurrences(docs: DataFrame, id_col: str, text: str, min_chars: int) -> DataFrame:
@@ -44,28 +56,39 @@ def name(line: str) -> Column:
     return F.xxhash64(line)
 
 
-def letter_counts(line: str) -> Column:
-    """Counts of eight letters, one byte each; counts stop at 127 and so never differ more than in truth."""
+def sketch(line: str) -> Column:
+    """(lo, hi): for each of 128 buckets whether the pairs of neighbouring characters in it are odd in number."""
+
+    def flipped(word, x, half):
+        bit = F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(F.lit(63)).cast("int"))
+        return F.when(F.shiftright(x, 6).bitwiseAND(F.lit(1)) == half, word.bitwiseXOR(bit)).otherwise(word)
+
+    def folded(chars):
+        pairs = F.transform(F.slice(chars, 2, F.greatest(F.size(chars) - 1, F.lit(0))), lambda c, i: F.xxhash64(F.get(chars, i), c))
+        zero = F.lit(0).cast("long")
+        return F.aggregate(
+            pairs,
+            F.struct(zero.alias("lo"), zero.alias("hi")),
+            lambda s, x: F.struct(flipped(s["lo"], x, 0).alias("lo"), flipped(s["hi"], x, 1).alias("hi")),
+        )
 
-    def packed(low):
-        size, out = F.length(low), F.lit(0).cast("long")
-        for i, c in enumerate(LETTERS):
-            n = F.least(size - F.length(F.replace(low, F.lit(c))), F.lit(127)).cast("long")
-            out = out.bitwiseOR(F.shiftleft(n, 8 * i))
-        return out
+    return let(F.regexp_extract_all(F.col(line), F.lit("(?s)."), F.lit(0)), folded)
 
-    return let(F.lower(line), packed)
 
+def could_be_near(a: Column, b: Column, t: int) -> Column:
+    """Whether lengths and sketches allow an edit distance of t; a substitution changes four pairs, other edits three."""
+    apart = F.bit_count(a["lo"].bitwiseXOR(b["lo"])) + F.bit_count(a["hi"].bitwiseXOR(b["hi"]))
+    return (F.abs(a["size"] - b["size"]) <= t) & (apart <= 4 * t)
 
-def letters_near(a: Column, b: Column, limit: int) -> Column:
-    """An edit changes at most two counts by one each."""
-    def count(x, i):
-        return F.shiftright(x, 8 * i).bitwiseAND(F.lit(127))
 
-    total = F.abs(count(a, 0) - count(b, 0))
-    for i in range(1, len(LETTERS)):
-        total = total + F.abs(count(a, i) - count(b, i))
-    return total <= 2 * limit
+def parts_of(lo: Column, hi: Column, t: int) -> Column:
+    """Hashes of 4 t + 1 parts of a sketch; of lines within t, at least one is equal."""
+    n, out = 4 * t + 1, []
+    for j in range(n):
+        low, high = (sum(1 << b for b in range(64) if (b + base) % n == j) for base in (0, 64))
+        signed = [m - (1 << 64) if m >> 63 else m for m in (low, high)]
+        out.append(F.xxhash64(F.lit(j), lo.bitwiseAND(F.lit(signed[0]).cast("long")), hi.bitwiseAND(F.lit(signed[1]).cast("long"))))
+    return F.array(*out)
 
 
 def segment(length: Column, i: int, t: int) -> tuple[Column, Column]:
@@ -159,60 +182,101 @@ def first_lines(lines: DataFrame) -> DataFrame:
     )
 
 
-def near_pairs(lines: DataFrame, firsts: DataFrame, t: int) -> DataFrame:
-    """(a, b) of distinct lines that share a segment and have nearly equal letter counts, a not shorter."""
-    limit = firsts.agg(F.sum("copies") / HOT_SHARE).first()[0] or 0.0
-    hot = firsts.filter(F.col("copies") > limit).select("h", "first")
+def shared_keys(lines: DataFrame, firsts: DataFrame, t: int) -> DataFrame:
+    """(k, h, own, n) of lines behind keys that several lines have and one is indexed under; n: how many."""
+    total = firsts.agg(F.sum("copies")).first()[0] or 0
+    hot = firsts.filter(F.col("copies") > total / HOT_SHARE).select("h", "first")
     # Of a hot line only the first occurrence is looked up, so no key gathers its copies.
     seen = (
         lines.withColumn("h", name("line"))
         .join(F.broadcast(hot), "h", "left")
         .filter("first is null or (d = first.d and at = first.at)")
-        .select("h", "line", letter_counts("line").alias("letters"))
+        .select("h", "line")
+    )
+    parts = max(int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions")), total // LINES_PER_PART)
+    rows = seen.select("h", F.explode(keys("line", t)).alias("x")).select("h", "x.k", "x.own").repartition(parts, "k")
+    group = Window.partitionBy("k")
+    return (
+        rows.withColumns({"lo": F.min("h").over(group), "hi": F.max("h").over(group), "any": F.max("own").over(group)})
+        .filter("lo <> hi and any = 1")
+        .groupBy("k", "h")
+        .agg(F.max("own").alias("own"))
+        .withColumn("n", F.count(F.lit(1)).over(group))
     )
-
-    rows = seen.select("h", "letters", F.explode(keys("line", t)).alias("x")).select("h", "letters", "x.k", "x.own")
-    # Both sides of the join read one exchange: that a line is indexed is known only after grouping.
-    by_key = rows.repartition("k").groupBy("k", "h").agg(F.min("letters").alias("letters"), F.max("own").alias("own"))
-    left = by_key.select("k", F.col("h").alias("a"), F.col("letters").alias("la"), F.col("own").alias("oa"))
-    right = by_key.filter("own = 1").select(F.col("k").alias("kb"), F.col("h").alias("b"), F.col("letters").alias("lb"))
-    once = (F.col("a") < F.col("b")) | ((F.col("oa") == 0) & (F.col("a") != F.col("b")))
-    joined = left.join(right, (left.k == right.kb) & once & letters_near(F.col("la"), F.col("lb"), t))
-    return joined.select("a", "b").distinct()
 
 
-def redundant(docs: DataFrame, id_col: str, text: str, min_chars: int, t: int) -> DataFrame:
-    """(d, drop): for every document that loses lines, their numbers."""
-    lines = occurrences(docs, id_col, text, min_chars)
-    firsts = stored(first_lines(lines), "first-lines")
-    pairs = stored(near_pairs(lines, firsts, t), "line-pairs")
-    place = firsts.select("h", "first")
-    placed = pairs.join(place.withColumnsRenamed({"h": "a", "first": "fa"}), "a").join(
-        place.withColumnsRenamed({"h": "b", "first": "fb"}), "b"
-    )
-    named = pairs.select(F.col("a").alias("h")).unionByName(pairs.select(F.col("b").alias("h"))).distinct()
-    ends = named.join(place, "h").select(F.col("first.d").alias("d"), F.col("first.at").alias("at"))
-    wanted = ends.groupBy("d").agg(F.collect_set("at").alias("ats"))
-    texts = (
+def texts_of(docs: DataFrame, id_col: str, text: str, named: DataFrame) -> DataFrame:
+    """(h, first, line, size, lo, hi) of the lines in ``named`` (h, first)."""
+    wanted = named.groupBy(F.col("first.d").alias("d")).agg(F.collect_set("first.at").alias("ats"))
+    if named.count() <= SENT_LINES:
+        wanted = F.broadcast(wanted)
+    found = (
         docs.select(F.col(id_col).alias("d"), F.col(text).alias("t"))
         .join(wanted, "d")
-        .select("d", let(F.split("t", "\n"), lambda x: F.transform("ats", lambda i: F.struct(i.alias("at"), F.btrim(F.get(x, i), F.lit(BLANKS)).alias("line")))).alias("x"))
-        .select("d", F.explode("x").alias("x"))
-        .select(F.struct("d", "x.at").alias("f"), F.col("x.line").alias("line"))
+        .select(let(F.split("t", "\n"), lambda x: F.transform("ats", lambda i: F.btrim(F.get(x, i), F.lit(BLANKS)))).alias("x"))
+        .select(F.explode("x").alias("line"))
         .filter("line is not null")
-        .withColumn("h", name("line"))
+        .select(name("line").alias("h"), "line")
+        .join(named, "h")
+        .groupBy("h", "first")
+        .agg(F.min("line").alias("line"))
     )
-    left = placed.join(texts.select(F.col("h").alias("a"), F.col("line").alias("x")).distinct(), "a")
-    both = left.join(texts.select(F.col("h").alias("b"), F.col("line").alias("y")).distinct(), "b")
-    longer = F.length("x") >= F.length("y")
-    near = (
-        both.select("a", "b", "fa", "fb", F.when(longer, F.col("x")).otherwise(F.col("y")).alias("p"), F.when(longer, F.col("y")).otherwise(F.col("x")).alias("q"))
-        .filter(F.length("p") - F.length("q") <= t)
+    return found.select("h", "first", "line", F.length("line").alias("size"), sketch("line").alias("s")).select("h", "first", "line", "size", "s.lo", "s.hi")
+
+
+def near_lines(pairs: DataFrame, texts: DataFrame, t: int) -> DataFrame:
+    """(h) of the lines a in ``pairs`` (a, b) that lie within t of b."""
+    left = pairs.join(texts.select(F.col("h").alias("a"), F.col("line").alias("x"), F.col("size").alias("m")), "a")
+    both = left.join(texts.select(F.col("h").alias("b"), F.col("line").alias("y"), F.col("size").alias("n")), "b")
+    longer = F.col("m") >= F.col("n")
+    return (
+        both.select("a", F.when(longer, F.col("x")).otherwise(F.col("y")).alias("p"), F.when(longer, F.col("y")).otherwise(F.col("x")).alias("q"))
         .filter(edit_distance(F.col("p"), F.col("q"), t) <= t)
-        .select(F.when(F.col("fa") < F.col("fb"), F.col("b")).otherwise(F.col("a")).alias("h"))
+        .select(F.col("a").alias("h"))
+        .distinct()
+    )
+
+
+def met_first(members: DataFrame, t: int) -> DataFrame:
+    """(a, b): every line with the earliest line of its group, and the earliest that is indexed there."""
+    group = Window.partitionBy("k", "part")
+    return (
+        members.withColumn("lead", F.min(F.when(F.col("own") == 1, F.col("me"))).over(group))
+        .withColumn("head", F.when(F.col("own") == 1, F.min("me").over(group)))
+        .select("me", F.explode(F.array_compact(F.array("lead", "head"))).alias("o"))
+        .filter((F.col("o.first") < F.col("me.first")) & could_be_near(F.col("me"), F.col("o"), t))
+        .select(F.col("me.h").alias("a"), F.col("o.h").alias("b"))
         .distinct()
     )
-    gone = stored(near, "near-lines").withColumn("near", F.lit(True))
+
+
+def met_all(members: DataFrame, gone: DataFrame, t: int) -> DataFrame:
+    """(a, b): every line that is not among ``gone`` with all earlier lines of its group."""
+    me = members.join(gone, F.col("me.h") == gone.h, "left_anti").select("k", "part", "me", "own")
+    other = members.select(F.col("k").alias("kb"), F.col("part").alias("pb"), F.col("me").alias("o"), F.col("own").alias("oo"))
+    same = (F.col("k") == F.col("kb")) & (F.col("part") == F.col("pb"))
+    earlier = (F.col("o.first") < F.col("me.first")) & ((F.col("own") == 1) | (F.col("oo") == 1))
+    joined = me.join(other, same & earlier & could_be_near(F.col("me"), F.col("o"), t))
+    return joined.select(F.col("me.h").alias("a"), F.col("o.h").alias("b")).distinct()
+
+
+def redundant(docs: DataFrame, id_col: str, text: str, min_chars: int, t: int) -> DataFrame:
+    """(d, drop): for every document that loses lines, their numbers."""
+    lines = occurrences(docs, id_col, text, min_chars)
+    firsts = stored(first_lines(lines), "first-lines")
+    shared = stored(shared_keys(lines, firsts, t), "shared-keys")
+    named = stored(shared.select("h").distinct().join(firsts.select("h", "first"), "h"), "shared-lines")
+    texts = stored(texts_of(docs, id_col, text, named), "line-texts")
+    part = F.when(F.col("n") > SMALL_GROUP, parts_of(F.col("lo"), F.col("hi"), t)).otherwise(F.array(F.lit(0).cast("long")))
+    members = stored(
+        shared.join(texts.drop("line"), "h").select(
+            "k", F.explode(part).alias("part"), "own", F.struct("first", "h", "size", "lo", "hi").alias("me")
+        ),
+        "line-groups",
+    )
+    near = stored(near_lines(met_first(members, t), texts, t), "near-lines")
+    rest = stored(near_lines(met_all(members, near, t), texts, t), "near-lines")
+    gone = near.unionByName(rest).withColumn("near", F.lit(True))
     known = firsts.join(gone, "h", "left").filter("copies > 1 or near")
     return (
         lines.select("d", "at", name("line").alias("h"))

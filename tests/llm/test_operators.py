@@ -489,6 +489,48 @@ def test_lines_with_edits(spark, edges, empty):
     assert line_dedup.dedup_lines(empty).count() == 0
 
 
+def test_lines_of_one_template_meet_only_where_they_can_be_near(spark):
+    """Every line shares a segment with all others, but few pairs can be within the threshold."""
+    rng = random.Random(21)
+    head = " ".join("".join(rng.choice("abcdefghijklmnop") for _ in range(6)) for _ in range(20))
+    made = [head + " " + "".join(rng.choice("qrstuvwxyz") for _ in range(40)) for _ in range(100)]
+    near = []
+    for x in made[:40]:
+        at = rng.randrange(len(head) + 1, len(x))
+        near.append(x[:at] + rng.choice("QRS") + x[at + 1 :])
+    docs = list(enumerate(made + near))
+    df = spark.createDataFrame(docs, "doc_id bigint, text string")
+    lines = line_dedup.occurrences(df, "doc_id", "text", 20)
+    shared = line_dedup.shared_keys(lines, line_dedup.first_lines(lines), 2)
+    assert shared.agg(F.max("n")).first()[0] == len(docs) > line_dedup.SMALL_GROUP
+    named = line_dedup.first_lines(lines).select("h", "first")
+    texts = line_dedup.texts_of(df, "doc_id", "text", named)
+    part = F.explode(line_dedup.parts_of(F.col("lo"), F.col("hi"), 2)).alias("part")
+    members = shared.join(texts, "h").select("k", part, "own", F.struct("first", "h", "size", "lo", "hi").alias("me"))
+    pairs = line_dedup.met_all(members, named.limit(0), 2).count()
+    assert len(near) <= pairs <= 2 * len(near)
+    got = rows(line_dedup.dedup_lines(df).select("doc_id", "text"))
+    assert sorted(got) == sorted(brute.dedup_lines(docs))
+    assert sum(x == "" for _, x in got) == len(near)
+
+
+def test_sketches_of_near_lines_differ_in_few_bits(spark):
+    rng = random.Random(22)
+    made = []
+    for _ in range(200):
+        a = [rng.choice("abé\U0001f600 ") for _ in range(rng.randint(20, 60))]
+        b = list(a)
+        for _ in range(2):
+            at = rng.randrange(len(b))
+            b[at : at + rng.randint(0, 1)] = [rng.choice("abc")] * rng.randint(0, 1)
+        made.append(("".join(a), "".join(b)))
+    df = spark.createDataFrame(made, "a string, b string")
+    of = lambda c: F.struct(F.length(c).alias("size"), line_dedup.sketch(c)["lo"].alias("lo"), line_dedup.sketch(c)["hi"].alias("hi"))
+    both = df.select(of("a").alias("x"), of("b").alias("y"))
+    equal = F.arrays_overlap(*(line_dedup.parts_of(F.col(f"{c}.lo"), F.col(f"{c}.hi"), 2) for c in "xy"))
+    assert both.filter(line_dedup.could_be_near(F.col("x"), F.col("y"), 2) & equal).count() == len(made)
+
+
 # -- 8: passages ----------------------------------------------------------------------------------
 
 
