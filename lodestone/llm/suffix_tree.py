@@ -38,8 +38,8 @@ LEAST_CONTEXT, LEAST_STRING = 5, 2
 HOT_STRINGS = 600_000
 DISCOUNT = 0.6
 FOLDS, HELD_OUT = 5, 1
-#: Strings that a task holds before it hands their counts on.
-HELD_GRAMS = 3_000_000
+#: Strings that a task holds before it hands their counts on; Spark adds them up further before they move.
+HELD_GRAMS = 800_000
 #: Bits of a bitmap of hashes.
 BITMAP = 27
 #: Hashes of the start and the end.
@@ -104,6 +104,17 @@ def bitmap_of(keys: DataFrame) -> np.ndarray:
     return out
 
 
+def string_counts(held: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(context, word, count) of the distinct strings in ``held``, equal contexts side by side; empties ``held``."""
+    c, w = (np.concatenate(x) for x in zip(*held))
+    held.clear()
+    _, at, n = np.unique(extended(c, w), return_index=True, return_counts=True)
+    # Equal contexts side by side are written in less space.
+    order = np.argsort(c[at])
+    at = at[order]
+    return c[at], w[at], n[order]
+
+
 def count_strings(docs: DataFrame, id_col: str, text: str, level: int, contexts: np.ndarray | None, suffixes: np.ndarray | None) -> DataFrame:
     """(c, w, n) of strings of ``level`` words and one more in training documents; level 1 also counts words, with c null.
 
@@ -136,11 +147,7 @@ def count_strings(docs: DataFrame, id_col: str, text: str, level: int, contexts:
 
     def rows(held: list, single: list) -> Iterator[pa.RecordBatch]:
         if held:
-            c, w = (np.concatenate(x) for x in zip(*held))
-            _, at, n = np.unique(extended(c, w), return_index=True, return_counts=True)
-            # Equal contexts side by side are written in less space.
-            order = np.argsort(c[at])
-            yield from batches_of(c[at][order], w[at][order], n[order])
+            yield from batches_of(*string_counts(held))
         if single:
             w, n = np.unique(np.concatenate(single), return_counts=True)
             yield from batches_of(None, w, n)

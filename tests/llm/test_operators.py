@@ -6,6 +6,7 @@ import hashlib
 import os
 import random
 import re
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -353,6 +354,20 @@ def test_tables_equal_the_tree_and_grow_with_the_corpus(spark):
         assert abs(got[i] - want) < 1e-6 * abs(want), i
 
 
+def test_a_task_counts_strings_in_bounded_memory():
+    rng = np.random.default_rng(3)
+    size = suffix_tree.HELD_GRAMS
+    c, w = (rng.integers(0, 1 << 63, size).astype(np.uint64) for _ in range(2))
+    tracemalloc.start()
+    held = [(c.copy(), w.copy()), (c[:5].copy(), w[:5].copy())]
+    got_c, got_w, n = suffix_tree.string_counts(held)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert not held and len(got_c) == len(got_w) == size and n.sum() == size + 5
+    assert (np.diff(got_c.astype(np.float64)) >= 0).all()
+    assert peak < 100e6
+
+
 # -- 5: quality -----------------------------------------------------------------------------------
 
 
