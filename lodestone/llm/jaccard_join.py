@@ -63,16 +63,20 @@ def level_signatures(s: np.ndarray, rare: np.ndarray, m: int) -> tuple[np.ndarra
     with np.errstate(over="ignore"):
         scrambled = mix(s + np.uint64(m))
         part = scrambled & np.uint64(m - 1)
-        order = np.argsort(part)
+        # Small numbers are sorted by their digits.
+        order = np.argsort(part.astype(np.uint16), kind="stable") if m <= 1 << 16 else np.argsort(part)
         part = part[order]
-        starts = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
+        fresh = np.empty(len(part), bool)
+        fresh[0] = True
+        np.not_equal(part[1:], part[:-1], out=fresh[1:])
+        starts = np.flatnonzero(fresh)
         content = np.add.reduceat(scrambled[order], starts)
         tokens = mix(content ^ mix((part[starts] << np.uint64(32)) + np.uint64(m)))
         anything_rare = np.logical_or.reduceat(rare[order], starts)
     first = len(s) // 3 + 1
     # Frequent tokens sort last: the highest bit is the order's first key.
-    key = (tokens >> np.uint64(1)) | (np.uint64(1) << np.uint64(63)) * (~anything_rare).astype(np.uint64)
     if len(tokens) > first:
+        key = (tokens >> np.uint64(1)) | ((~anything_rare).astype(np.uint64) << np.uint64(63))
         tokens = tokens[np.argpartition(key, first - 1)[:first]]
     return tokens, len(starts) <= len(s) // 3
 
@@ -91,7 +95,8 @@ def signatures(s: np.ndarray, frequent: np.ndarray) -> np.ndarray:
         risky |= risk
     if risky:
         out.append(mix(s ^ _ALONE))
-    return np.unique(np.concatenate(out))
+    # Tokens of one level differ, and so do those of two levels.
+    return np.concatenate(out)
 
 
 def sketch(s: np.ndarray) -> bytes:
@@ -109,29 +114,42 @@ def could_be_alike(n: np.ndarray, x: np.ndarray, m: np.ndarray, y: np.ndarray) -
     return 7 * apart <= n.astype(np.int64) + m
 
 
-def shingled(docs: DataFrame, id_col: str, text: str) -> DataFrame:
-    """(id, n_shingles, node, sketch) of every row; node is the class of equal sets, null for empty ones."""
+def shingled(docs: DataFrame, id_col: str, text: str, frequent: np.ndarray) -> DataFrame:
+    """(id, n_shingles, node, sketch, sigs) of every row; node is the class of equal sets, null for empty ones.
+
+    Signatures stand in the first row of a class that a task meets, and only where there is an id.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for batch in batches:
-            sizes, nodes, sketches = [], [], []
-            for value in batch.column(1):
+            sizes, nodes, sketches, sigs = [], [], [], []
+            for known, value in zip(batch.column(0).is_valid().to_pylist(), batch.column(1)):
                 s = shingle_set(value.as_py())
                 sizes.append(len(s))
-                nodes.append(int(class_of(s).view(np.int64)) if len(s) else None)
-                sketches.append(sketch(s) if len(s) else None)
+                if not len(s):
+                    for column in (nodes, sketches, sigs):
+                        column.append(None)
+                    continue
+                node = int(class_of(s).view(np.int64))
+                nodes.append(node)
+                sketches.append(sketch(s))
+                sigs.append(signed(signatures(s, frequent)) if known and node not in seen else None)
+                if known:
+                    seen.add(node)
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0),
                     pa.array(sizes, pa.int64()),
                     pa.array(nodes, pa.int64()),
                     pa.array(sketches, pa.binary()),
+                    pa.array(sigs, pa.list_(pa.int64())),
                 ],
-                ["id", "n_shingles", "node", "sketch"],
+                ["id", "n_shingles", "node", "sketch", "sigs"],
             )
 
     slim = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text).cast("binary").alias("t"))
-    return slim.mapInArrow(run, "id bigint, n_shingles bigint, node bigint, sketch binary")
+    return slim.mapInArrow(run, "id bigint, n_shingles bigint, node bigint, sketch binary, sigs array<bigint>")
 
 
 def frequent_shingles(docs: DataFrame, id_col: str, text: str, rows: int) -> np.ndarray:
@@ -159,46 +177,6 @@ def frequent_shingles(docs: DataFrame, id_col: str, text: str, rows: int) -> np.
     return np.sort(got.column("s").to_numpy().view(np.uint64)) if got.num_rows else _EMPTY
 
 
-def signed_rows(docs: DataFrame, text: str, frequent: np.ndarray) -> DataFrame:
-    """(sig, node, n) of every class of equal sets that a task meets."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
-        for batch in batches:
-            sigs, nodes, sizes = [], [], []
-            held = 0
-            for value in batch.column(0):
-                s = shingle_set(value.as_py())
-                if not len(s):
-                    continue
-                node = int(class_of(s).view(np.int64))
-                if node in seen:
-                    continue
-                seen.add(node)
-                g = signatures(s, frequent)
-                sigs.append(g)
-                nodes.append(np.full(len(g), node, np.int64))
-                sizes.append(np.full(len(g), len(s), np.int32))
-                held += len(g)
-                if held >= 200_000:
-                    yield rows_of(sigs, nodes, sizes)
-                    sigs, nodes, sizes, held = [], [], [], 0
-            if sigs:
-                yield rows_of(sigs, nodes, sizes)
-
-    def rows_of(sigs, nodes, sizes):
-        return pa.RecordBatch.from_arrays(
-            [
-                pa.array(signed(np.concatenate(sigs))),
-                pa.array(np.concatenate(nodes)),
-                pa.array(np.concatenate(sizes)),
-            ],
-            ["sig", "node", "n"],
-        )
-
-    return docs.select(F.col(text).cast("binary").alias("t")).mapInArrow(run, "sig bigint, node bigint, n int")
-
-
 def matrix(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, BUCKETS)
 
@@ -256,35 +234,52 @@ def similar(pairs: DataFrame, docs: DataFrame, owners: DataFrame, id_col: str, t
     return both.mapInArrow(run, "a bigint, b bigint").distinct()
 
 
+def signature_groups(sets: DataFrame, parts: int) -> DataFrame:
+    """(sig, node, head, size) of the nodes that share a signature with others.
+
+    A group's head is the node whose signatures are shared by most others on average: of near copies, mostly what they
+    were made from, so that few pairs besides the head's are left to compare.
+    """
+    group = Window.partitionBy("sig").orderBy("node")
+    whole = group.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    shared = stored(
+        sets.filter("sigs is not null")
+        .select(F.explode("sigs").alias("sig"), "node", F.size("sigs").alias("of"))
+        .repartition(parts, "sig")
+        .withColumn("prev", F.lag("node").over(group))
+        .withColumn("first", F.first("node").over(whole))
+        .withColumn("last", F.last("node").over(whole))
+        # The same class comes once from every task that met it.
+        .filter("first <> last and (prev is null or prev <> node)")
+        .select("sig", "node", "of"),
+        "shared-signatures",
+    )
+    sizes = shared.groupBy("sig").agg(F.count(F.lit(1)).alias("size"))
+    liked = shared.join(sizes, "sig").groupBy("node").agg((F.sum("size") / F.max("of")).alias("liked"))
+    heads = shared.join(liked, "node").groupBy("sig").agg(
+        F.max_by("node", F.struct("liked", "node")).alias("head"), F.count(F.lit(1)).alias("size")
+    )
+    return stored(shared.select("sig", "node").join(heads, "sig"), "signature-groups")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """(id_col, n_shingles, component_id) of every row."""
-    sets = stored(shingled(docs, id_col, text), "sets")
-    rows = sets.count()
+    rows = docs.count()
+    sets = stored(shingled(docs, id_col, text, frequent_shingles(docs, id_col, text, rows)), "sets")
     owners = stored(
         sets.filter("node is not null and id is not null")
         .groupBy("node")
         .agg(F.min("id").alias("id"), F.max("n_shingles").alias("n"), F.max("sketch").alias("sketch")),
         "set-owners",
     )
-    frequent = frequent_shingles(docs, id_col, text, rows)
-    group = Window.partitionBy("sig").orderBy("node")
     parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), rows // ROWS_PER_PART)
-    members = stored(
-        signed_rows(docs.filter(F.col(id_col).isNotNull()), text, frequent)
-        .repartition(parts, "sig")
-        .withColumn("lead", F.lead("node").over(group))
-        .withColumn("prev", F.lag("node").over(group))
-        .withColumn("head", F.first("node").over(group.rowsBetween(Window.unboundedPreceding, 0)))
-        # The same class comes once from every task that met it.
-        .filter("head <> node or lead <> node")
-        .filter("prev is null or prev <> node"),
-        "signature-groups",
-    )
+    members = signature_groups(sets, parts)
     star = members.filter("head <> node").select(F.col("head").alias("a"), F.col("node").alias("b")).distinct()
-    tried = stored(plausible(star, owners), "tried-pairs")
-    links = stored(similar(tried, docs, owners, id_col, text), "links")
+    links = stored(similar(stored(plausible(star, owners), "tried-pairs"), docs, owners, id_col, text), "links")
     found = stored(components(links), "components")
-    more = stored(open_pairs(members, found, owners).join(tried, ["a", "b"], "left_anti"), "open-pairs")
+    # Two members have met, and a head has met all others of its group.
+    rest = members.filter("size > 2 and head <> node")
+    more = stored(open_pairs(rest, found, owners), "open-pairs")
     if not more.isEmpty():
         links = links.unionByName(stored(similar(more, docs, owners, id_col, text), "links"))
         found = stored(components(links), "components")
@@ -292,8 +287,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text")
         found.join(owners, "node").groupBy("component").agg(F.min("id").alias("component_id")).join(found, "component")
     ).select("node", "component_id")
     return (
-        sets.join(named, "node", "left")
-        .join(owners.withColumnRenamed("id", "own"), "node", "left")
+        sets.select("id", "n_shingles", "node")
+        .join(named, "node", "left")
+        .join(owners.select("node", F.col("id").alias("own")), "node", "left")
         .select(F.col("id").alias(id_col), "n_shingles", F.coalesce("component_id", "own", "id").alias("component_id"))
     )
 
