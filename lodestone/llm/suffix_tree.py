@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import stored
+from lodestone.llm.common import discard, stored
 from lodestone.llm.shingles import signed, split_words, word_hashes
 
 DEPTH = 2
@@ -193,7 +193,9 @@ def level_tables(strings: DataFrame, below: DataFrame) -> tuple[DataFrame, DataF
         F.coalesce(F.col("own") + F.col("rest") * F.col("tail"), "tail").alias("p"),
         F.log10((F.col("own") + F.col("rest") * F.col("tail")) / F.col("rest") / F.col("tail")).alias("gain"),
     )
-    return stored(solved, "solved"), states.select("k", "n", F.log10("rest").alias("rest"))
+    out = stored(solved, "solved")
+    discard(full)
+    return out, states.select("k", "n", F.log10("rest").alias("rest"))
 
 
 def score(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
@@ -217,17 +219,21 @@ def score(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFr
         )
     ]
     strings = counted.filter("c is not null")
+    done = [counted]
     for level in range(1, DEPTH + 1):
         if level > 1:
             marks = [bitmap_of(below.filter(F.col("n") >= least).select("k")) for least in (LEAST_CONTEXT, LEAST_STRING)]
             strings = stored(count_strings(docs, id_col, text, level, *marks).filter(F.col("n") >= LEAST_STRING), "grams")
         below, states = level_tables(strings, below)
+        done += [below, states] if level == 1 else [strings, below, states]
         gains = below.filter("gain is not null").select("k", "n", none.alias("base"), F.col("gain").alias("lp"))
         values += [gains, states.select("k", "n", none.alias("base"), F.col("rest").alias("lp"))]
     table = values[0]
     for more in values[1:]:
         table = table.unionByName(more)
     table = stored(table.groupBy("k").agg(F.max("n").alias("n"), F.sum("base").alias("base"), F.sum("lp").alias("lp")), "values")
+    # All that follows reads the values alone.
+    discard(*done)
     hot = F.col("n") >= hot_count(table)
     listed = table.filter(hot).select("k", "base", "lp").toArrow()
     asked = look_ups(docs, id_col, text, listed, bitmap_of(table))
