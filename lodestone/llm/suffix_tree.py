@@ -40,6 +40,8 @@ DISCOUNT = 0.6
 FOLDS, HELD_OUT = 5, 1
 #: Strings that a task holds before it hands their counts on; Spark adds them up further before they move.
 HELD_GRAMS = 800_000
+#: Texts that a task looks up at a time.
+HELD_TEXTS = 200
 #: Bits of a bitmap of hashes.
 BITMAP = 27
 #: Hashes of the start and the end.
@@ -120,6 +122,9 @@ def count_strings(docs: DataFrame, id_col: str, text: str, level: int, contexts:
 
     Only strings whose context and suffix are marked are counted; every string that can be described is among them."""
 
+    # A worker would hold what a function brings along twice, as bytes and as arrays.
+    marks = None if contexts is None else docs.sparkSession.sparkContext.broadcast((contexts, suffixes))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray]] = []
         single: list[np.ndarray] = []
@@ -134,8 +139,8 @@ def count_strings(docs: DataFrame, id_col: str, text: str, level: int, contexts:
             # The context of a place is the shorter string that ends before it.
             context = np.concatenate([np.zeros(1, np.uint64), below[:-1]])
             use = place >= level
-            if contexts is not None:
-                use &= marked(contexts, context) & marked(suffixes, below)
+            if marks is not None:
+                use &= marked(marks.value[0], context) & marked(marks.value[1], below)
             held.append((context[use], h[use]))
             size += len(held[-1][0])
             if level == 1:
@@ -238,14 +243,16 @@ def score(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFr
     listed = table.filter(hot).select("k", "base", "lp").toArrow()
     asked = look_ups(docs, id_col, text, listed, bitmap_of(table))
     # The row of a document itself has a key that nothing answers.
-    met = asked.join(table.filter(~hot).select(F.col("k").alias("key"), F.col("base").alias("more"), F.col("lp").alias("gain")), "key", "left")
-    answer = F.col("tokens").isNull()
+    rare = table.filter(~hot).select(F.col("k").alias("key"), F.col("base").alias("more"), F.col("lp").alias("gain"))
+    # Many times as many strings are asked for as have a value, so they are not sorted.
+    met = asked.join(rare.hint("shuffle_hash"), "key", "left")
+    answer = F.col("own").isNull()
     sums = met.groupBy("row").agg(
-        F.max("doc").alias(id_col),
-        F.sum("tokens").alias("n_tokens"),
-        F.sum(F.when(answer, (F.col("more") > 0).cast("long")).otherwise(F.col("known"))).alias("n_known"),
-        F.sum(F.when(answer, F.col("more")).otherwise(F.col("base"))).alias("base"),
-        F.sum(F.when(answer, F.col("gain")).otherwise(F.col("lp"))).alias("lp"),
+        F.max("own.doc").alias(id_col),
+        F.sum("own.tokens").alias("n_tokens"),
+        F.sum(F.when(answer, (F.col("more") > 0).cast("long")).otherwise(F.col("own.known"))).alias("n_known"),
+        F.sum(F.when(answer, F.col("more")).otherwise(F.col("own.base"))).alias("base"),
+        F.sum(F.when(answer, F.col("gain")).otherwise(F.col("own.lp"))).alias("lp"),
     )
     low = float(np.log10(0.5) - np.log10(total + 0.5 * (distinct + 1)))
     return sums.select(
@@ -272,52 +279,52 @@ def hot_count(table: DataFrame) -> int:
 
 
 def look_ups(docs: DataFrame, id_col: str, text: str, listed: pa.Table, bitmap: np.ndarray) -> DataFrame:
-    """One row per document with what the strings in ``listed`` give, and one (row, key) per other string with a mark."""
+    """One row per document with what the strings in ``listed`` give (own), and one (row, key) per other string with a mark."""
     hot = listed.column("k").to_numpy().view(np.uint64)
     order = np.argsort(hot)
-    hot, base, lp = hot[order], listed.column("base").to_numpy()[order], listed.column("lp").to_numpy()[order]
-    places = np.arange(len(hot))
-    names = ["key", "row", "doc", "tokens", "known", "base", "lp"]
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
+    sent = docs.sparkSession.sparkContext.broadcast(
+        (hot[order], listed.column("base").to_numpy()[order], listed.column("lp").to_numpy()[order], bitmap)
+    )
+    own = pa.struct([("doc", pa.int64()), ("tokens", pa.int64()), ("known", pa.int64()), ("base", pa.float64()), ("lp", pa.float64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n = len(batch)
-            if not n:
-                continue
-            ids = batch.column(0).to_numpy()
-            h, place, owner = laid_out(batch.column(3))
-            known, bases, logs = np.zeros(n, np.int64), np.zeros(n), np.zeros(n)
-            keys = h
-            for level in range(DEPTH + 1):
-                if level:
-                    keys = longer(keys, h)
-                use = place >= level
-                k, of = keys[use], owner[use]
-                use = marked(bitmap, k)
-                k, of = k[use], of[use]
-                hit, at = lookup(hot, places, k)
-                at, by = at[hit].astype(np.int64), of[hit]
-                known += np.bincount(by, base[at] > 0, n).astype(np.int64)
-                bases += np.bincount(by, base[at], n)
-                logs += np.bincount(by, lp[at], n)
-                k, of = k[~hit], of[~hit]
-                for i in range(0, len(k), 200_000):
-                    part = slice(i, i + 200_000)
-                    size = len(k[part])
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(signed(k[part])), pa.array(ids[of[part]]), *(pa.nulls(size, t) for t in kinds[2:])], names
-                    )
-            # The start is no token.
-            tokens = np.bincount(owner, minlength=n) - 1
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(1), batch.column(0), batch.column(2), *(pa.array(x) for x in (tokens, known, bases, logs))], names
-            )
+            for i in range(0, len(batch), HELD_TEXTS):
+                yield from answers(batch.slice(i, HELD_TEXTS))
+
+    def answers(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        hot, base, lp, bitmap = sent.value
+        n = len(batch)
+        ids = batch.column(0).to_numpy()
+        h, place, owner = laid_out(batch.column(3))
+        known, bases, logs = np.zeros(n, np.int64), np.zeros(n), np.zeros(n)
+        keys = h
+        for level in range(DEPTH + 1):
+            if level:
+                keys = longer(keys, h)
+            use = place >= level
+            k, of = keys[use], owner[use]
+            use = marked(bitmap, k)
+            k, of = k[use], of[use]
+            at = np.minimum(np.searchsorted(hot, k), len(hot) - 1)
+            hit = hot[at] == k if len(hot) else np.zeros(len(k), bool)
+            at, by = at[hit], of[hit]
+            known += np.bincount(by, base[at] > 0, n).astype(np.int64)
+            bases += np.bincount(by, base[at], n)
+            logs += np.bincount(by, lp[at], n)
+            k, of = k[~hit], of[~hit]
+            for i in range(0, len(k), 100_000):
+                part = slice(i, i + 100_000)
+                yield pa.RecordBatch.from_arrays([pa.array(signed(k[part])), pa.array(ids[of[part]]), pa.nulls(len(k[part]), own)], ["key", "row", "own"])
+        # The start is no token.
+        tokens = np.bincount(owner, minlength=n) - 1
+        found = pa.StructArray.from_arrays([batch.column(2), *(pa.array(x) for x in (tokens, known, bases, logs))], fields=list(own))
+        yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(0), found], ["key", "row", "own"])
 
     row = F.monotonically_increasing_id()
     slim = docs.select(row.alias("row"), F.col(id_col).cast("long").alias("doc"), F.col(text).cast("binary").alias("t"))
     slim = slim.select("row", F.xxhash64("row").alias("key"), "doc", "t")
-    return slim.mapInArrow(run, "key bigint, row bigint, doc bigint, tokens bigint, known bigint, base double, lp double")
+    return slim.mapInArrow(run, "key bigint, row bigint, own struct<doc:bigint,tokens:bigint,known:bigint,base:double,lp:double>")
 
 
 # -- the tree in memory ---------------------------------------------------------------------------
