@@ -318,11 +318,17 @@ _EMBED = f"""WITH raw AS (SELECT item_id, {embed_sql(tok('text'), 16)} AS v FROM
 
 
 def unfold(df: DataFrame, key: str, emb: str = "embedding") -> DataFrame:
+    """One row per entry at six decimals; as in SQL, what rounds to zero keeps its sign."""
     return df.select(key, F.posexplode(emb).alias("pos", "v")).select(
-        key, F.col("pos").cast("long").alias("pos"), F.round("v", 6).alias("value")
+        key, F.col("pos").cast("long").alias("pos"), (F.signum("v") * F.round(F.abs("v"), 6)).alias("value")
     )
 
 
+def with_words(df: DataFrame, col: str) -> DataFrame:
+    """Rows whose text has a word; others have no direction and, as in SQL, no vector."""
+    return df.filter(F.size(text.tokens(col)) > 0)
+
+
 @query("b7_hash_embed", _EMBED)
 def b7(spark, d):
     return unfold(vectors.hash_embed(b.table(spark, d, "benchmark"), "text", 16), "item_id")
@@ -335,7 +341,7 @@ def b7(spark, d):
         SELECT doc_id, i - 1 AS pos, round(v[i] / n, 6) AS value FROM (SELECT *, unnest(range(1, 9)) AS i FROM unit)""",
 )
 def b8(spark, d):
-    return unfold(vectors.encode_corpus(b.table(spark, d, "documents"), "text", 8), "doc_id")
+    return unfold(vectors.encode_corpus(with_words(b.table(spark, d, "documents"), "text"), "text", 8), "doc_id")
 
 
 @query(
