@@ -28,6 +28,8 @@ CODES = 256
 QUERY_BYTES = 32 << 20
 #: Bytes of a found pair, which count like query vectors: a task holds ``k`` pairs per query.
 PAIR_BYTES = 24
+#: Bytes of a probed cell of a query, which count like query vectors as well.
+PROBE_BYTES = 4
 #: Pairs a task gathers before it keeps the best of them.
 HELD_PAIRS = 2_000_000
 #: Dimensions from which scoring codes first costs less than scoring the vectors of a cell.
@@ -52,11 +54,27 @@ def cell_count(n: int) -> int:
     return 1 << max(0, min(12, round(np.log2(max(1, n)) / 2)))
 
 
+def _blocks(n: int, width: int) -> Iterator[slice]:
+    """Slices of ``n`` rows with SCORED_CELLS values or fewer where a row makes ``width`` of them."""
+    step = max(1, SCORED_CELLS // max(1, width))
+    return (slice(at, at + step) for at in range(0, n, step))
+
+
+def _nearest(data: np.ndarray, centres: np.ndarray, n: int = 1) -> np.ndarray:
+    """The ``n`` nearest centres of every row, of equal ones the first."""
+    half = (centres**2).sum(1) / 2
+    out = np.empty((len(data), n), np.min_scalar_type(len(centres)))
+    for some in _blocks(len(data), len(centres)):
+        away = half - data[some] @ centres.T
+        out[some] = away.argmin(axis=1)[:, None] if n == 1 else np.argsort(away, axis=1, kind="stable")[:, :n]
+    return out
+
+
 def _means(data: np.ndarray, k: int, rounds: int, random: np.random.Generator) -> np.ndarray:
     """k-means of a sample; a centre that loses all its rows stays where it was."""
     centres = data[random.choice(len(data), min(k, len(data)), replace=False)].copy()
     for _ in range(rounds):
-        nearest = np.argmin((centres**2).sum(1) - 2 * data @ centres.T, axis=1)
+        nearest = _nearest(data, centres)[:, 0]
         counts = np.bincount(nearest, minlength=len(centres))
         sums = np.zeros_like(centres)
         np.add.at(sums, nearest, data)
@@ -66,13 +84,14 @@ def _means(data: np.ndarray, k: int, rounds: int, random: np.random.Generator) -
 
 def _probes(data: np.ndarray, centres: np.ndarray, nearest: np.ndarray) -> int:
     """How many cells to probe for the wanted recall at ten, measured on the sample."""
+    needed = []
     asked = data[:ASKED]
-    scores = asked @ data.T
-    ten = np.argsort(-scores, axis=1, kind="stable")[:, :10]
-    order = np.argsort((centres**2).sum(1) / 2 - asked @ centres.T, axis=1, kind="stable")
-    place = np.argsort(order, axis=1)  # of every cell, for every asked row
-    needed = np.take_along_axis(place, nearest[ten], 1).ravel() + 1
-    return int(np.quantile(needed, RECALL, method="higher"))
+    for some in _blocks(len(asked), max(len(data), len(centres))):
+        ten = np.argsort(-(asked[some] @ data.T), axis=1, kind="stable")[:, :10]
+        order = _nearest(asked[some], centres, len(centres))
+        place = np.argsort(order, axis=1)  # of every cell, for every asked row
+        needed.append(np.take_along_axis(place, nearest[ten], 1).ravel() + 1)
+    return int(np.quantile(np.concatenate(needed), RECALL, method="higher"))
 
 
 def fit(
@@ -84,7 +103,7 @@ def fit(
     data = unit_rows(np.stack([np.asarray(v, float) for v in rows.select(arrays.doubles("embedding")).toPandas().iloc[:, 0]]))
     random = np.random.default_rng(seed)
     centres = _means(data, n_cells or cell_count(n), 12, random)
-    nearest = np.argmax(data @ centres.T - (centres**2).sum(1) / 2, axis=1)
+    nearest = _nearest(data, centres)[:, 0]
     rest = data - centres[nearest]
     width = -(-data.shape[1] // subspaces)
     parts = _split(rest, subspaces, width)
@@ -113,7 +132,7 @@ def encode(vectors: DataFrame, centres: np.ndarray, codebooks: np.ndarray) -> Da
             if not batch.num_rows:
                 continue
             data = unit_rows(_matrix(batch.column(1)))
-            cell = np.argmax(data @ centres.T - (centres**2).sum(1) / 2, axis=1)
+            cell = _nearest(data, centres)[:, 0]
             rest = _split(data - centres[cell], subspaces, width)
             code = np.empty((len(data), subspaces), np.uint8)
             for m, book in enumerate(codebooks):
@@ -146,12 +165,12 @@ def search(
 
     Of every stored batch the ``checked`` best by code (4 k by default) are scored exactly, short vectors without that
     selection. A task keeps ``k`` pairs per query and takes further ones only where they reach the worst of those. Queries
-    whose vectors or pairs take more than ``query_bytes`` are dealt into blocks, each searched on its own.
+    whose vectors, pairs or probes take more than ``query_bytes`` are dealt into blocks, each searched on its own.
     """
     dim = index.centres.shape[1]
     n_probe = min(len(index.centres), n_probe or index.n_probe)
     n = queries.agg(F.count(F.lit(1))).first()[0]
-    blocks = max(1, -(-n * max(8 * dim, PAIR_BYTES * k) // query_bytes))
+    blocks = max(1, -(-n * max(8 * dim, PAIR_BYTES * k, PROBE_BYTES * n_probe) // query_bytes))
     found = None
     for block in range(blocks):
         part = queries if blocks == 1 else queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block)
@@ -205,11 +224,11 @@ def _search_block(
     vectors = asked["embedding"].combine_chunks()
     vectors = vectors.chunk(0) if isinstance(vectors, pa.ChunkedArray) else vectors
     q = unit_rows(_matrix(vectors)) if len(ids) else np.zeros((0, index.centres.shape[1]))
-    near = q @ index.centres.T - (index.centres**2).sum(1) / 2
-    probed = np.argsort(-near, axis=1, kind="stable")[:, :n_probe]
-    order = np.argsort(probed.ravel(), kind="stable")
-    bounds = np.searchsorted(probed.ravel()[order], np.arange(len(index.centres) + 1))
-    sent = spark.sparkContext.broadcast((q, order // max(1, n_probe), bounds, index.centres, index.codebooks, ids))
+    probed = _nearest(q, index.centres, n_probe).ravel()
+    order = np.argsort(probed, kind="stable")
+    bounds = np.searchsorted(probed[order], np.arange(len(index.centres) + 1))
+    askers = (order // max(1, n_probe)).astype(np.int32)
+    sent = spark.sparkContext.broadcast((q, askers, bounds, index.centres, index.codebooks, ids))
     q_type = queries.schema["query_id"].dataType.simpleString()
     d_type = index.rows.schema["doc_id"].dataType.simpleString()
 
